@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passageway.functions.text import hex_number
+
 # Ids are grouped by these right shifts: at most 4,096 neighbours share a parent on any level,
 # whatever the distribution of the ids (the top level has 2**16 values).
 _LEVELS = (12, 24, 36, 48)
@@ -118,17 +120,22 @@ def audit_collection(chunks: DataFrame, expected: DataFrame) -> DataFrame:
     ).withColumn("ok", (F.col("n_chunks") == F.col("expected")) & (F.col("repeated_numbers") == 0))
 
 
+def _by_number(chunks: DataFrame, side: str) -> DataFrame:
+    digest = hex_number(F.sha2("text", 256), 15).cast("decimal(38,0)")
+    return chunks.groupBy("chunk_no").agg(F.struct(F.count("*"), F.sum(digest)).alias(side))
+
+
 def align_numbering(left: DataFrame, right: DataFrame) -> DataFrame:
     """Compare two numberings: ``same``, ``different``, ``left_only`` or ``right_only`` per number.
 
-    Texts are compared by digest, so the join carries no passages.
+    Each number is reduced to the count and digest sum of its texts before the join, so the join
+    carries no passages and a number stored many times by mistake does not multiply.
     """
-    a = left.select("chunk_no", F.sha2("text", 256).alias("left_digest"))
-    b = right.select("chunk_no", F.sha2("text", 256).alias("right_digest"))
     status = (
-        F.when(F.col("right_digest").isNull(), "left_only")
-        .when(F.col("left_digest").isNull(), "right_only")
-        .when(F.col("left_digest").eqNullSafe(F.col("right_digest")), "same")
+        F.when(F.col("right").isNull(), "left_only")
+        .when(F.col("left").isNull(), "right_only")
+        .when(F.col("left") == F.col("right"), "same")
         .otherwise("different")
     )
-    return a.join(b, "chunk_no", "full_outer").select("chunk_no", status.alias("status"))
+    joined = _by_number(left, "left").join(_by_number(right, "right"), "chunk_no", "full_outer")
+    return joined.select("chunk_no", status.alias("status"))
