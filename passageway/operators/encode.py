@@ -73,13 +73,23 @@ def term_stats(
         F.count("*").alias("n_docs"),
         F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("bigint").alias("total_len"),
     )
-    exploded = split.select("id", F.size("words").alias("doc_len"), F.explode("words").alias("token"))
+    wanted = None if only is None else broadcast_within(only.select("token").distinct())
+
+    def restrict(rows: DataFrame) -> DataFrame:
+        return rows if wanted is None else rows.join(wanted, "token", "left_semi")
+
+    exploded = restrict(split.select("id", F.size("words").alias("doc_len"), F.explode("words").alias("token")))
     if only is not None:
-        exploded = exploded.join(broadcast_within(only.select("token").distinct()), "token", "left_semi")
         exploded = exploded.repartition("id")
-    postings = exploded.groupBy("id", "token", "doc_len").agg(F.count("*").alias("tf")).select("id", "token", "tf", "doc_len")
+    postings = (
+        exploded.groupBy("id", "token", "doc_len")
+        .agg(F.count("*").alias("tf"))
+        .select("id", "token", "tf", "doc_len")
+    )
+    # Each document names a word once, so counts combine on the map side and no posting is shuffled.
+    named = restrict(split.select(F.explode(F.array_distinct("words")).alias("token")))
     n_docs = corpus.select("n_docs").scalar()
-    terms = postings.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", idf(F.col("df"), n_docs))
+    terms = named.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", idf(F.col("df"), n_docs))
     return TermStats(postings, terms, corpus)
 
 
