@@ -244,9 +244,13 @@ def effect_ledger(deltas: DataFrame, ci: Column | float) -> DataFrame:
     return deltas.withColumn("effect", effect).orderBy(F.col("delta").desc_nulls_last(), "config_a", "config_b")
 
 
-def ablation_variants(templates: DataFrame, sentence_end: str = r"(?<=[。！？.!?])\s*") -> DataFrame:
+# A sentence runs from its first character to its closing marks.
+SENTENCE = r"[^。！？.!?\s][^。！？.!?]*[。！？.!?]*"
+
+
+def ablation_variants(templates: DataFrame, sentence: str = SENTENCE) -> DataFrame:
     """One variant per left-out sentence: (template_id, variant, removed, text); variant 0 is the whole."""
-    parts = templates.select("template_id", F.filter(F.split("template", sentence_end), lambda s: s != "").alias("parts"))
+    parts = templates.select("template_id", F.regexp_extract_all("template", F.lit(sentence), F.lit(0)).alias("parts"))
     indices = F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("variant")
     kept = F.filter("parts", lambda s, j: j + 1 != F.col("variant"))
     return parts.select("template_id", "parts", indices).select(

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passageway.functions.bounds import broadcast_within, materialize
 from passageway.functions.text import hex_number
 
 
@@ -37,7 +38,8 @@ def variants(records: DataFrame, specs: DataFrame, seed: str = "0") -> DataFrame
         .groupBy("variant", "kind")
         .agg(F.max("_range").alias("_edge"), F.max_by(F.col("n") - F.col("before"), "_range").alias("_room"))
     )
-    used = hashed.join(cuts, "kind")
+    # One row per variant and kind, computed once: the records themselves are not shuffled by kind.
+    used = hashed.join(broadcast_within(materialize(cuts)), "kind")
     whole = used.filter(F.col("_range") < F.col("_edge"))
     within = Window.partitionBy("variant", "kind").orderBy("_order", "rec_id")
     edge = (
