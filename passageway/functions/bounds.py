@@ -1,4 +1,4 @@
-"""Size checks that decide whether a side may be broadcast, and joins that stand hot keys."""
+"""Size checks that decide whether a side may be broadcast, and reliable storage for intermediate results."""
 
 from __future__ import annotations
 
@@ -60,16 +60,3 @@ def broadcast_within(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFra
     Without the hint Spark plans a shuffled join, whose hot partitions AQE splits.
     """
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
-
-
-def salted_lookup(
-    facts: DataFrame, table: DataFrame, on: str, spread_by: str, salts: int = 8, how: str = "left"
-) -> DataFrame:
-    """Join ``facts`` to ``table`` (one row per key) so that a hot key is spread over ``salts`` tasks.
-
-    The facts of one key are dealt out by the hash of ``spread_by``; each row of the table is
-    repeated once per salt.  Result rows are those of the plain join.
-    """
-    salt = F.pmod(F.xxhash64(F.col(spread_by)), F.lit(salts)).cast("int")
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("_salt", salt).join(repeated, [on, "_salt"], how).drop("_salt")

@@ -11,7 +11,7 @@ WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 def words(text: Column | str) -> Column:
     """Lower-cased words of a text, in order, repeats kept."""
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), WORD_BREAK), "")
 
 
 def bigrams(text: Column | str) -> Column:

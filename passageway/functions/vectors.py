@@ -1,23 +1,21 @@
-"""Scoring batches of vectors inside tasks: only the best rows of each task leave it."""
+"""Cosine scoring of Arrow batches of vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-PARTIAL_SCHEMA = "qid bigint, id bigint, coarse double, score double"
-_ARROW = pa.schema(
-    [("qid", pa.int64()), ("id", pa.int64()), ("coarse", pa.float64()), ("score", pa.float64())]
-)
-# Queries scored at once against one Arrow batch; bounds the score matrix held by a task.
-_QUERY_STRIPE = 256
+from passageway.functions.scan import Batches, Best, above_floor, keep_best, merge, to_batch
 
+# Queries scored at once against one batch; bounds the score matrix held by a task.
+_STRIPE = 256
 
-class Scoring(NamedTuple):
-    """What to keep: the best ``pool`` rows a query by cosine over the leading ``coarse_dims``.
+
+class CosineScorer(NamedTuple):
+    """Keeps the best ``pool`` rows a query by cosine over the leading ``coarse_dims`` (all if None).
 
     ``centroids`` restricts a query to the rows in its ``nprobe`` nearest cells.
     """
@@ -27,9 +25,42 @@ class Scoring(NamedTuple):
     centroids: np.ndarray | None = None
     nprobe: int = 0
 
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column as a 2-d array; rows of unequal length are an error, not dropped."""
+    def __call__(self, batches: Batches, asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        queries = matrix(asked.column("embedding"))
+        qids = asked.column("qid").to_numpy()
+        if len(qids) == 0:
+            return
+        probes = np.ones((len(qids), 1), dtype=bool)
+        if self.centroids is not None:
+            probes = np.zeros((len(qids), len(self.centroids)), dtype=bool)
+            np.put_along_axis(probes, nearest_cells(queries, self.centroids, self.nprobe), True, axis=1)
+        best = None
+        for batch in batches:
+            rows, ids = matrix(batch.column("embedding")), batch.column("id").to_numpy()
+            cells = np.zeros(len(ids), dtype=np.int64)
+            if self.centroids is not None:
+                cells = batch.column("cell").to_numpy()
+            found = [best] if best is not None else []
+            for cell in np.unique(cells):
+                members, asking = np.nonzero(cells == cell)[0], np.nonzero(probes[:, cell])[0]
+                for start in range(0, len(asking), _STRIPE):
+                    stripe = asking[start : start + _STRIPE]
+                    q, *rest = self._candidates(queries[stripe], rows[members], ids[members])
+                    found.append((stripe[q], *rest))
+            best = merge(found, self.pool)
+        if best is not None:
+            yield to_batch(best, qids)
+
+    def _candidates(self, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> Best:
+        dims = self.coarse_dims or queries.shape[1]
+        coarse = cosine(queries[:, :dims], rows[:, :dims])
+        q, r = above_floor(coarse, self.pool)
+        q, r, coarse, _ = keep_best((q, r, coarse[q, r], q), self.pool)
+        return q, ids[r], coarse, coarse if dims == queries.shape[1] else pairwise_cosine(queries[q], rows[r])
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A list column as a 2-d array; rows of unequal length are an error, never dropped."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -41,79 +72,23 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(n, dim)
 
 
+def _divide(dots: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    # Rounded, so that equal scores are equal whatever the order of summation.
+    return np.round(np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), 6)
+
+
 def cosine(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosine of every query with every row, rounded so that equal scores are equal everywhere."""
+    """Cosine of every query with every row of a batch; 0 where a vector is zero."""
     norms = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
-    dots = queries @ rows.T
-    return np.round(np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), 6)
+    return _divide(queries @ rows.T, norms)
+
+
+def pairwise_cosine(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1)
+    return _divide(np.einsum("ij,ij->i", queries, rows), norms)
 
 
 def nearest_cells(rows: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """Indices of the ``n`` nearest centroids of each row, nearest first, ties to the smaller index."""
     squared = (centroids**2).sum(axis=1)[None, :] - 2 * rows @ centroids.T
     return np.argsort(np.round(squared, 9), axis=1, kind="stable")[:, :n]
-
-
-def keep_best(parts: tuple[np.ndarray, ...], pool: int) -> tuple[np.ndarray, ...]:
-    """Of (query, id, coarse, score) rows, the best ``pool`` a query by coarse score, then id."""
-    q, ids, coarse, _ = parts
-    order = np.lexsort((ids, -coarse, q))
-    q = q[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-    order = order[rank < pool]
-    return tuple(p[order] for p in parts)
-
-
-def _candidates(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, s: Scoring) -> tuple[np.ndarray, ...]:
-    dims = s.coarse_dims or queries.shape[1]
-    coarse = cosine(queries[:, :dims], rows[:, :dims])
-    if len(ids) > s.pool:
-        # Everything not below the pool-th best of this batch, ties included.
-        floor = np.partition(coarse, len(ids) - s.pool, axis=1)[:, len(ids) - s.pool]
-        qi, ri = np.nonzero(coarse >= floor[:, None])
-    else:
-        qi, ri = (a.ravel() for a in np.indices(coarse.shape))
-    if dims == queries.shape[1]:
-        score = coarse[qi, ri]
-    else:
-        dots = np.einsum("ij,ij->i", queries[qi], rows[ri])
-        norms = np.linalg.norm(queries, axis=1)[qi] * np.linalg.norm(rows, axis=1)[ri]
-        score = np.round(np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), 6)
-    return keep_best((qi, ids[ri], coarse[qi, ri], score), s.pool)
-
-
-def _join(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    return tuple(np.concatenate(column) for column in zip(*parts))
-
-
-def best_rows(
-    batches: Iterable[pa.RecordBatch | pa.Table], qids: np.ndarray, queries: np.ndarray, s: Scoring
-) -> Iterator[pa.RecordBatch]:
-    """Score Arrow batches (id, embedding[, cell]) and emit the best ``pool`` rows of all per query."""
-    best = None
-    probes = None
-    if s.centroids is not None and len(queries):
-        probes = np.zeros((len(queries), len(s.centroids)), dtype=bool)
-        np.put_along_axis(probes, nearest_cells(queries, s.centroids, s.nprobe), True, axis=1)
-    for batch in batches:
-        if batch.num_rows == 0 or len(queries) == 0:
-            continue
-        rows = matrix(batch.column("embedding"))
-        ids = batch.column("id").to_numpy()
-        groups = [(slice(None), np.arange(len(queries)))]
-        if probes is not None:
-            cells = batch.column("cell").to_numpy()
-            groups = [(np.nonzero(cells == c)[0], np.nonzero(probes[:, c])[0]) for c in np.unique(cells)]
-        found = [best] if best is not None else []
-        for members, asking in groups:
-            for start in range(0, len(asking), _QUERY_STRIPE):
-                stripe = asking[start : start + _QUERY_STRIPE]
-                q, *rest = _candidates(queries[stripe], rows[members], ids[members], s)
-                found.append((stripe[q], *rest))
-        if found:
-            best = keep_best(_join(found), s.pool)
-    if best is not None:
-        q, ids, coarse, score = best
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids[q]), pa.array(ids), pa.array(coarse), pa.array(score)], schema=_ARROW
-        )

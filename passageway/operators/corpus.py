@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passageway.functions.bounds import broadcast_within, materialize
 from passageway.functions.text import hex_number
 
-# Ids are grouped by these right shifts: at most 4,096 neighbours share a parent on any level,
-# whatever the distribution of the ids (the top level has 2**16 values).
-_LEVELS = (12, 24, 36, 48)
+# Neighbouring ids summed together on each level of the numbering.
+_FANOUT_BITS = 12
+# Sums (three numbers each) that one task may run through.
+_ROWS_IN_ONE_TASK = 1_000_000
 
 
 def chunk_count(text: Column, size: int, overlap: int) -> Column:
@@ -20,40 +22,43 @@ def chunk_count(text: Column, size: int, overlap: int) -> Column:
     return F.when(length > 0, rest).otherwise(F.lit(0)).cast("bigint")
 
 
-def _before(n: str, parent: list[str], order: str) -> Column:
+def _before(parent: list[str], order: str) -> Column:
     w = Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(n).over(w), F.lit(0))
+    return F.coalesce(F.sum("n").over(w), F.lit(0))
 
 
-def _prefix_sums(docs: DataFrame) -> DataFrame:
-    """Add ``before``: the chunks of all documents with a smaller id in the same collection.
+def _offsets(sums: DataFrame, bits_left: int) -> DataFrame:
+    """(collection, block, offset) from (collection, block, n): what all smaller blocks hold.
 
-    A running sum over a collection would be one task.  Here the ids form a tree by their leading
-    bits: sums are taken bottom up, offsets added top down, and no window sees more than the
-    children of one parent.
+    Few blocks are run through directly.  Many are summed in families first, so that no window ever
+    sees more than the members of one family, however the ids are spread.
     """
-    docs = docs.withColumn("b0", F.shiftright("doc_id", _LEVELS[0]))
-    sums = [docs.groupBy("collection", "b0").agg(F.sum("n").alias("n"))]
-    for level, (low, high) in enumerate(zip(_LEVELS, _LEVELS[1:]), start=1):
-        below = sums[-1].withColumn(f"b{level}", F.shiftright(f"b{level - 1}", high - low))
-        sums[-1] = below
-        sums.append(below.groupBy("collection", f"b{level}").agg(F.sum("n").alias("n")))
-
-    top = len(sums) - 1
-    offsets = sums[top].select("collection", f"b{top}", _before("n", ["collection"], f"b{top}").alias("offset"))
-    for level in range(top - 1, -1, -1):
-        inside = _before("n", ["collection", f"b{level + 1}"], f"b{level}")
-        offsets = (
-            sums[level]
-            .withColumn("inside", inside)
-            .join(offsets, ["collection", f"b{level + 1}"])
-            .select("collection", f"b{level}", (F.col("offset") + F.col("inside")).alias("offset"))
-        )
+    if bits_left <= _FANOUT_BITS or sums.count() <= _ROWS_IN_ONE_TASK:
+        return sums.select("collection", "block", _before(["collection"], "block").alias("offset"))
+    member = sums.withColumn("family", F.shiftright("block", _FANOUT_BITS))
+    families = materialize(member.groupBy("collection", F.col("family").alias("block")).agg(F.sum("n").alias("n")))
+    above = _offsets(families, bits_left - _FANOUT_BITS).withColumnRenamed("block", "family")
     return (
-        docs.withColumn("inside", _before("n", ["collection", "b0"], "doc_id"))
-        .join(offsets, ["collection", "b0"])
+        member.withColumn("inside", _before(["collection", "family"], "block"))
+        .join(above, ["collection", "family"])
+        .select("collection", "block", (F.col("offset") + F.col("inside")).alias("offset"))
+    )
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Add ``before``, the chunks of all documents with a smaller id in the same collection.
+
+    A running sum over a collection would be one task.  Instead the chunks of every 4,096
+    neighbouring ids are summed (a pass over the lengths alone), the sums turned into offsets, and
+    the running sum left to do is that inside a block.
+    """
+    docs = docs.withColumn("block", F.shiftright("doc_id", _FANOUT_BITS))
+    sums = materialize(docs.groupBy("collection", "block").agg(F.sum("n").alias("n")))
+    offsets = materialize(_offsets(sums, 64 - _FANOUT_BITS))
+    return (
+        docs.withColumn("inside", _before(["collection", "block"], "doc_id"))
+        .join(broadcast_within(offsets), ["collection", "block"])
         .withColumn("before", F.col("offset") + F.col("inside"))
-        .drop("b0", "inside", "offset", "n")
     )
 
 
@@ -71,7 +76,7 @@ def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 400) -> Dat
         docs = docs.withColumn("collection", F.lit("corpus"))
     step = size - overlap
     counted = docs.select("collection", "doc_id", "text", chunk_count(F.col("text"), size, overlap).alias("n"))
-    numbered = _prefix_sums(counted).withColumn("last", chunk_count(F.col("text"), size, overlap) - 1)
+    numbered = _numbered(counted).withColumn("last", F.col("n") - 1)
     pieces = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("last")),
         lambda i: F.col("text").substr((i * step + 1).cast("int"), F.lit(size)),

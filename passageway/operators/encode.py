@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passageway.functions.bounds import broadcast_within, salted_lookup
+from passageway.functions.bounds import broadcast_within, materialize
 from passageway.functions.text import hex_number, tokens
 
 
@@ -39,11 +40,12 @@ def rewrite_queries(queries: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 class TermStats(NamedTuple):
-    """``postings`` (id, token, tf, doc_len), ``terms`` (token, df, idf), ``corpus`` (n_docs, total_len)."""
+    """``words`` (id, words), ``terms`` (token, df, idf), ``corpus`` (n_docs, total_len; one row)."""
 
-    postings: DataFrame
+    words: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    mode: str
 
 
 def query_terms(queries: DataFrame, mode: str = "word") -> DataFrame:
@@ -62,35 +64,47 @@ def term_stats(
     mode: str = "word",
     only: DataFrame | None = None,
 ) -> TermStats:
-    """Term frequency, document frequency, inverse document frequency and lengths.
+    """Document frequencies, inverse document frequencies and lengths, in one pass that is kept.
 
-    ``only`` (one ``token`` column) keeps the postings of these words; lengths and document counts
-    still cover whole texts and all documents.  Postings are then laid out by document, so that
-    scores can be added up without another shuffle.
+    ``only`` (one ``token`` column) limits ``terms`` to these words; all documents and whole texts
+    are counted all the same.
     """
-    split = docs.select(F.col(id_col).alias("id"), tokens(text_col, mode).alias("words"))
-    corpus = split.agg(
-        F.count("*").alias("n_docs"),
-        F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("bigint").alias("total_len"),
-    )
-    wanted = None if only is None else broadcast_within(only.select("token").distinct())
-
-    def restrict(rows: DataFrame) -> DataFrame:
-        return rows if wanted is None else rows.join(wanted, "token", "left_semi")
-
-    exploded = restrict(split.select("id", F.size("words").alias("doc_len"), F.explode("words").alias("token")))
+    split = docs.select(F.col(id_col).cast("bigint").alias("id"), tokens(text_col, mode).alias("words"))
+    # Lengths are taken before the explode: after it, every row would carry all words of its document.
+    sized = split.select("words", F.size("words").alias("doc_len"))
+    # A document names each word once, so counts combine before the shuffle.  The empty word, which
+    # no tokeniser yields, stands for the document itself and counts documents and lengths.
+    named = sized.select("doc_len", F.explode(F.array_append(F.array_distinct("words"), F.lit(""))).alias("token"))
     if only is not None:
-        exploded = exploded.repartition("id")
-    postings = (
-        exploded.groupBy("id", "token", "doc_len")
-        .agg(F.count("*").alias("tf"))
-        .select("id", "token", "tf", "doc_len")
-    )
-    # Each document names a word once, so counts combine on the map side and no posting is shuffled.
-    named = restrict(split.select(F.explode(F.array_distinct("words")).alias("token")))
+        wanted = only.select("token").union(only.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
+        named = named.join(broadcast_within(wanted), "token", "left_semi")
+    counts = materialize(named.groupBy("token").agg(F.count("*").alias("df"), F.sum("doc_len").alias("total_len")))
+    corpus = counts.filter(F.col("token") == "").select(F.col("df").alias("n_docs"), "total_len")
     n_docs = corpus.select("n_docs").scalar()
-    terms = named.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", idf(F.col("df"), n_docs))
-    return TermStats(postings, terms, corpus)
+    terms = counts.filter(F.col("token") != "").select("token", "df", idf(F.col("df"), n_docs).alias("idf"))
+    return TermStats(split, terms, corpus, mode)
+
+
+def term_frequencies(stats: TermStats) -> DataFrame:
+    """Postings: (id, token, tf, doc_len)."""
+    sized = stats.words.select("id", "words", F.size("words").alias("doc_len"))
+    exploded = sized.select("id", "doc_len", F.explode("words").alias("token"))
+    return exploded.groupBy("id", "token", "doc_len").agg(F.count("*").alias("tf")).select("id", "token", "tf", "doc_len")
+
+
+def _lookup_idf(counted: DataFrame, terms: DataFrame, hot_share: float = 0.001) -> DataFrame:
+    """Add ``idf`` to (id, token, tf); words unknown to ``terms`` get 0.
+
+    Words in at least one document of a thousand are at most a thousand times the mean number of
+    distinct words per document, however large the corpus: they are broadcast (if measured small).
+    The rest has no hot key left and is joined by shuffle.
+    """
+    # exp(-idf) is (df + 1/2) / (n_docs + 1), the share of the documents.
+    hot = broadcast_within(terms.filter(F.col("idf") <= -math.log(hot_share)).select("token", "idf"))
+    rest = terms.filter(F.col("idf") > -math.log(hot_share)).select("token", "idf")
+    common = counted.join(hot, "token")
+    rare = counted.join(hot, "token", "left_anti").join(rest, "token", "left")
+    return common.unionByName(rare).withColumn("idf", F.coalesce("idf", F.lit(0.0)))
 
 
 def encode(
@@ -112,9 +126,9 @@ def encode(
         .groupBy("id", "token")
         .agg(F.count("*").alias("tf"))
     )
-    # A word found in every document is one hot key; the salt deals its postings out.
-    weighted = salted_lookup(counted, terms.select("token", "idf"), "token", spread_by="id")
-    weight = F.when(F.col("idf").isNull(), 0.0).otherwise((1 + F.log("tf")) * F.col("idf"))
+    # Laid out by document once, both sums below need no further shuffle.
+    weighted = _lookup_idf(counted, terms).repartition("id")
+    weight = (1 + F.log("tf")) * F.col("idf")
     bucket = F.coalesce(hex_number(F.md5("token"), 6) % dim, F.lit(0)).cast("int")
     buckets = weighted.groupBy("id", bucket.alias("bucket")).agg(F.sum(weight).alias("weight"))
     # At most ``dim`` entries a group.

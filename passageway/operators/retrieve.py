@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passageway.functions import vectors as vec
 from passageway.functions.bounds import broadcast_within, materialize, measured_bytes
+from passageway.functions.lexical import Bm25Scorer
+from passageway.functions.scan import BLOCK_BYTES, best_per_task
 from passageway.functions.text import words
+from passageway.functions.vectors import CosineScorer, matrix, nearest_cells
 from passageway.operators.encode import TermStats, query_terms
 
-# Query vectors sent whole to every task; a larger batch is cut into blocks and shuffled instead.
-QUERY_BLOCK_BYTES = 16 * 1024 * 1024
-# Rows of one slice of the vector table in the shuffled way.
-SLICE_ROWS = 50_000
-
-
 def rank_top(scored: DataFrame, k: int, id_col: str = "id", score_col: str = "score") -> DataFrame:
     """Add ``rank`` 1..k per ``qid`` by score, ties to the smaller id.
 
@@ -33,53 +28,14 @@ def rank_top(scored: DataFrame, k: int, id_col: str = "id", score_col: str = "sc
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _collect_block(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = queries.toArrow()
-    return table.column("qid").to_numpy(), vec.matrix(table.column("embedding"))
-
-
-def _best_per_task(queries: DataFrame, vectors: DataFrame, scoring: vec.Scoring, block_bytes: int) -> DataFrame:
-    """(qid, id, coarse, score): every task's best rows for every query."""
-    queries = queries.select(F.col("qid").cast("bigint"), "embedding")
-    columns = ["id", "embedding"] + (["cell"] if scoring.centroids is not None else [])
-    vectors = vectors.select(F.col("id").cast("bigint").alias("id"), *columns[1:])
-    size = measured_bytes(queries)
-    if size <= block_bytes:
-        # The measured batch goes to the tasks; the vectors are scored where they are read.
-        block = vectors.sparkSession.sparkContext.broadcast(_collect_block(queries))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, embedded = block.value
-            yield from vec.best_rows(batches, qids, embedded, scoring)
-
-        return vectors.mapInArrow(score, vec.PARTIAL_SCHEMA)
-
-    n_blocks = -(-size // block_bytes)
-    n_slices = max(1, -(-vectors.count() // SLICE_ROWS))
-    blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    slices = F.sequence(F.lit(0), F.lit(n_slices - 1))
-    left = vectors.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(n_slices)).cast("int")).withColumn(
-        "_block", F.explode(blocks)
-    )
-    right = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int")).withColumn(
-        "_slice", F.explode(slices)
-    )
-
-    def score_pair(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        qids = asked.column("qid").to_numpy()
-        embedded = vec.matrix(asked.column("embedding"))
-        found = list(vec.best_rows(rows.select(columns).to_batches(), qids, embedded, scoring))
-        return pa.Table.from_batches(found, schema=vec._ARROW)
-
-    return (
-        left.groupBy("_block", "_slice")
-        .cogroup(right.groupBy("_block", "_slice"))
-        .applyInArrow(score_pair, vec.PARTIAL_SCHEMA)
-    )
+def _best_vectors(queries: DataFrame, vectors: DataFrame, scorer: CosineScorer, block_bytes: int) -> DataFrame:
+    cells = [] if scorer.centroids is None else ["cell"]
+    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding")
+    return best_per_task(asked, vectors.select(F.col("id").cast("bigint").alias("id"), "embedding", *cells), scorer, block_bytes)
 
 
 def exact_topk(
-    queries: DataFrame, vectors: DataFrame, k: int = 8, block_bytes: int = QUERY_BLOCK_BYTES
+    queries: DataFrame, vectors: DataFrame, k: int = 8, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """The k vectors of highest cosine per query: (qid, rank, id, score).
 
@@ -87,7 +43,7 @@ def exact_topk(
     places and ties go to the smaller id.  Scoring is a matrix product in each task, of which only
     k rows a query leave the task, so no row per (query, vector) pair ever exists.
     """
-    best = _best_per_task(queries, vectors, vec.Scoring(k), block_bytes)
+    best = _best_vectors(queries, vectors, CosineScorer(k), block_bytes)
     return rank_top(best, k).select("qid", "rank", "id", "score")
 
 
@@ -107,9 +63,9 @@ def fit_cells(
 
 
 def _centroid_matrix(centroids: DataFrame) -> np.ndarray:
-    if measured_bytes(centroids) > QUERY_BLOCK_BYTES:
+    if measured_bytes(centroids) > BLOCK_BYTES:
         raise ValueError("too many cells to send to every task")
-    return vec.matrix(centroids.orderBy("cell").toArrow().column("centroid"))
+    return matrix(centroids.orderBy("cell").toArrow().column("centroid"))
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -121,7 +77,7 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
         if embedding.empty:
             return pd.Series([], dtype="int32")
         rows = np.stack(embedding.to_numpy()).astype(np.float64)
-        return pd.Series(vec.nearest_cells(rows, centers.value, 1)[:, 0].astype(np.int32))
+        return pd.Series(nearest_cells(rows, centers.value, 1)[:, 0].astype(np.int32))
 
     return vectors.withColumn("cell", nearest("embedding"))
 
@@ -135,7 +91,7 @@ def ann_topk(
     coarse_dims: int | None = 16,
     centroids: DataFrame | None = None,
     nprobe: int = 4,
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Approximate top-k through a candidate pool of ``ef`` rows: (qid, rank, id, score).
 
@@ -146,17 +102,17 @@ def ann_topk(
     """
     if ef < k:
         raise ValueError("the pool must hold at least k candidates")
-    scoring = vec.Scoring(ef, coarse_dims)
+    scorer = CosineScorer(ef, coarse_dims)
     if coarse == "ivf":
         if centroids is None:
             raise ValueError("ivf needs centroids")
         if "cell" not in vectors.columns:
             vectors = assign_cells(vectors, centroids)
         centers = _centroid_matrix(centroids)
-        scoring = scoring._replace(centroids=centers, nprobe=min(nprobe, len(centers)))
+        scorer = scorer._replace(centroids=centers, nprobe=min(nprobe, len(centers)))
     elif coarse != "prefix":
         raise ValueError("coarse must be 'prefix' or 'ivf'")
-    best = _best_per_task(queries, vectors, scoring, block_bytes)
+    best = _best_vectors(queries, vectors, scorer, block_bytes)
     pool = rank_top(best, ef, score_col="coarse").drop("rank")
     return rank_top(pool, k).select("qid", "rank", "id", "score")
 
@@ -184,24 +140,20 @@ def compare_topk(a: DataFrame, b: DataFrame, k: int = 8) -> DataFrame:
     )
 
 
-def bm25_topk(queries: DataFrame, stats: TermStats, k: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_topk(
+    queries: DataFrame, stats: TermStats, k: int = 8, k1: float = 1.2, b: float = 0.75, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """The k documents of highest BM25 score per question: (qid, rank, id, score).
 
-    ``stats`` is best made with ``only=query_terms(queries)``: postings then lie by document, and
-    scores are summed and cut to k rows a query inside each task, before anything is shuffled.
+    ``stats`` may be limited to ``only=query_terms(queries)``.  Every document is scored from its
+    own words in the task that reads it, so a word found everywhere neither makes a hot key nor a
+    row per (question, document); k rows a question leave each task.
     """
-    n_docs = stats.corpus.select("n_docs").scalar()
-    total = stats.corpus.select("total_len").scalar()
-    asked = query_terms(queries).join(stats.terms, "token").select("qid", "token", "idf")
-    asked = broadcast_within(materialize(asked))
-    norm = F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("doc_len") * n_docs / total)
-    part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)
-    scored = (
-        stats.postings.join(asked, "token")
-        .groupBy("qid", "id")
-        .agg(F.round(F.sum(part), 6).alias("score"))
-    )
-    return rank_top(scored, k).select("qid", "rank", "id", "score")
+    asked = query_terms(queries, stats.mode).join(stats.terms.select("token", "idf"), "token").select("qid", "token", "idf")
+    average = stats.corpus.select(F.try_divide("total_len", "n_docs")).first()
+    scorer = Bm25Scorer(k, float((average and average[0]) or 1.0), k1, b)
+    best = best_per_task(asked.withColumn("qid", F.col("qid").cast("bigint")), stats.words, scorer, block_bytes)
+    return rank_top(best, k).select("qid", "rank", "id", "score")
 
 
 def rrf_fuse(lists: Sequence[DataFrame], c: int = 60, depth: int = 50, k: int = 8) -> DataFrame:

@@ -134,7 +134,7 @@ def encode_with_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def term_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.term_stats(study.documents(spark, sf)).postings
+    return encode.term_frequencies(encode.term_stats(study.documents(spark, sf)))
 
 
 def _terms(spark: SparkSession, sf: str, mode: str) -> DataFrame:

@@ -11,7 +11,7 @@ from passageway.operators.corpus import chunk_documents
 from passageway.operators.encode import encode, query_terms, term_stats, with_instruction
 from passageway.operators.evaluate import confusion, majority
 from passageway.operators.retrieve import bm25_topk, exact_topk
-from passageway.sources.documents import load_documents
+from passageway.sources.documents import load_documents, spread
 
 # Configuration, percent of answerable questions refused, percent of unanswerable
 # questions refused, percent of answered questions answered correctly.
@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return load_documents(spark, f"{sf}/documents.parquet")
+    return spread(load_documents(spark, f"{sf}/documents.parquet"))
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +94,7 @@ def vector(spark: SparkSession, sf: str, k: int, instruction: str | None = None)
     if instruction:
         asked = with_instruction(asked, instruction)
     terms = term_stats(units, "id").terms
-    encoded = encode(asked, term_stats(units, "id", only=query_terms(asked)).terms, "qid", "question")
+    encoded = encode(asked, terms, "qid", "question")
     return exact_topk(encoded.withColumnRenamed("id", "qid"), encode(units, terms, "id"), k)
 
 

@@ -33,3 +33,13 @@ def load_documents(
     if sources is not None:
         docs = docs.filter(F.col("source").isin(list(sources)))
     return docs.select(*columns) if columns else docs
+
+
+def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Deal out a scan that has fewer splits than there are cores, before work that is heavy per row.
+
+    Such a table is small (or one file without inner cuts), so moving it is cheap.  A table with
+    enough splits is returned as it is.  Meant for scans: a plan with shuffles would be run to be asked.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, key) if docs.rdd.getNumPartitions() < cores else docs
