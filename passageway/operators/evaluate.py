@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passageway.functions.bounds import broadcast_within, materialize
 from passageway.functions.text import hex_number
 
 
@@ -61,10 +62,11 @@ def retrieval_hits(
     ``ranked`` (qid, rank, id) ranks chunks, ``gold_chunks`` has (qid, id), ``gold_docs``
     (qid, doc_id), ``chunk_docs`` (id, doc_id).
     """
-    top = ranked.filter(F.col("rank") <= k).select("qid", "id")
+    top = materialize(ranked.filter(F.col("rank") <= k).select("qid", "id"))
     strict = top.join(gold_chunks.select("qid", "id"), ["qid", "id"], "left_semi").select("qid").distinct()
     loose = (
-        top.join(chunk_docs.select("id", "doc_id"), "id")
+        chunk_docs.select("id", "doc_id")
+        .join(broadcast_within(top), "id")
         .join(gold_docs.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi")
         .select("qid")
         .distinct()

@@ -19,6 +19,7 @@ from passageway.functions.text import words
 from passageway.functions.vectors import CosineScorer, matrix, nearest_cells
 from passageway.operators.encode import TermStats, query_terms
 
+
 def rank_top(scored: DataFrame, k: int, id_col: str = "id", score_col: str = "score") -> DataFrame:
     """Add ``rank`` 1..k per ``qid`` by score, ties to the smaller id.
 
@@ -68,18 +69,24 @@ def _centroid_matrix(centroids: DataFrame) -> np.ndarray:
     return matrix(centroids.orderBy("cell").toArrow().column("centroid"))
 
 
-def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Add ``cell``, the nearest centre.  Store vectors partitioned by it and probing reads few cells."""
-    centers = vectors.sparkSession.sparkContext.broadcast(_centroid_matrix(centroids))
+def _with_cells(vectors: DataFrame, centers: np.ndarray, n: int) -> DataFrame:
+    """Add ``cells``, the ``n`` nearest cells of each vector."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centers)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("array<int>")
     def nearest(embedding: pd.Series) -> pd.Series:
         if embedding.empty:
-            return pd.Series([], dtype="int32")
+            return pd.Series([], dtype=object)
         rows = np.stack(embedding.to_numpy()).astype(np.float64)
-        return pd.Series(nearest_cells(rows, centers.value, 1)[:, 0].astype(np.int32))
+        return pd.Series(list(nearest_cells(rows, shared.value, n).astype(np.int32)))
+
+    return vectors.withColumn("cells", nearest("embedding"))
 
-    return vectors.withColumn("cell", nearest("embedding"))
+
+def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Add ``cell``, the nearest centre.  Stored partitioned by it, probing reads only the cells asked for."""
+    nearest = _with_cells(vectors, _centroid_matrix(centroids), 1)
+    return nearest.withColumn("cell", F.col("cells")[0]).drop("cells")
 
 
 def ann_topk(
@@ -110,6 +117,10 @@ def ann_topk(
             vectors = assign_cells(vectors, centroids)
         centers = _centroid_matrix(centroids)
         scorer = scorer._replace(centroids=centers, nprobe=min(nprobe, len(centers)))
+        queries = materialize(queries.select("qid", "embedding"))
+        probed = _with_cells(queries, centers, scorer.nprobe).select(F.explode("cells").alias("cell")).distinct()
+        # At most one number a cell; as a literal list it prunes the directories of stored vectors.
+        vectors = vectors.filter(F.col("cell").isin([row.cell for row in probed.collect()]))
     elif coarse != "prefix":
         raise ValueError("coarse must be 'prefix' or 'ivf'")
     best = _best_vectors(queries, vectors, scorer, block_bytes)

@@ -60,7 +60,7 @@ def mix(records: DataFrame, counts: Mapping[str, int], seed: str = "0") -> DataF
 
 def untraceable(records: DataFrame, chunks: DataFrame, kinds: Sequence[str] = ("real",)) -> DataFrame:
     """Records of the given kinds whose ``source_ref`` is missing or names no stored source."""
-    known = chunks.select("source_ref").distinct()
+    known = broadcast_within(materialize(chunks.select("source_ref").distinct()))
     return records.filter(F.col("kind").isin(list(kinds))).join(known, "source_ref", "left_anti")
 
 

@@ -167,8 +167,16 @@ def ann_topk_prefix(spark: SparkSession, sf: str) -> DataFrame:
 def _ivf(spark: SparkSession, sf: str, nprobe: int) -> DataFrame:
     vectors = study.vectors(spark, sf)
     cells = retrieve.fit_cells(vectors, 16)
+    out = scratch_path(spark, "vectors")
+    collections.write_vectors(retrieve.assign_cells(vectors, cells), out)
     return retrieve.ann_topk(
-        study.label_centers(spark, sf), vectors, 8, coarse="ivf", coarse_dims=None, centroids=cells, nprobe=nprobe
+        study.label_centers(spark, sf),
+        collections.open_vectors(spark, out),
+        8,
+        coarse="ivf",
+        coarse_dims=None,
+        centroids=cells,
+        nprobe=nprobe,
     )
 
 
@@ -224,15 +232,15 @@ def rank_displacement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = study.lexical(spark, sf, study.chunk_units(spark, sf), 8)
-    return retrieve.assemble_context(study.questions(spark, sf), ranked, study.chunks(spark, sf), study.TEMPLATE)
+    chunks = study.stored_chunks(spark, sf)
+    ranked = study.lexical(spark, sf, study.as_units(chunks), 8)
+    return retrieve.assemble_context(study.questions(spark, sf), ranked, chunks, study.TEMPLATE)
 
 
 def extractive_answers(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = study.lexical(spark, sf, study.chunk_units(spark, sf), 8)
-    answers = retrieve.extractive_answers(
-        study.questions(spark, sf), ranked, study.chunks(spark, sf), study.THRESHOLD, study.REFUSAL
-    )
+    chunks = study.stored_chunks(spark, sf)
+    ranked = study.lexical(spark, sf, study.as_units(chunks), 8)
+    answers = retrieve.extractive_answers(study.questions(spark, sf), ranked, chunks, study.THRESHOLD, study.REFUSAL)
     return answers.withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0).cast("bigint")))
 
 
@@ -288,12 +296,13 @@ def majority(spark: SparkSession, sf: str) -> DataFrame:
 
 def retrieval_hits(spark: SparkSession, sf: str) -> DataFrame:
     questions = study.questions(spark, sf)
-    units = study.chunk_units(spark, sf)
+    chunks = study.stored_chunks(spark, sf)
+    units = study.as_units(chunks)
     hits = evaluate.retrieval_hits(
         study.lexical(spark, sf, units, 8),
         study.gold(questions, units),
-        study.gold(questions, study.document_units(spark, sf)).select("qid", F.col("id").alias("doc_id")),
-        study.chunks(spark, sf).select(F.col("chunk_no").alias("id"), "doc_id"),
+        _document_gold(spark, sf).select("qid", F.col("id").alias("doc_id")),
+        chunks.select(F.col("chunk_no").alias("id"), "doc_id"),
         8,
     )
     return _rounded(hits, "strict_rate", "loose_rate")

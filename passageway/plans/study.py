@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageway.functions.bounds import broadcast_within
+from passageway.functions.bounds import broadcast_within, materialize, scratch_path
 from passageway.functions.text import hash_mod, words
 from passageway.operators.corpus import chunk_documents
 from passageway.operators.encode import encode, query_terms, term_stats, with_instruction
 from passageway.operators.evaluate import confusion, majority
 from passageway.operators.retrieve import bm25_topk, exact_topk
+from passageway.sources.collections import build_collection, open_collection
 from passageway.sources.documents import load_documents, spread
 
 # Configuration, percent of answerable questions refused, percent of unanswerable
@@ -66,9 +67,10 @@ def gold(queries: DataFrame, passages: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x), x.alias("word"))))["word"]
     keys = broadcast_within(asked.select("qid", longest.alias("word")))
     named = passages.select("id", F.explode(F.array_distinct(words("text"))).alias("word"))
-    candidates = named.join(keys, "word").select("qid", "id")
+    candidates = broadcast_within(materialize(named.join(keys, "word").select("qid", "id")))
     return (
-        candidates.join(passages.select("id", _spaced("text").alias("hay")), "id")
+        passages.select("id", _spaced("text").alias("hay"))
+        .join(candidates, "id")
         .join(asked.select("qid", "needle"), "qid")
         .filter(F.contains(F.col("hay"), F.col("needle")))
         .select("qid", "id")
@@ -79,8 +81,15 @@ def document_units(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
 
 
-def chunk_units(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks(spark, sf).select(F.col("chunk_no").alias("id"), "text")
+def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus as a built collection: cut once, then read with only the columns asked for."""
+    out = scratch_path(spark, "corpus")
+    build_collection(chunks(spark, sf), "corpus", out)
+    return open_collection(spark, out, "corpus")
+
+
+def as_units(chunked: DataFrame) -> DataFrame:
+    return chunked.select(F.col("chunk_no").alias("id"), "text")
 
 
 def lexical(spark: SparkSession, sf: str, units: DataFrame, k: int) -> DataFrame:

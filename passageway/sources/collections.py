@@ -49,3 +49,12 @@ def open_collection(
     if name is not None:
         chunks = chunks.filter(F.col("collection") == name)
     return chunks.persist(StorageLevel.MEMORY_AND_DISK) if cache else chunks
+
+
+def write_vectors(vectors: DataFrame, out_dir: str) -> None:
+    """Store (id, embedding, cell) partitioned by cell, replacing what was there."""
+    vectors.select("id", "embedding", "cell").write.mode("overwrite").partitionBy("cell").parquet(out_dir)
+
+
+def open_vectors(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.schema("id bigint, embedding array<float>, cell int").parquet(out_dir)
