@@ -55,8 +55,8 @@ class CosineScorer(NamedTuple):
         dims = self.coarse_dims or queries.shape[1]
         coarse = cosine(queries[:, :dims], rows[:, :dims])
         q, r = above_floor(coarse, self.pool)
-        q, r, coarse, _ = keep_best((q, r, coarse[q, r], q), self.pool)
-        return q, ids[r], coarse, coarse if dims == queries.shape[1] else pairwise_cosine(queries[q], rows[r])
+        q, best, coarse, r = keep_best((q, ids[r], coarse[q, r], r), self.pool)
+        return q, best, coarse, coarse if dims == queries.shape[1] else pairwise_cosine(queries[q], rows[r])
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
