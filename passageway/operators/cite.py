@@ -54,6 +54,7 @@ def enforce_whitelist(answers: DataFrame, retrieved: DataFrame, k: int = 8) -> D
     """Delete every citation outside the supplied passages, and the separator it leaves dangling.
 
     A deleted citation takes the separator before it; the first of a row takes the one after it.
+    Where deleting would join what stands around into another citation, a space stays in its place.
     """
     allowed = F.array_join(F.transform("ids", lambda n: n.cast("string")), "|")
     outside = F.concat(F.lit(r"\[资料§(?!0*(?:"), allowed, F.lit(r")\])\d+\]"))
@@ -62,7 +63,13 @@ def enforce_whitelist(answers: DataFrame, retrieved: DataFrame, k: int = 8) -> D
     marked = F.regexp_replace("answer", outside, F.lit(_REMOVED))
     tidy = F.regexp_replace(marked, rf"{_SEPARATOR}\s*{_REMOVED}", "")
     tidy = F.regexp_replace(tidy, rf"{_REMOVED}(?:{_SEPARATOR}\s*)?", "")
-    return _with_supplied(answers, retrieved, k).withColumn("answer", tidy).drop("ids")
+    legal = F.filter(citations("answer"), lambda n: F.array_contains(F.col("ids"), n))
+    return (
+        _with_supplied(answers, retrieved, k)
+        .select("*", marked.alias("_marked"), tidy.alias("_tidy"), legal.alias("_legal"))
+        .withColumn("answer", F.when(citations("_tidy") == F.col("_legal"), F.col("_tidy")).otherwise(F.replace("_marked", F.lit(_REMOVED), F.lit(" "))))
+        .drop("ids", "_marked", "_tidy", "_legal")
+    )
 
 
 def apply_retry(answers: DataFrame, retries: DataFrame, flags: DataFrame) -> DataFrame:
