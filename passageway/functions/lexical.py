@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from passageway.functions.scan import Batches, Best, above_floor, keep_best, merge, to_batch
+from passageway.functions.scan import Batches, Best, Held, above_floor, keep_best, to_batch
 
 # Cells of the (question, text) score matrix and term matches held at once by a task.
 _CELLS = 2_000_000
@@ -34,17 +34,17 @@ class Bm25Scorer(NamedTuple):
         # Questions that use term t: entries first[t] .. first[t + 1].
         first = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(tokens.dictionary)))])
         uses = question[by_token], asked.column("idf").to_numpy()[by_token], first
-        best = None
+        held = Held(len(qids), self.k)
         for batch in batches:
-            found = [best] if best is not None else []
-            found += self._score(batch, tokens.dictionary, uses, len(qids))
-            best = merge(found, self.k)
-        if best is not None:
-            yield to_batch(best, qids)
+            for found in self._score(batch, tokens.dictionary, uses, held.floor):
+                held.add([found])
+        if held.rows is not None:
+            yield to_batch(held.rows, qids)
 
-    def _score(self, batch: pa.RecordBatch, vocabulary: pa.Array, uses: tuple, n_questions: int) -> Iterator[Best]:
+    def _score(self, batch: pa.RecordBatch, vocabulary: pa.Array, uses: tuple, floor: np.ndarray) -> Iterator[Best]:
         lists, ids = batch.column("words"), batch.column("id").to_numpy()
         question, idf, first = uses
+        n_questions = len(floor)
         length = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         code = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False)
         text = np.repeat(np.arange(len(ids)), length)
@@ -70,9 +70,7 @@ class Bm25Scorer(NamedTuple):
             scores = np.round(scores, 6)
             scores[np.bincount(cell, minlength=len(scores)) == 0] = -1.0
             scores = scores.reshape(shape)
-            q, r = above_floor(scores, self.k)
-            hit = scores[q, r] >= 0
-            q, r = q[hit], r[hit]
+            q, r = above_floor(scores, self.k, np.maximum(floor, 0.0))
             score = scores[q, r]
             yield keep_best((q, ids[start + r], score, score), self.k)
             start = stop

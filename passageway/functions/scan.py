@@ -36,20 +36,35 @@ def keep_best(rows: Best, pool: int) -> Best:
     return tuple(column[order] for column in rows)
 
 
-def above_floor(scores: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (query, row) not below the pool-th best row of each query, ties included."""
+def above_floor(scores: np.ndarray, pool: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (query, row) that may belong to the best ``pool`` of each query, ties included.
+
+    ``floor`` is the lowest score already held by a query whose pool is full.
+    """
     n = scores.shape[1]
-    if n <= pool:
-        q, r = np.indices(scores.shape)
-        return q.ravel(), r.ravel()
-    floor = np.partition(scores, n - pool, axis=1)[:, n - pool]
+    if n > pool:
+        floor = np.maximum(floor, np.partition(scores, n - pool, axis=1)[:, n - pool])
     return np.nonzero(scores >= floor[:, None])
 
 
-def merge(parts: list[Best], pool: int) -> Best | None:
-    if not parts:
-        return None
-    return keep_best(tuple(np.concatenate(column) for column in zip(*parts)), pool)
+class Held:
+    """The best ``pool`` rows a query seen so far by a task."""
+
+    def __init__(self, n_queries: int, pool: int) -> None:
+        self.pool = pool
+        self.rows: Best | None = None
+        self.floor = np.full(n_queries, -np.inf)
+
+    def add(self, parts: list[Best]) -> None:
+        parts = [part for part in (self.rows, *parts) if part is not None]
+        if not parts:
+            return
+        self.rows = keep_best(tuple(np.concatenate(column) for column in zip(*parts)), self.pool)
+        q, _, coarse, _ = self.rows
+        queries = np.arange(len(self.floor))
+        end = np.searchsorted(q, queries, side="right")
+        full = end - np.searchsorted(q, queries, side="left") == self.pool
+        self.floor[full] = coarse[end[full] - 1]
 
 
 def to_batch(best: Best, qids: np.ndarray) -> pa.RecordBatch:

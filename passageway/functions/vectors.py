@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from passageway.functions.scan import Batches, Best, above_floor, keep_best, merge, to_batch
+from passageway.functions.scan import Batches, Best, Held, above_floor, keep_best, to_batch
 
 # Queries scored at once against one batch; bounds the score matrix held by a task.
 _STRIPE = 256
@@ -34,27 +34,27 @@ class CosineScorer(NamedTuple):
         if self.centroids is not None:
             probes = np.zeros((len(qids), len(self.centroids)), dtype=bool)
             np.put_along_axis(probes, nearest_cells(queries, self.centroids, self.nprobe), True, axis=1)
-        best = None
+        held = Held(len(qids), self.pool)
         for batch in batches:
             rows, ids = matrix(batch.column("embedding")), batch.column("id").to_numpy()
             cells = np.zeros(len(ids), dtype=np.int64)
             if self.centroids is not None:
                 cells = batch.column("cell").to_numpy()
-            found = [best] if best is not None else []
+            found = []
             for cell in np.unique(cells):
                 members, asking = np.nonzero(cells == cell)[0], np.nonzero(probes[:, cell])[0]
                 for start in range(0, len(asking), _STRIPE):
                     stripe = asking[start : start + _STRIPE]
-                    q, *rest = self._candidates(queries[stripe], rows[members], ids[members])
+                    q, *rest = self._candidates(queries[stripe], rows[members], ids[members], held.floor[stripe])
                     found.append((stripe[q], *rest))
-            best = merge(found, self.pool)
-        if best is not None:
-            yield to_batch(best, qids)
+            held.add(found)
+        if held.rows is not None:
+            yield to_batch(held.rows, qids)
 
-    def _candidates(self, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray) -> Best:
+    def _candidates(self, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, floor: np.ndarray) -> Best:
         dims = self.coarse_dims or queries.shape[1]
         coarse = cosine(queries[:, :dims], rows[:, :dims])
-        q, r = above_floor(coarse, self.pool)
+        q, r = above_floor(coarse, self.pool, floor)
         q, best, coarse, r = keep_best((q, ids[r], coarse[q, r], r), self.pool)
         return q, best, coarse, coarse if dims == queries.shape[1] else pairwise_cosine(queries[q], rows[r])
 

@@ -29,6 +29,14 @@ def rank_top(scored: DataFrame, k: int, id_col: str = "id", score_col: str = "sc
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _merge(best: DataFrame, pool: int) -> DataFrame:
+    """Cut the rows returned by the tasks to ``pool`` a query in 64 shares, so that no task gets all of a query."""
+    share = F.pmod(F.xxhash64("id"), F.lit(64))
+    w = Window.partitionBy("qid", "_share").orderBy(F.desc("coarse"), "id")
+    ranked = best.withColumn("_share", share).withColumn("_place", F.row_number().over(w))
+    return ranked.filter(F.col("_place") <= pool).drop("_share", "_place")
+
+
 def _best_vectors(queries: DataFrame, vectors: DataFrame, scorer: CosineScorer, block_bytes: int) -> DataFrame:
     cells = [] if scorer.centroids is None else ["cell"]
     asked = queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding")
@@ -45,7 +53,7 @@ def exact_topk(
     k rows a query leave the task, so no row per (query, vector) pair ever exists.
     """
     best = _best_vectors(queries, vectors, CosineScorer(k), block_bytes)
-    return rank_top(best, k).select("qid", "rank", "id", "score")
+    return rank_top(_merge(best, k), k).select("qid", "rank", "id", "score")
 
 
 def fit_cells(
@@ -124,7 +132,7 @@ def ann_topk(
     elif coarse != "prefix":
         raise ValueError("coarse must be 'prefix' or 'ivf'")
     best = _best_vectors(queries, vectors, scorer, block_bytes)
-    pool = rank_top(best, ef, score_col="coarse").drop("rank")
+    pool = rank_top(_merge(best, ef), ef, score_col="coarse").drop("rank")
     return rank_top(pool, k).select("qid", "rank", "id", "score")
 
 
@@ -164,7 +172,7 @@ def bm25_topk(
     average = stats.corpus.select(F.try_divide("total_len", "n_docs")).first()
     scorer = Bm25Scorer(k, float((average and average[0]) or 1.0), k1, b)
     best = best_per_task(asked.withColumn("qid", F.col("qid").cast("bigint")), stats.words, scorer, block_bytes)
-    return rank_top(best, k).select("qid", "rank", "id", "score")
+    return rank_top(_merge(best, k), k).select("qid", "rank", "id", "score")
 
 
 def rrf_fuse(lists: Sequence[DataFrame], c: int = 60, depth: int = 50, k: int = 8) -> DataFrame:

@@ -79,7 +79,7 @@ def _expected(spark: SparkSession, sf: str) -> DataFrame:
     return (
         study.documents(spark, sf)
         .groupBy(F.col("lang").alias("collection"))
-        .agg(F.sum(corpus.chunk_count(F.col("text"), 800, 400)).alias("expected"))
+        .agg(F.sum(corpus.chunk_count(F.length("text"), 800, 400)).alias("expected"))
     )
 
 

@@ -50,7 +50,7 @@ def chunks(spark: SparkSession, sf: str, collection: str | None = None) -> DataF
     docs = documents(spark, sf)
     if collection is not None:
         docs = docs.withColumn("collection", F.col(collection))
-    return chunk_documents(docs)
+    return chunk_documents(docs, length_col="n_chars")
 
 
 def _spaced(text: str) -> Column:
