@@ -1,4 +1,4 @@
-"""BM25 scoring of Arrow batches of tokenised texts."""
+"""Counting and BM25 scoring of words in Arrow batches of tokenised texts."""
 
 from __future__ import annotations
 
@@ -15,6 +15,80 @@ from passageway.functions.scan import Batches, Best, Held, above_floor, keep_bes
 _CELLS = 2_000_000
 
 
+# Rows of one batch handed back to Spark.
+_BATCH_ROWS = 65_536
+COUNTS_SCHEMA = "id bigint, token string, tf bigint, doc_len int"
+_COUNTS = pa.schema([("id", pa.int64()), ("token", pa.string()), ("tf", pa.int64()), ("doc_len", pa.int32())])
+
+
+ENCODED_SCHEMA = "id bigint, embedding array<double>, token string, tf bigint"
+_ENCODED = pa.schema(
+    [("id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("token", pa.string()), ("tf", pa.int64())]
+)
+
+
+def _frequencies(text: np.ndarray, code: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, frequency), one entry per word of a text, in text order."""
+    pair, tf = np.unique(text * max(n_codes, 1) + code, return_counts=True)
+    return *np.divmod(pair, max(n_codes, 1)), tf
+
+
+def _layout(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words of each text, and the text of each word."""
+    length = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return length, np.repeat(np.arange(len(length)), length)
+
+
+def count_terms(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """(id, token, tf, doc_len) from (id, words): a text is one row, so its counts need no shuffle."""
+    for batch in batches:
+        lists, ids = batch.column("words"), batch.column("id").to_numpy()
+        length, text = _layout(lists)
+        words = lists.flatten().dictionary_encode()
+        text, word, tf = _frequencies(text, words.indices.to_numpy(zero_copy_only=False), len(words.dictionary))
+        for start in range(0, len(tf), _BATCH_ROWS):
+            part = slice(start, start + _BATCH_ROWS)
+            token = words.dictionary.take(pa.array(word[part]))
+            columns = [ids[text[part]], token, tf[part], length[text[part]].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_COUNTS)
+
+
+class HashedEncoder(NamedTuple):
+    """Adds up the weights of known words (``terms``: token, idf, bucket) to one vector a text.
+
+    With ``keep_unknown`` the other words follow as rows of their own, (id, null, token, tf).
+    """
+
+    dim: int
+    keep_unknown: bool
+
+    def __call__(self, batches: Batches, terms: pa.Table) -> Iterator[pa.RecordBatch]:
+        terms = terms.combine_chunks()
+        vocabulary = terms.column("token").combine_chunks()
+        idf, bucket = terms.column("idf").to_numpy(), terms.column("bucket").to_numpy()
+        for batch in batches:
+            lists, ids = batch.column("words"), batch.column("id").to_numpy()
+            _, text = _layout(lists)
+            flat = lists.flatten()
+            code = pc.fill_null(pc.index_in(flat, vocabulary), -1).to_numpy(zero_copy_only=False)
+            known = code >= 0
+            where, term, tf = _frequencies(text[known], code[known], len(vocabulary))
+            weight = (1 + np.log(tf)) * idf[term]
+            sums = np.bincount(where * self.dim + bucket[term], weights=weight, minlength=len(ids) * self.dim)
+            offsets = pa.array(np.arange(0, len(sums) + 1, self.dim, dtype=np.int32))
+            vectors = pa.ListArray.from_arrays(offsets, pa.array(sums.astype(np.float64)))
+            yield self._batch(ids, vectors, pa.nulls(len(ids), pa.string()), np.zeros(len(ids), np.int64))
+            if self.keep_unknown and not known.all():
+                rest = flat.filter(pa.array(~known)).dictionary_encode()
+                where, word, tf = _frequencies(text[~known], rest.indices.to_numpy(zero_copy_only=False), len(rest.dictionary))
+                token = rest.dictionary.take(pa.array(word))
+                yield self._batch(ids[where], pa.nulls(len(tf), pa.list_(pa.float64())), token, tf)
+
+    @staticmethod
+    def _batch(ids: np.ndarray, vectors: pa.Array, token: pa.Array, tf: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), vectors, token, pa.array(tf)], schema=_ENCODED)
+
+
 class Bm25Scorer(NamedTuple):
     """Keeps the best ``k`` texts a question; ``asked`` has (qid, token, idf), rows (id, words)."""
 
@@ -45,13 +119,10 @@ class Bm25Scorer(NamedTuple):
         lists, ids = batch.column("words"), batch.column("id").to_numpy()
         question, idf, first = uses
         n_questions = len(floor)
-        length = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        length, text = _layout(lists)
         code = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False)
-        text = np.repeat(np.arange(len(ids)), length)
         known = code >= 0
-        # One entry per (text, term), in text order.
-        pair, tf = np.unique(text[known] * len(vocabulary) + code[known], return_counts=True)
-        text, term = np.divmod(pair, len(vocabulary))
+        text, term, tf = _frequencies(text[known], code[known], len(vocabulary))
         saturated = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[text] / self.average_length))
         n_uses = (first[1:] - first[:-1])[term]
 

@@ -93,7 +93,7 @@ def resolve_collection(sources: DataFrame, session_col: str = "session") -> Data
     """The documents each session asks: its uploaded ones if there are any, else the built-in ones."""
     uploaded = sources.filter(F.col("origin") == "uploaded")
     builtin = sources.filter(F.col("origin") == "builtin")
-    replaced = uploaded.select(session_col).distinct()
+    replaced = broadcast_within(materialize(uploaded.select(session_col).distinct()))
     return uploaded.unionByName(builtin.join(replaced, session_col, "left_anti"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passageway.functions.bounds import broadcast_within, materialize
+from passageway.functions.bounds import BROADCAST_BYTES, broadcast_within, materialize, measured_bytes
+from passageway.functions.lexical import COUNTS_SCHEMA, ENCODED_SCHEMA, HashedEncoder, count_terms
 from passageway.functions.text import hex_number, tokens
 
 
@@ -86,25 +87,25 @@ def term_stats(
 
 
 def term_frequencies(stats: TermStats) -> DataFrame:
-    """Postings: (id, token, tf, doc_len)."""
-    sized = stats.words.select("id", "words", F.size("words").alias("doc_len"))
-    exploded = sized.select("id", "doc_len", F.explode("words").alias("token"))
-    return exploded.groupBy("id", "token", "doc_len").agg(F.count("*").alias("tf")).select("id", "token", "tf", "doc_len")
+    """Postings: (id, token, tf, doc_len), counted where the documents are read."""
+    return stats.words.mapInArrow(count_terms, COUNTS_SCHEMA)
 
 
-def _lookup_idf(counted: DataFrame, terms: DataFrame, hot_share: float = 0.001) -> DataFrame:
-    """Add ``idf`` to (id, token, tf); words unknown to ``terms`` get 0.
+def _common_and_rare(terms: DataFrame, hot_share: float, max_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """The part of a vocabulary that goes to every task, and the rest (None if nothing is left).
 
-    Words in at least one document of a thousand are at most a thousand times the mean number of
-    distinct words per document, however large the corpus: they are broadcast (if measured small).
-    The rest has no hot key left and is joined by shuffle.
+    A vocabulary measured as small goes whole.  Of a larger one go the words in at least one
+    document of a thousand: at most a thousand times the mean number of distinct words per document,
+    however large the corpus.  What is left has no hot key.
     """
+    if measured_bytes(terms) <= max_bytes:
+        return terms, None
     # exp(-idf) is (df + 1/2) / (n_docs + 1), the share of the documents.
-    hot = broadcast_within(terms.filter(F.col("idf") <= -math.log(hot_share)).select("token", "idf"))
-    rest = terms.filter(F.col("idf") > -math.log(hot_share)).select("token", "idf")
-    common = counted.join(hot, "token")
-    rare = counted.join(hot, "token", "left_anti").join(rest, "token", "left")
-    return common.unionByName(rare).withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    edge = -math.log(hot_share)
+    common = terms.filter(F.col("idf") <= edge)
+    if measured_bytes(common) > max_bytes:
+        return terms.limit(0), terms
+    return common, terms.filter(F.col("idf") > edge)
 
 
 def encode(
@@ -114,29 +115,42 @@ def encode(
     text_col: str = "text",
     dim: int = 64,
     mode: str = "word",
+    hot_share: float = 0.001,
+    max_bytes: int = BROADCAST_BYTES // 2,
 ) -> DataFrame:
-    """Hashed TF-IDF vectors: (id, embedding ARRAY<DOUBLE>) for every row of ``texts``.
+    """Hashed TF-IDF vectors: (id, embedding ARRAY<DOUBLE>) for every row of ``texts``, ids being unique.
 
     A word falls into bucket ``md5(word) mod dim`` (first six hex digits) with weight
     ``(1 + ln tf) * idf``; words missing from ``terms`` weigh nothing.  ``terms`` comes from
     :func:`term_stats` of the corpus, for passages and questions alike.
+
+    Common words are summed where the texts are read.  Rare words, if the vocabulary is too large to
+    send, are looked up by a shuffle on the word and added to the vector by one on the id.
     """
-    counted = (
-        texts.select(F.col(id_col).alias("id"), F.explode_outer(tokens(text_col, mode)).alias("token"))
-        .groupBy("id", "token")
-        .agg(F.count("*").alias("tf"))
+    # Hashed once a word of the vocabulary, not once a posting.
+    bucket = (hex_number(F.md5("token"), 6) % dim).cast("int").alias("bucket")
+    common, rare = _common_and_rare(terms.select("token", "idf", bucket), hot_share, max_bytes)
+    shared = terms.sparkSession.sparkContext.broadcast(common.toArrow())
+    encoder = HashedEncoder(dim, rare is not None)
+    split = texts.select(F.col(id_col).cast("bigint").alias("id"), tokens(text_col, mode).alias("words"))
+    encoded = split.mapInArrow(lambda batches: encoder(batches, shared.value), ENCODED_SCHEMA)
+    if rare is None:
+        return encoded.select("id", "embedding")
+
+    # Rows that carry a vector match no word; their key spreads them by id.
+    key = F.coalesce("token", F.concat(F.lit(" "), F.col("id").cast("string")))
+    found = encoded.withColumn("_key", key).join(rare.withColumnRenamed("token", "_key"), "_key", "left")
+    addend = F.when(F.col("idf").isNotNull(), F.struct("bucket", ((1 + F.log("tf")) * F.col("idf")).alias("weight")))
+    # One group holds the rare words of one text.
+    gathered = found.groupBy("id").agg(
+        F.first("embedding", ignorenulls=True).alias("sums"), F.collect_list(addend).alias("addends")
     )
-    # Laid out by document once, both sums below need no further shuffle.
-    weighted = _lookup_idf(counted, terms).repartition("id")
-    weight = (1 + F.log("tf")) * F.col("idf")
-    bucket = F.coalesce(hex_number(F.md5("token"), 6) % dim, F.lit(0)).cast("int")
-    buckets = weighted.groupBy("id", bucket.alias("bucket")).agg(F.sum(weight).alias("weight"))
-    # At most ``dim`` entries a group.
-    filled = buckets.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
     vector = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))
+        "sums",
+        lambda v, i: v
+        + F.aggregate(F.filter("addends", lambda a: a["bucket"] == i), F.lit(0.0), lambda acc, a: acc + a["weight"]),
     )
-    return filled.select("id", vector.alias("embedding"))
+    return gathered.select("id", vector.alias("embedding"))
 
 
 def encode_with_model(

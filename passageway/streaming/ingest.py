@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from passageway.functions.bounds import broadcast_within
 from passageway.operators.corpus import chunk_documents
 from passageway.sources.collections import write_collections
 
@@ -17,7 +18,7 @@ UPLOADS = T.StructType(
         T.StructField("text", T.StringType()),
     ]
 )
-_STORED = T.StructType([*UPLOADS.fields, T.StructField("batch", T.LongType())])
+_STORED = T.StructType([*UPLOADS.fields[1:], UPLOADS.fields[0], T.StructField("batch", T.LongType())])
 
 
 def read_uploads(spark: SparkSession, landing_dir: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -34,18 +35,19 @@ def latest_documents(stored: DataFrame) -> DataFrame:
 
 def _build_batch(batch: DataFrame, batch_id: int, out_dir: str, size: int, overlap: int) -> None:
     spark = batch.sparkSession
-    # A replayed batch overwrites its own partition, so uploads are stored exactly once.
+    # A replayed batch overwrites its own partitions, so uploads are stored exactly once.
     (
         batch.select("collection", "doc_id", "text")
         .withColumn("batch", F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
+        .partitionBy("collection", "batch")
         .parquet(f"{out_dir}/uploads")
     )
     stored = spark.read.schema(_STORED).parquet(f"{out_dir}/uploads").filter(F.col("batch") <= batch_id)
     touched = stored.filter(F.col("batch") == batch_id).select("collection").distinct()
-    documents = latest_documents(stored.join(touched, "collection", "left_semi"))
+    # Both columns are directories: only those of the touched collections matter, and no text moves for it.
+    documents = latest_documents(stored.join(broadcast_within(touched), "collection", "left_semi"))
     # Uploads and chunks are separate directories: what is read here is not what is replaced.
     write_collections(chunk_documents(documents, size, overlap), f"{out_dir}/chunks")
 

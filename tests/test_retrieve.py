@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 
@@ -125,17 +126,27 @@ def test_bm25_both_ways(spark, monkeypatch):
     assert rows(retrieve.bm25_topk(asked, stats, 4), *names) == want
 
 
-def test_encoding_splits_common_and_rare_words(spark):
-    """The same vectors whether words count as common (broadcast) or rare (shuffled)."""
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
-    terms = encode.term_stats(docs).terms
-    counted = docs.select(F.col("doc_id").alias("id"), F.explode(F.split("text", " ")).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    want = None
-    for share in (0.001, 0.3, 1.1):
-        got = rows(encode._lookup_idf(counted, terms, share), "id", "token", "tf", "idf")
-        assert want is None or got == want
-        want = got
-    assert len(encode.encode(docs, terms, dim=8).collect()) == len(TEXTS)
+def test_encoding_with_common_and_rare_words(spark):
+    """The same vectors whether words are summed in place or looked up by shuffle."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").repartition(3)
+    stats = encode.term_stats(docs)
+    terms = {r.token: r.idf for r in stats.terms.collect()}
+    want = {}
+    for i, text in enumerate(TEXTS):
+        words = [w for w in re.split(r"[\W_]+", text) if w]
+        want[i] = [0.0] * 8
+        for w in set(words):
+            want[i][int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 8] += (1 + math.log(words.count(w))) * terms[w]
+    for limit, share in ((10**6, 0.001), (350, 0.3), (0, 0.3)):
+        got = {r.id: r.embedding for r in encode.encode(docs, stats.terms, dim=8, hot_share=share, max_bytes=limit).collect()}
+        assert got == {i: pytest.approx(v) for i, v in want.items()}
+    common, rare = encode._common_and_rare(stats.terms.withColumn("bucket", F.lit(0)), 0.3, 350)
+    assert {r.token for r in common.collect()} == {"the", "cat", "sat"} and rare.count() == len(terms) - 3
+    fewer = stats.terms.filter("token <> 'cat'")
+    a, b = (encode.encode(docs, fewer, dim=8, max_bytes=limit).orderBy("id").collect() for limit in (10**6, 0))
+    assert [r.embedding for r in a] == [pytest.approx(r.embedding) for r in b] and a[0].embedding != want[0]
+    postings = rows(encode.term_frequencies(stats), "id", "token", "tf", "doc_len")
+    assert (3, "the", 3, 3) in postings and sum(p[2] for p in postings) == 21
 
 
 def test_window_four_to_eight(spark):
