@@ -95,7 +95,7 @@ def align_numbering(spark: SparkSession, sf: str) -> DataFrame:
 def open_collection(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "collections")
     collections.write_collections(study.chunks(spark, sf, "lang"), out)
-    return collections.open_collection(spark, out, "de", cache=True)
+    return collections.open_collection(spark, out, "de")
 
 
 # --- questions and encoding -------------------------------------------------------------------

@@ -75,6 +75,13 @@ def test_building_twice_keeps_105(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(collection" in plan
 
 
+def test_cached_collection(spark, tmp_path):
+    collections.build_collection(numbered(spark, 5), "sample", str(tmp_path))
+    cached = collections.open_collection(spark, str(tmp_path), "sample", cache=True)
+    assert cached.count() == 5 and cached.storageLevel.useMemory and cached.storageLevel.useDisk
+    cached.unpersist()
+
+
 def test_audit_sees_append(spark):
     once = numbered(spark, 105)
     expected = spark.createDataFrame([("c", 105), ("gone", 3)], "collection string, expected int")
@@ -98,6 +105,17 @@ def test_upload_overrides_builtin(spark):
     assert sorted((r.session, r.doc_id) for r in got.collect()) == [("s1", 2), ("s2", 1)]
 
 
+def test_texts_move_once(spark, tmp_path):
+    """With stored lengths the texts are scanned and shuffled once; offsets come from numbers alone."""
+    path = str(tmp_path / "d.parquet")
+    docs = [(c, i, t, len(t)) for c, i, t in random_docs(4, range(40))]
+    spark.createDataFrame(docs, "collection string, doc_id bigint, text string, n bigint").write.parquet(path)
+    chunked = corpus.chunk_documents(spark.read.parquet(path), 6, 2, length_col="n")
+    plan = chunked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+    assert sorted(map(tuple, chunked.collect())) == expected_chunks([d[:3] for d in docs], 6, 2)
+
+
 def test_scan_pushes_filters_and_columns(spark, tmp_path):
     path = str(tmp_path / "d.parquet")
     spark.createDataFrame([(1, "t", "en", "a", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(path)

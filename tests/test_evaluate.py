@@ -58,11 +58,11 @@ def test_empty_matrix_has_no_f1(spark):
 
 def test_judging(spark):
     answers = spark.createDataFrame(
-        [("c", 1, 1, "GMR uses IK"), ("c", 1, 2, "GMR"), ("c", 1, 3, "not in the material"), ("c", 2, 1, "not in the material"), ("c", 3, 1, None)],
+        [("c", 1, 1, "the arm uses IK"), ("c", 1, 2, "the arm"), ("c", 1, 3, "not in the material"), ("c", 2, 1, "not in the material"), ("c", 3, 1, None)],
         "config_id string, qid int, run int, answer string",
     )
     questions = spark.createDataFrame(
-        [(1, True, ["GMR", "IK"]), (2, False, []), (3, True, [])], "qid int, in_corpus boolean, expected_terms array<string>"
+        [(1, True, ["arm", "IK"]), (2, False, []), (3, True, [])], "qid int, in_corpus boolean, expected_terms array<string>"
     )
     got = {(r.qid, r.run): (r.refused, r.correct) for r in evaluate.judge(answers, questions, ["not in the", "无"]).collect()}
     assert got[1, 1] == (False, True) and got[1, 2] == (False, False) and got[1, 3] == (True, False)

@@ -126,6 +126,30 @@ def test_bm25_both_ways(spark, monkeypatch):
     assert rows(retrieve.bm25_topk(asked, stats, 4), *names) == want
 
 
+def test_texts_are_scored_where_they_are_read(spark, tmp_path):
+    """No shuffle below the scoring; only the best rows of each task are exchanged."""
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id bigint, text string, other string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    asked = spark.createDataFrame([(1, "the cat")], "qid bigint, question string")
+    stats = encode.term_stats(docs, only=encode.query_terms(asked))
+    plan = retrieve.bm25_topk(asked, stats, 2)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("MapInArrow")
+    assert "Exchange" not in below and "ReadSchema: struct<doc_id:bigint,text:string>" in below
+    assert above.count("WindowGroupLimit") == 4
+    plan = encode.encode(docs, stats.terms)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_model_vectors(spark):
+    def make():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts], dtype=np.float32)
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    got = {r.id: r.embedding for r in encode.encode_with_model(docs, make).collect()}
+    assert got == {i: [float(len(t)), 1.0] for i, t in enumerate(TEXTS)}
+
+
 def test_encoding_with_common_and_rare_words(spark):
     """The same vectors whether words are summed in place or looked up by shuffle."""
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").repartition(3)
