@@ -148,7 +148,7 @@ def to_metrics(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def final_table(metrics: DataFrame, config_ids: Sequence[str]) -> DataFrame:
     """Metric by configuration; the configurations are listed, so no extra job finds them."""
-    return metrics.groupBy("metric").pivot("config_id", list(config_ids)).agg(F.first("value"))
+    return metrics.groupBy("metric").pivot("config_id", list(config_ids)).agg(F.max("value"))
 
 
 def _caliber(params: Column, keys: Sequence[str]) -> Column:

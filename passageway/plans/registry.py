@@ -157,7 +157,7 @@ def exact_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_topk_text(spark: SparkSession, sf: str) -> DataFrame:
-    return study.vector(spark, sf, 8)
+    return study.vector(spark, sf, study.document_units(spark, sf), 8)
 
 
 def ann_topk_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,7 +201,9 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
-    lists = [study.lexical(spark, sf, study.document_units(spark, sf), 50), study.vector(spark, sf, 50)]
+    units = study.document_units(spark, sf)
+    stats = encode.term_stats(units, "id")
+    lists = [study.lexical(spark, sf, units, 50, stats), study.vector(spark, sf, units, 50, stats)]
     return retrieve.rrf_fuse(lists, k=8)
 
 
@@ -210,16 +212,21 @@ def _document_gold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sweep_k(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(retrieve.sweep_k(study.vector(spark, sf, 8), _document_gold(spark, sf), [1, 2, 4, 8]), "hit_rate")
+    ranked = study.vector(spark, sf, study.document_units(spark, sf), 8)
+    return _rounded(retrieve.sweep_k(ranked, _document_gold(spark, sf), [1, 2, 4, 8]), "hit_rate")
 
 
 def smallest_window(spark: SparkSession, sf: str) -> DataFrame:
-    found = retrieve.smallest_window(study.vector(spark, sf, 8), _document_gold(spark, sf), [1, 2, 4, 8])
+    ranked = study.vector(spark, sf, study.document_units(spark, sf), 8)
+    found = retrieve.smallest_window(ranked, _document_gold(spark, sf), [1, 2, 4, 8])
     return found.select("qid", F.coalesce("gold_rank", F.lit(0)).alias("gold_rank"), F.coalesce("k", F.lit(0)).alias("k"))
 
 
 def rank_displacement(spark: SparkSession, sf: str) -> DataFrame:
-    plain, prefixed = study.vector(spark, sf, 50), study.vector(spark, sf, 50, study.INSTRUCTION)
+    """Where the expected document goes when every question gets an instruction prefix."""
+    units = study.document_units(spark, sf)
+    stats = encode.term_stats(units, "id")
+    plain, prefixed = (study.vector(spark, sf, units, 50, stats, prefix) for prefix in (None, study.INSTRUCTION))
     moved = retrieve.rank_displacement(plain, prefixed, _document_gold(spark, sf), 4)
     zero = F.lit(0)
     return moved.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passageway.functions.bounds import broadcast_within, materialize, scratch_path
 from passageway.functions.text import hash_mod, words
 from passageway.operators.corpus import chunk_documents
-from passageway.operators.encode import encode, query_terms, term_stats, with_instruction
+from passageway.operators.encode import TermStats, encode, query_terms, term_stats, with_instruction
 from passageway.operators.evaluate import confusion, majority
 from passageway.operators.retrieve import bm25_topk, exact_topk
 from passageway.sources.collections import build_collection, open_collection
@@ -92,19 +92,20 @@ def as_units(chunked: DataFrame) -> DataFrame:
     return chunked.select(F.col("chunk_no").alias("id"), "text")
 
 
-def lexical(spark: SparkSession, sf: str, units: DataFrame, k: int) -> DataFrame:
+def lexical(spark: SparkSession, sf: str, units: DataFrame, k: int, stats: TermStats | None = None) -> DataFrame:
     asked = questions(spark, sf)
-    return bm25_topk(asked, term_stats(units, "id", only=query_terms(asked)), k)
+    return bm25_topk(asked, stats or term_stats(units, "id", only=query_terms(asked)), k)
 
 
-def vector(spark: SparkSession, sf: str, k: int, instruction: str | None = None) -> DataFrame:
-    units = document_units(spark, sf)
+def vector(
+    spark: SparkSession, sf: str, units: DataFrame, k: int, stats: TermStats | None = None, instruction: str | None = None
+) -> DataFrame:
     asked = questions(spark, sf)
     if instruction:
         asked = with_instruction(asked, instruction)
-    terms = term_stats(units, "id").terms
-    encoded = encode(asked, terms, "qid", "question")
-    return exact_topk(encoded.withColumnRenamed("id", "qid"), encode(units, terms, "id"), k)
+    terms = (stats or term_stats(units, "id")).terms
+    encoded = encode(asked, terms, "qid", "question").withColumnRenamed("id", "qid")
+    return exact_topk(encoded, encode(units, terms, "id"), k)
 
 
 def label_centers(spark: SparkSession, sf: str) -> DataFrame:

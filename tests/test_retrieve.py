@@ -231,7 +231,7 @@ def test_hits_on_the_corpus(spark, arm, hits):
     """Hits of 20 at k = 1, 2, 4, 8, measured independently on the sf0.01 tables."""
     sf = "/root/testdata/sf0.01"
     units = study.document_units(spark, sf)
-    lexical, vector = (lambda: study.lexical(spark, sf, units, 50)), (lambda: study.vector(spark, sf, 50))
+    lexical, vector = (lambda: study.lexical(spark, sf, units, 50)), (lambda: study.vector(spark, sf, units, 50))
     ranked = {"lexical": lexical, "vector": vector, "fused": lambda: retrieve.rrf_fuse([lexical(), vector()])}[arm]()
     got = rows(retrieve.sweep_k(ranked, study.gold(study.questions(spark, sf), units), [1, 2, 4, 8]), "k", "n_hits")
     assert [n for _, n in got] == hits
