@@ -68,13 +68,8 @@ def gold(queries: DataFrame, passages: DataFrame) -> DataFrame:
     keys = broadcast_within(asked.select("qid", longest.alias("word")))
     named = passages.select("id", F.explode(F.array_distinct(words("text"))).alias("word"))
     candidates = broadcast_within(materialize(named.join(keys, "word").select("qid", "id")))
-    return (
-        passages.select("id", _spaced("text").alias("hay"))
-        .join(candidates, "id")
-        .join(asked.select("qid", "needle"), "qid")
-        .filter(F.contains(F.col("hay"), F.col("needle")))
-        .select("qid", "id")
-    )
+    pairs = passages.select("id", "text").join(candidates, "id").join(asked.select("qid", "needle"), "qid")
+    return pairs.filter(F.contains(_spaced("text"), F.col("needle"))).select("qid", "id")
 
 
 def document_units(spark: SparkSession, sf: str) -> DataFrame:
