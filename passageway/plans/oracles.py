@@ -313,6 +313,23 @@ FROM (SELECT id, unnest(range(64)) AS bucket FROM unit) LEFT JOIN weights USING
     "exact_topk_text": f"WITH {_DOC_STATS}, {vector_cte(8)} SELECT * FROM vector",
     "ann_topk_prefix": f"WITH {_EMBED}, {pooled_cte(50)} SELECT * FROM pooled",
     "ann_topk_ivf_all_cells": f"WITH {_EMBED} SELECT * FROM exact",
+    "ann_topk_ivf_label_cells": f"""
+WITH {_EMBED},
+cell_of AS (
+  SELECT id, cell FROM (
+    SELECT id, qid AS cell, row_number() OVER (
+      PARTITION BY id ORDER BY round(list_dot_product(q, q) - 2 * list_dot_product(v, q), 9), qid) AS place FROM centers, rows)
+  WHERE place = 1),
+probes AS (
+  SELECT qid, cell FROM (
+    SELECT a.qid, b.qid AS cell, row_number() OVER (
+      PARTITION BY a.qid ORDER BY round(list_dot_product(b.q, b.q) - 2 * list_dot_product(a.q, b.q), 9), b.qid) AS place
+    FROM centers a, centers b)
+  WHERE place <= 4)
+SELECT qid, rank, id, score FROM (
+  SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank
+  FROM scored JOIN cell_of USING (id) JOIN probes USING (qid, cell))
+WHERE rank <= 8""",
     "compare_topk": f"""
 WITH {_EMBED}, {pooled_cte(10)},
 a AS (SELECT qid, list(id ORDER BY rank) AS ids FROM exact GROUP BY qid),
