@@ -64,8 +64,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 400, length_col: str | None = None) -> DataFrame:
     """Cut documents into overlapping passages, numbered 1, 2, ... per collection.
 
-    ``docs`` needs ``doc_id`` (unique per collection) and ``text``; without a ``collection`` column
-    all belong to collection ``corpus``.  Numbers follow document id, then position, so the same
+    ``docs`` needs ``doc_id`` (unique per collection, not null) and ``text``; without a ``collection``
+    column (not null) all belong to collection ``corpus``.  Numbers follow document id, then position, so the same
     documents always get the same numbers.  A passage no longer than ``overlap`` is whole in at
     least one chunk.  ``length_col`` names a column that holds the length of the text in characters;
     with it the texts are read once instead of twice.
