@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +32,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
-    """Row ranges of a batch with at most ``most`` bytes of text each (a single longer text stands alone)."""
-    start = held = 0
-    for i, value in enumerate(batch.column(column)):
-        n = value.as_buffer().size if value.is_valid else 0
-        if i > start and held + n > most:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if batch.num_rows > start:
-        yield start, batch.num_rows

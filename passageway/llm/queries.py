@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from passageway.llm import mixing, urlfilter
+from passageway.llm import mixing, packing, urlfilter
 from passageway.llm.common import table, word_count, written
 
 
@@ -24,4 +24,9 @@ def op9_judge_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op9_judge_urls)}
+def op10_pack_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2048)
+
+
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op9_judge_urls, op10_pack_documents)}
