@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passageway.llm import mixing, packing, urlfilter
+from passageway.functions.bounds import scratch_path
+from passageway.llm import mixing, packing, urlfilter, warc
 from passageway.llm.common import table, word_count, written
 
 
@@ -29,4 +31,12 @@ def op10_pack_documents(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2048)
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op9_judge_urls, op10_pack_documents)}
+def op5_resolve_revisits(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.archive_pages(table(spark, sf, "pages"), scratch_path(spark, "archives"))
+    page = lambda c: warc.record_key(c).cast("bigint")
+    return records.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_resolve_revisits, op9_judge_urls, op10_pack_documents)}

@@ -41,4 +41,14 @@ fits AS (SELECT u.row, max_by(r.host || r.path, length(r.host || r.path)) AS rul
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM urls LEFT JOIN fits USING (row)
 """
 
-ORACLES = {"op4_mix_sources": OP4, "op9_judge_urls": OP9}
+# Base32 of a SHA-1: five hex digits are 20 bits, four base32 digits.
+OP5 = r"""
+WITH records AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+named AS (SELECT page_id, payload_bytes::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i:
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((('0x' || hex[(i // 4) * 5 + 1:(i // 4) * 5 + 5])::INT >> (15 - 5 * (i % 4))) & 31) + 1)::INT]), '') AS payload_digest FROM records),
+originals AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM named)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to FROM originals
+"""
+
+ORACLES = {"op5_resolve_revisits": OP5, "op4_mix_sources": OP4, "op9_judge_urls": OP9}
