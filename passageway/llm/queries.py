@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import scratch_path
-from passageway.llm import mixing, packing, pivots, simhash, urlfilter, warc
+from passageway.llm import fingerprints, mixing, packing, pivots, simhash, urlfilter, warc
 from passageway.llm.common import table, word_count, written
 
 
@@ -39,6 +39,10 @@ def op5_resolve_revisits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_fingerprint_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf, "documents"))
+
+
 def op7_simhash_components(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"), words=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,4 +52,4 @@ def op8_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf, "embeddings"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_resolve_revisits, op7_simhash_components, op8_near_vectors, op9_judge_urls, op10_pack_documents)}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_resolve_revisits, op6_fingerprint_documents, op7_simhash_components, op8_near_vectors, op9_judge_urls, op10_pack_documents)}
