@@ -7,8 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import scratch_path
-from passageway.llm import fingerprints, mixing, packing, pivots, simhash, urlfilter, warc
-from passageway.llm.common import table, word_count, written
+from passageway.llm import fingerprints, langid, mixing, packing, pivots, simhash, toxicity, urlfilter, warc
+from passageway.llm.common import fold, table, word_count, written
+
+
+def op1_score_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", (fold("doc_id") == 0).alias("held_out"))
+    model = toxicity.train(toxicity.labelled_texts(docs.filter("NOT held_out"), table(spark, sf, "labels")))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_identify_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", (fold("doc_id") == 0).alias("held_out"))
+    model = langid.train(langid.training_texts(docs.filter("NOT held_out")))
+    return langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,4 +65,4 @@ def op8_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf, "embeddings"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_resolve_revisits, op6_fingerprint_documents, op7_simhash_components, op8_near_vectors, op9_judge_urls, op10_pack_documents)}
+QUERIES = {f.__name__: f for f in (op1_score_toxicity, op2_identify_language, op4_mix_sources, op5_resolve_revisits, op6_fingerprint_documents, op7_simhash_components, op8_near_vectors, op9_judge_urls, op10_pack_documents)}
