@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import scratch_path
-from passageway.llm import fingerprints, langid, mixing, packing, pivots, simhash, toxicity, urlfilter, warc
+from passageway.llm import fingerprints, langid, lmscore, mixing, packing, pivots, simhash, toxicity, urlfilter, warc
 from passageway.llm.common import fold, table, word_count, written
 
 
@@ -24,6 +24,11 @@ def op2_identify_language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op3_score_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", (fold("doc_id") == 1).alias("held_out"))
+    return lmscore.score_texts(docs)
+
+
 def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", word_count("text").alias("size"))
     mixed = mixing.mix_sources(written(docs, "sizes"))
@@ -65,4 +70,4 @@ def op8_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf, "embeddings"), cosine=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op1_score_toxicity, op2_identify_language, op4_mix_sources, op5_resolve_revisits, op6_fingerprint_documents, op7_simhash_components, op8_near_vectors, op9_judge_urls, op10_pack_documents)}
+QUERIES = {f.__name__: f for f in (op1_score_toxicity, op2_identify_language, op3_score_pitman_yor, op4_mix_sources, op5_resolve_revisits, op6_fingerprint_documents, op7_simhash_components, op8_near_vectors, op9_judge_urls, op10_pack_documents)}
