@@ -80,7 +80,7 @@ def log_count_ratios(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
     return np.log(p[1] / p[0])
 
 
-def train(labelled: DataFrame, most_rows: int = 12_000, features: int = 1 << 14, cost: float = 30.0) -> Model:
+def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << 12, cost: float = 30.0) -> Model:
     """Fit on rows (id, text, label 0 or 1).
 
     Log-count ratios come from all labelled texts. The weights are fitted by logistic regression on at most
