@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,14 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is named (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary folder only on a local master that names none.
+
+    On a cluster a folder of the driver would be out of the executors' reach, so none being named is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="passageway-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)

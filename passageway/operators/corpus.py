@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
     )
 
 
+def _present(name: str) -> Column:
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"a document has no {name}"))).alias(name)
+
+
 def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 400, length_col: str | None = None) -> DataFrame:
     """Cut documents into overlapping passages, numbered 1, 2, ... per collection.
 
@@ -68,16 +74,25 @@ def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 400, length
     column (not null) all belong to collection ``corpus``.  Numbers follow document id, then position, so the same
     documents always get the same numbers.  A passage no longer than ``overlap`` is whole in at
     least one chunk.  ``length_col`` names a column that holds the length of the text in characters;
-    with it the texts are read once instead of twice.
+    with it the texts are read once instead of twice.  A length that is not the text's, and a null id or
+    collection, end the job with a message: neither loses a document silently.  A null text is empty.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     if "collection" not in docs.columns:
         docs = docs.withColumn("collection", F.lit("corpus"))
     step = size - overlap
-    length = F.col(length_col) if length_col else F.length("text")
-    counted = docs.select("collection", "doc_id", "text", chunk_count(length, size, overlap).alias("n"))
+    length = F.coalesce(F.col(length_col) if length_col else F.length("text"), F.lit(0))
+    counted = docs.select(
+        _present("collection"), _present("doc_id"), F.coalesce("text", F.lit("")).alias("text"), chunk_count(length, size, overlap).alias("n"), length.alias("length")
+    )
     numbered = _numbered(counted).withColumn("last", F.col("n") - 1)
+    if length_col:
+        stale = F.concat(F.lit("the stored length of document "), F.col("doc_id").cast("string"), F.lit(" is not that of its text"))
+        right = F.length("text") == F.col("length")
+        numbered = numbered.withColumn("text", F.when(right, F.col("text")).otherwise(F.raise_error(stale)))
+        # The check must see texts that yield no chunk, too.
+        numbered = numbered.withColumn("last", F.when(right, F.col("last")).otherwise(F.raise_error(stale)))
     pieces = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("last")),
         lambda i: F.col("text").substr((i * step + 1).cast("int"), F.lit(size)),
@@ -126,14 +141,16 @@ def audit_collection(chunks: DataFrame, expected: DataFrame) -> DataFrame:
     ).withColumn("ok", (F.col("n_chunks") == F.col("expected")) & (F.col("repeated_numbers") == 0))
 
 
-def _by_number(chunks: DataFrame, side: str) -> DataFrame:
+def _by_number(chunks: DataFrame, side: str, keys: list[str]) -> DataFrame:
     digest = hex_number(F.sha2("text", 256), 15).cast("decimal(38,0)")
-    return chunks.groupBy("chunk_no").agg(F.struct(F.count("*"), F.sum(digest)).alias(side))
+    return chunks.groupBy(*keys).agg(F.struct(F.count("*"), F.sum(digest)).alias(side))
 
 
-def align_numbering(left: DataFrame, right: DataFrame) -> DataFrame:
+def align_numbering(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("chunk_no",)) -> DataFrame:
     """Compare two numberings: ``same``, ``different``, ``left_only`` or ``right_only`` per number.
 
+    ``keys`` name a passage; frames that hold several collections need ("collection", "chunk_no").
+
     Each number is reduced to the count and digest sum of its texts before the join, so the join
     carries no passages and a number stored many times by mistake does not multiply.
     """
@@ -143,5 +160,6 @@ def align_numbering(left: DataFrame, right: DataFrame) -> DataFrame:
         .when(F.col("left") == F.col("right"), "same")
         .otherwise("different")
     )
-    joined = _by_number(left, "left").join(_by_number(right, "right"), "chunk_no", "full_outer")
-    return joined.select("chunk_no", status.alias("status"))
+    keys = list(keys)
+    joined = _by_number(left, "left", keys).join(_by_number(right, "right", keys), keys, "full_outer")
+    return joined.select(*keys, status.alias("status"))

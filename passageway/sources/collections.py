@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,23 +20,42 @@ CHUNKS = T.StructType(
 )
 
 
-def write_collections(chunks: DataFrame, out_dir: str) -> None:
-    """Replace every collection that occurs in ``chunks``; leave the others alone."""
+def write_collections(chunks: DataFrame, out_dir: str, replaced: Iterable[str] | None = None) -> None:
+    """Replace every collection that occurs in ``chunks``; leave the others alone.
+
+    Collections named in ``replaced`` are replaced as well if no chunk of theirs occurs: their contents go. Rows are
+    brought together by collection before writing, in partitions that Spark sizes by bytes, so a collection has as many
+    files as its size asks for, whatever the number of tasks.
+    """
+    spark = chunks.sparkSession
     (
         chunks.select(*[f.name for f in CHUNKS.fields])
+        .hint("rebalance", "collection")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("collection")
         .parquet(out_dir)
     )
+    if replaced is not None:
+        emptied = set(replaced) - {r[0] for r in chunks.select("collection").distinct().collect()}
+        for name in sorted(emptied):
+            _remove_partition(spark, out_dir, "collection", name)
+
+
+def _remove_partition(spark: SparkSession, out_dir: str, column: str, value: str) -> None:
+    """Delete one partition directory, on whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+    path = jvm.org.apache.hadoop.fs.Path(out_dir, f"{column}={escaped}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def build_collection(chunks: DataFrame, name: str, out_dir: str) -> None:
     """Store ``chunks`` as the whole content of collection ``name``.
 
-    Building twice leaves what building once leaves: the partition is replaced, never appended to.
+    Building twice leaves what building once leaves: the partition is replaced, never appended to, also by nothing.
     """
-    write_collections(chunks.withColumn("collection", F.lit(name)), out_dir)
+    write_collections(chunks.withColumn("collection", F.lit(name)), out_dir, [name])
 
 
 def open_collection(
@@ -52,8 +73,13 @@ def open_collection(
 
 
 def write_vectors(vectors: DataFrame, out_dir: str) -> None:
-    """Store (id, embedding, cell) partitioned by cell, replacing what was there."""
-    vectors.select("id", "embedding", "cell").write.mode("overwrite").partitionBy("cell").parquet(out_dir)
+    """Store (id, embedding, cell) partitioned by cell, replacing what was there.
+
+    Components are stored as FLOAT, whatever they were. Rows are brought together by cell first, in partitions that
+    Spark sizes by bytes, so that tasks do not leave a file each in every cell.
+    """
+    stored = vectors.select("id", F.col("embedding").cast("array<float>").alias("embedding"), "cell")
+    stored.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(out_dir)
 
 
 def open_vectors(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -121,3 +121,50 @@ def test_scan_pushes_filters_and_columns(spark, tmp_path):
     spark.createDataFrame([(1, "t", "en", "a", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(path)
     plan = load_documents(spark, path, ["en"], columns=["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan and "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def fails_with(action, message):
+    try:
+        action()
+    except Exception as e:
+        return message in str(e)
+    return False
+
+
+def test_stale_lengths_and_missing_ids_are_errors(spark):
+    schema = "collection string, doc_id bigint, text string, n bigint"
+    for row, message in (
+        (("a", 7, "0123456789", 4), "the stored length of document 7"),
+        (("a", 8, "0123456789", 0), "the stored length of document 8"),
+        (("a", None, "text", 4), "no doc_id"),
+        ((None, 9, "text", 4), "no collection"),
+    ):
+        df = spark.createDataFrame([("a", 1, "fine", 4), row], schema)
+        assert fails_with(lambda: corpus.chunk_documents(df, 4, 2, length_col="n").collect(), message)
+    right = spark.createDataFrame([("a", 1, "0123456789", 10), ("a", 2, None, None)], schema)
+    assert sorted(corpus.chunk_documents(right, 4, 2, length_col="n").collect()) == sorted(corpus.chunk_documents(right, 4, 2).collect())
+
+
+def test_building_from_nothing_empties(spark, tmp_path):
+    out = str(tmp_path)
+    docs = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
+    for name in ("sample", "other"):
+        collections.build_collection(corpus.chunk_documents(docs, 4, 2), name, out)
+    collections.build_collection(corpus.chunk_documents(docs.withColumn("text", F.lit("")), 4, 2), "sample", out)
+    assert {r.collection for r in collections.open_collection(spark, out).collect()} == {"other"}
+
+
+def test_many_tasks_leave_few_files(spark, tmp_path):
+    rows = spark.range(2_000).select("id", F.array(F.col("id").cast("double"), F.lit(0.1)).alias("embedding"), (F.col("id") % 16).cast("int").alias("cell"))
+    collections.write_vectors(rows.repartition(8), str(tmp_path))
+    assert len(list(tmp_path.glob("cell=*/*.parquet"))) <= 2 * 16
+    stored = collections.open_vectors(spark, str(tmp_path)).orderBy("id").collect()
+    assert len(stored) == 2_000 and stored[3].embedding[0] == 3.0
+
+
+def test_numbering_of_several_collections(spark):
+    rows = [("a", 1, "x"), ("b", 1, "y")]
+    left = spark.createDataFrame(rows, "collection string, chunk_no bigint, text string")
+    right = spark.createDataFrame([("a", 1, "x"), ("b", 1, "z")], left.schema)
+    got = {(r.collection, r.chunk_no): r.status for r in corpus.align_numbering(left, right, ["collection", "chunk_no"]).collect()}
+    assert got == {("a", 1): "same", ("b", 1): "different"}

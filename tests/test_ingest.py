@@ -43,8 +43,29 @@ def test_uploads_build_and_replays_change_nothing(spark, tmp_path):
     assert contents(spark, out) == batch_contents(spark, now)
 
 
-def test_late_replay_does_not_undo_later_uploads(spark, tmp_path):
+def test_replay_of_an_older_batch_keeps_later_uploads(spark, tmp_path):
     out = str(tmp_path)
-    for batch_id, text in enumerate(["one", "two"]):
-        ingest._build_batch(spark.createDataFrame([("a", 1, text)], SCHEMA), batch_id, out, 4, 2)
-    assert [r.text for r in open_collection(spark, f"{out}/chunks").collect()] == ["two"]
+    batches = [[("a", 1, "one"), ("a", 2, "kept")], [("a", 1, "two")], [("b", 3, "other")]]
+    for batch_id, rows in enumerate(batches):
+        ingest._build_batch(spark.createDataFrame(rows, SCHEMA), batch_id, out, 4, 2)
+    now = [("a", 1, "two"), ("a", 2, "kept"), ("b", 3, "other")]
+    assert contents(spark, out) == batch_contents(spark, now)
+    for batch_id in (0, 1, 0):
+        ingest._build_batch(spark.createDataFrame(batches[batch_id], SCHEMA), batch_id, out, 4, 2)
+        assert contents(spark, out) == batch_contents(spark, now)
+
+
+def test_fresh_checkpoint_keeps_what_was_uploaded(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for run, rows in enumerate([[("a", 1, "first"), ("a", 2, "stays")], [("a", 1, "second"), ("a", 3, "new")]]):
+        landing = str(tmp_path / f"landing{run}")
+        spark.createDataFrame(rows, SCHEMA).write.parquet(landing)
+        ingest.ingest_stream(ingest.read_uploads(spark, landing), out, str(tmp_path / f"progress{run}"), 4, 2).awaitTermination()
+    assert contents(spark, out) == batch_contents(spark, [("a", 1, "second"), ("a", 2, "stays"), ("a", 3, "new")])
+
+
+def test_empty_upload_empties(spark, tmp_path):
+    out = str(tmp_path)
+    for batch_id, rows in enumerate([[("a b=c/%", 1, "text"), ("b", 1, "text")], [("a b=c/%", 1, "")]]):
+        ingest._build_batch(spark.createDataFrame(rows, SCHEMA), batch_id, out, 4, 2)
+    assert contents(spark, out) == batch_contents(spark, [("b", 1, "text")])
