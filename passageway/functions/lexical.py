@@ -97,6 +97,10 @@ class Bm25Scorer(NamedTuple):
     k1: float
     b: float
 
+    @property
+    def pool(self) -> int:
+        return self.k
+
     def __call__(self, batches: Batches, asked: pa.Table) -> Iterator[pa.RecordBatch]:
         asked = asked.combine_chunks()
         if asked.num_rows == 0:
@@ -118,7 +122,6 @@ class Bm25Scorer(NamedTuple):
     def _score(self, batch: pa.RecordBatch, vocabulary: pa.Array, uses: tuple, floor: np.ndarray) -> Iterator[Best]:
         lists, ids = batch.column("words"), batch.column("id").to_numpy()
         question, idf, first = uses
-        n_questions = len(floor)
         length, text = _layout(lists)
         code = pc.fill_null(pc.index_in(lists.flatten(), vocabulary), -1).to_numpy(zero_copy_only=False)
         known = code >= 0
@@ -127,7 +130,7 @@ class Bm25Scorer(NamedTuple):
         n_uses = (first[1:] - first[:-1])[term]
 
         # Cut the batch between texts where a piece would grow too large.
-        work = np.concatenate([[0], np.cumsum(np.bincount(text, weights=n_uses, minlength=len(ids)) + n_questions)])
+        work = np.concatenate([[0], np.cumsum(np.bincount(text, weights=n_uses, minlength=len(ids)))])
         start = 0
         while start < len(ids):
             stop = max(start + 1, int(np.searchsorted(work, work[start] + _CELLS, side="right")) - 1)
@@ -136,12 +139,11 @@ class Bm25Scorer(NamedTuple):
             entry = np.repeat(np.arange(lo, hi), repeat)
             use = np.arange(len(entry)) - np.repeat(np.cumsum(repeat) - repeat, repeat) + first[term[entry]]
             cell = question[use] * (stop - start) + text[entry] - start
-            shape = (n_questions, stop - start)
-            scores = np.bincount(cell, weights=idf[use] * saturated[entry], minlength=shape[0] * shape[1])
-            scores = np.round(scores, 6)
-            scores[np.bincount(cell, minlength=len(scores)) == 0] = -1.0
-            scores = scores.reshape(shape)
-            q, r = above_floor(scores, self.k, np.maximum(floor, 0.0))
-            score = scores[q, r]
+            # Only pairs with a word in common have a cell.
+            cells, at = np.unique(cell, return_inverse=True)
+            score = np.round(np.bincount(at, weights=idf[use] * saturated[entry], minlength=len(cells)), 6)
+            q, r = np.divmod(cells, stop - start)
+            good = score >= np.maximum(floor, 0.0)[q]
+            q, r, score = q[good], r[good], score[good]
             yield keep_best((q, ids[start + r], score, score), self.k)
             start = stop

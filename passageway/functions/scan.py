@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,11 @@ from passageway.functions.bounds import materialize, measured_bytes
 BEST_SCHEMA = "qid bigint, id bigint, coarse double, score double"
 _ARROW = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("coarse", pa.float64()), ("score", pa.float64())])
 
-# The asked side goes whole to every task up to this size; beyond it is cut into blocks and shuffled.
+# Bytes of the asked side that go to every task at once; a larger one is cut into blocks.
 BLOCK_BYTES = 16 * 1024 * 1024
-# Rows of one slice of the scored table in the shuffled way.
-SLICE_ROWS = 50_000
+# Bytes that the best rows of one block may take in a task, at ROW_BYTES each.
+HELD_BYTES = 128 * 1024 * 1024
+ROW_BYTES = 32
 
 Batches = Iterable[pa.RecordBatch]
 # (batches of rows, asked) -> batches of BEST_SCHEMA
@@ -73,33 +75,20 @@ def to_batch(best: Best, qids: np.ndarray) -> pa.RecordBatch:
 
 
 def best_per_task(asked: DataFrame, rows: DataFrame, scorer: Scorer, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Score ``rows`` (with ``id``) for ``asked`` (with ``qid``).
+    """Score ``rows`` (with ``id``) for ``asked`` (with ``qid``) where they are read, without a shuffle of either.
 
-    An asked side measured as small is sent to the tasks and ``rows`` are scored without a shuffle.
-    A larger one is dealt into blocks by question, the rows into slices by id, and every pair of
-    block and slice is one bounded group.  Both ways return the same best rows.
+    The asked side is sent to the tasks in blocks of bounded bytes, dealt by question, so small that the best rows a task
+    holds for a block are bounded too; the rows are scanned once for each block. Blocks do not change the result.
     """
     asked = materialize(asked)
-    size = measured_bytes(asked)
-    if size <= block_bytes:
-        block = rows.sparkSession.sparkContext.broadcast(asked.toArrow())
+    context = rows.sparkSession.sparkContext
+    n_questions = asked.select("qid").distinct().count()
+    n_blocks = max(1, -(-measured_bytes(asked) // block_bytes), -(-n_questions * scorer.pool * ROW_BYTES // HELD_BYTES))
 
-        def score(batches: Batches) -> Iterator[pa.RecordBatch]:
-            yield from scorer(batches, block.value)
+    def scored(block: pa.Table) -> DataFrame:
+        sent = context.broadcast(block)
+        return rows.mapInArrow(lambda batches: scorer(batches, sent.value), BEST_SCHEMA)
 
-        return rows.mapInArrow(score, BEST_SCHEMA)
-
-    n_blocks = -(-size // block_bytes)
-    n_slices = max(1, -(-rows.count() // SLICE_ROWS))
-    left = rows.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(n_slices)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    right = asked.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int")).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1)))
-    )
-
-    def score_pair(slice_rows: pa.Table, block_rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(scorer(slice_rows.to_batches(), block_rows), schema=_ARROW)
-
-    keys = ["_block", "_slice"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_pair, BEST_SCHEMA)
+    part = F.pmod(F.xxhash64("qid"), F.lit(n_blocks))
+    blocks = [asked if n_blocks == 1 else asked.filter(part == i) for i in range(n_blocks)]
+    return reduce(DataFrame.unionAll, [scored(block.toArrow()) for block in blocks])

@@ -56,16 +56,9 @@ def exact_topk(
     return rank_top(_merge(best, k), k).select("qid", "rank", "id", "score")
 
 
-def fit_cells(
-    vectors: DataFrame, n_cells: int = 16, seed: int = 42, max_iter: int = 20, fraction: float = 1.0
-) -> DataFrame:
-    """Cell centres by MLlib k-means: (cell, centroid).  Keep them with the collection.
-
-    ``fraction`` trains on a part of the rows; every row still gets a cell later.
-    """
+def fit_cells(vectors: DataFrame, n_cells: int = 16, seed: int = 42, max_iter: int = 20) -> DataFrame:
+    """Cell centres by MLlib k-means over all vectors: (cell, centroid).  Keep them with the collection."""
     train = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    if fraction < 1.0:
-        train = train.sample(fraction, seed)
     centers = KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(train).clusterCenters()
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
     return vectors.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
@@ -103,21 +96,21 @@ def ann_topk(
     k: int = 8,
     ef: int = 200,
     coarse: str = "prefix",
-    coarse_dims: int | None = 16,
+    coarse_dims: int | None = None,
     centroids: DataFrame | None = None,
     nprobe: int = 4,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Approximate top-k through a candidate pool of ``ef`` rows: (qid, rank, id, score).
 
-    ``prefix`` fills the pool by cosine over the first ``coarse_dims`` dimensions; ``ivf`` only
-    from the ``nprobe`` cells nearest to the query (``vectors`` may bring a stored ``cell`` column,
-    else cells are assigned here).  The pool is then ranked by the exact cosine, computed in the
-    same pass.
+    ``prefix`` fills the pool by cosine over the first ``coarse_dims`` dimensions (16 unless given); ``ivf`` only
+    from the ``nprobe`` cells nearest to the query, by the cosine over all dimensions unless ``coarse_dims`` is given
+    (``vectors`` may bring a stored ``cell`` column, else cells are assigned here).  The pool is then ranked by the
+    exact cosine, computed in the same pass.
     """
     if ef < k:
         raise ValueError("the pool must hold at least k candidates")
-    scorer = CosineScorer(ef, coarse_dims)
+    scorer = CosineScorer(ef, 16 if coarse == "prefix" and coarse_dims is None else coarse_dims)
     if coarse == "ivf":
         if centroids is None:
             raise ValueError("ivf needs centroids")

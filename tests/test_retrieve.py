@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passageway.functions.scan import best_per_task
+from passageway.functions.vectors import CosineScorer
 from passageway.operators import encode, retrieve
 from passageway.plans import study
 from passageway.sources import collections
@@ -47,9 +49,10 @@ def test_exact_topk_both_ways(spark, points, monkeypatch):
     want = brute(q, v, 7)
     names = ("qid", "rank", "id", "score")
     assert rows(retrieve.exact_topk(queries, vectors, 7), *names) == want
-    monkeypatch.setattr("passageway.functions.scan.SLICE_ROWS", 40)
     blocked = retrieve.exact_topk(queries, vectors, 7, block_bytes=500)
-    assert "CoGroup" in blocked._jdf.queryExecution().executedPlan().toString()
+    scan = best_per_task(queries.selectExpr("CAST(qid AS BIGINT) AS qid", "embedding"), vectors.selectExpr("CAST(id AS BIGINT) AS id", "embedding"), CosineScorer(7), 500)
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("MapInArrow") > 1
     assert rows(blocked, *names) == want
 
 
@@ -70,6 +73,19 @@ def test_full_pool_and_all_cells_are_exact(spark, points, tmp_path):
     assert rows(blocked, *names) == want
 
 
+def test_all_cells_with_default_dimensions_are_exact(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 48))
+    v = centres[np.arange(900) % 6] + 0.3 * rng.normal(size=(900, 48))
+    q = centres + 0.2 * rng.normal(size=(6, 48))
+    frame = lambda x, name: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], f"{name} int, embedding array<double>")
+    vectors, queries = frame(v, "id"), frame(q, "qid")
+    cells = retrieve.fit_cells(vectors, 6)
+    got = retrieve.ann_topk(queries, vectors, 8, ef=90, coarse="ivf", centroids=cells, nprobe=6)
+    names = ("qid", "rank", "id", "score")
+    assert rows(got, *names) == rows(retrieve.exact_topk(queries, vectors, 8), *names)
+
+
 def test_probing_reads_only_the_cells_asked_for(spark, points, tmp_path):
     q, v, queries, vectors = points
     cells = retrieve.fit_cells(vectors, 6)
@@ -120,7 +136,7 @@ def test_bm25_both_ways(spark, monkeypatch):
     names = ("qid", "rank", "id", "score")
     assert rows(retrieve.bm25_topk(asked, stats, 4), *names) == want
     assert rows(retrieve.bm25_topk(asked, encode.term_stats(docs), 4), *names) == want
-    monkeypatch.setattr("passageway.functions.scan.SLICE_ROWS", 3)
+    monkeypatch.setattr("passageway.functions.scan.HELD_BYTES", 4 * 32 * 3)
     assert rows(retrieve.bm25_topk(asked, stats, 4, block_bytes=150), *names) == want
     monkeypatch.setattr("passageway.functions.lexical._CELLS", 5)
     assert rows(retrieve.bm25_topk(asked, stats, 4), *names) == want
