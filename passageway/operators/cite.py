@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 _KEY = ["config_id", "qid"]
 CITATION = r"\[资料§(\d+)\]"
 _SEPARATOR = "[、，,]"
-# Stands for a removed citation while separators are tidied; it cannot be typed in an answer.
-_REMOVED = "\x01"
+# Stands for a removed citation while separators are tidied; where an answer has it, it is written otherwise meanwhile.
+_REMOVED, _ESCAPE = "\x01", "\x02"
+
+
+def cited_texts(answer: Column | str) -> Column:
+    """Cited numbers as written but for leading zeros, in order of appearance, repeats kept."""
+    found = F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1))
+    return F.transform(found, lambda n: F.regexp_replace(n, r"^0+(?=\d)", ""))
 
 
 def citations(answer: Column | str) -> Column:
-    """Cited numbers in order of appearance, repeats kept."""
-    return F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)).cast("array<bigint>")
+    """Cited numbers in order of appearance, repeats kept; null for a number beyond BIGINT, which no passage has."""
+    return F.transform(cited_texts(answer), lambda n: n.try_cast("bigint"))
 
 
 def extract_citations(answers: DataFrame) -> DataFrame:
@@ -40,8 +46,9 @@ def _with_supplied(answers: DataFrame, retrieved: DataFrame, k: int) -> DataFram
 
 
 def illegal_citations(answers: DataFrame, retrieved: DataFrame, k: int = 8) -> DataFrame:
-    """Adds ``illegal`` (numbers outside the supplied passages, by place) and ``n_illegal``."""
-    illegal = F.filter(citations("answer"), lambda n: ~F.array_contains(F.col("ids"), n))
+    """Adds ``illegal`` (numbers outside the supplied passages, by place, as text of any length) and ``n_illegal``."""
+    ids = F.transform("ids", lambda n: n.cast("string"))
+    illegal = F.filter(cited_texts("answer"), lambda n: ~F.array_contains(ids, n))
     return (
         _with_supplied(answers, retrieved, k)
         .withColumn("illegal", illegal)
@@ -60,7 +67,8 @@ def enforce_whitelist(answers: DataFrame, retrieved: DataFrame, k: int = 8) -> D
     outside = F.concat(F.lit(r"\[资料§(?!0*(?:"), allowed, F.lit(r")\])\d+\]"))
     # An empty list must forbid all numbers, not allow the empty one.
     outside = F.when(F.size("ids") == 0, F.lit(r"\[资料§\d+\]")).otherwise(outside)
-    marked = F.regexp_replace("answer", outside, F.lit(_REMOVED))
+    escaped = F.replace(F.replace("answer", F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_REMOVED), F.lit(_ESCAPE + "a"))
+    marked = F.regexp_replace(escaped, outside, F.lit(_REMOVED))
     tidy = F.regexp_replace(marked, rf"{_SEPARATOR}\s*{_REMOVED}", "")
     tidy = F.regexp_replace(tidy, rf"{_REMOVED}(?:{_SEPARATOR}\s*)?", "")
     legal = F.filter(citations("answer"), lambda n: F.array_contains(F.col("ids"), n))
@@ -68,6 +76,7 @@ def enforce_whitelist(answers: DataFrame, retrieved: DataFrame, k: int = 8) -> D
         _with_supplied(answers, retrieved, k)
         .select("*", marked.alias("_marked"), tidy.alias("_tidy"), legal.alias("_legal"))
         .withColumn("answer", F.when(citations("_tidy") == F.col("_legal"), F.col("_tidy")).otherwise(F.replace("_marked", F.lit(_REMOVED), F.lit(" "))))
+        .withColumn("answer", F.replace(F.replace("answer", F.lit(_ESCAPE + "a"), F.lit(_REMOVED)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE)))
         .drop("ids", "_marked", "_tidy", "_legal")
     )
 
@@ -90,23 +99,29 @@ def apply_retry(answers: DataFrame, retries: DataFrame, flags: DataFrame) -> Dat
 
 def dedupe_citations(answers: DataFrame) -> DataFrame:
     """Count repeated citations (``n_repeated``) and collapse adjacent repeats to one."""
-    cited = citations("answer")
+    cited = cited_texts("answer")
     collapsed = F.regexp_replace("answer", rf"(\[资料§\d+\])(?:{_SEPARATOR}?\s*\1)+", "$1")
     return answers.withColumn("n_repeated", F.size(cited) - F.size(F.array_distinct(cited))).withColumn("answer", collapsed)
 
 
 def verdict_flips(before: DataFrame, after: DataFrame, verdict: str = "correct") -> DataFrame:
-    """Verdicts changed by a processing step, per configuration and direction."""
+    """Verdicts changed by a processing step, per configuration and direction.
+
+    ``n_unmatched`` counts verdicts that have none on the other side; a configuration on one side only is listed.
+    """
     key = [*_KEY, "run"]
-    a = before.select(*key, F.col(verdict).alias("a"))
-    b = after.select(*key, F.col(verdict).alias("b"))
+    a = before.select(*key, F.struct(F.col(verdict).alias("v")).alias("a"))
+    b = after.select(*key, F.struct(F.col(verdict).alias("v")).alias("b"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    was, now = F.col("a.v"), F.col("b.v")
     return (
-        a.join(b, key)
+        a.join(b, key, "full_outer")
         .groupBy("config_id")
         .agg(
-            F.count("*").alias("n_compared"),
-            F.count_if(~F.col("a") & F.col("b")).alias("n_gained"),
-            F.count_if(F.col("a") & ~F.col("b")).alias("n_lost"),
-            F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_flipped"),
+            F.count_if(both).alias("n_compared"),
+            F.count_if(both & ~was & now).alias("n_gained"),
+            F.count_if(both & was & ~now).alias("n_lost"),
+            F.count_if(both & ~was.eqNullSafe(now)).alias("n_flipped"),
+            F.count_if(~both).alias("n_unmatched"),
         )
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import broadcast_within, materialize
@@ -21,12 +21,13 @@ def judge(answers: DataFrame, questions: DataFrame, refusal_patterns: Sequence[s
     """Verdicts: refused (any pattern matches), correct (answerable, not refused, all terms present).
 
     ``questions`` has (qid, in_corpus, expected_terms ARRAY<STRING>).  An answerable question with
-    no expected terms is correct when it is answered.
+    no expected terms is correct when it is answered.  An answer to a question that is not listed is kept,
+    with null for ``in_corpus`` and ``correct``.
     """
     refused = F.col("answer").rlike("|".join(f"(?:{p})" for p in refusal_patterns))
     complete = F.forall("expected_terms", lambda t: F.contains(F.col("answer"), t))
     return (
-        answers.join(questions.select("qid", "in_corpus", "expected_terms"), "qid")
+        answers.join(questions.select("qid", "in_corpus", "expected_terms"), "qid", "left")
         .withColumn("refused", F.coalesce(refused, F.lit(False)))
         .select(
             "config_id",
@@ -34,7 +35,7 @@ def judge(answers: DataFrame, questions: DataFrame, refusal_patterns: Sequence[s
             "run",
             "in_corpus",
             "refused",
-            (F.col("in_corpus") & ~F.col("refused") & F.coalesce(complete, F.lit(False))).alias("correct"),
+            F.when(F.col("in_corpus").isNotNull(), F.col("in_corpus") & ~F.col("refused") & F.coalesce(complete, F.lit(False))).alias("correct"),
         )
     )
 
@@ -147,8 +148,19 @@ def to_metrics(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def final_table(metrics: DataFrame, config_ids: Sequence[str]) -> DataFrame:
-    """Metric by configuration; the configurations are listed, so no extra job finds them."""
-    return metrics.groupBy("metric").pivot("config_id", list(config_ids)).agg(F.max("value"))
+    """Metric by configuration; the configurations are listed, so no extra job finds them.
+
+    ``conflicts`` names the listed configurations that state different values for the metric (their cell is null),
+    ``unlisted`` those with a value for it that the list leaves out.
+    """
+    ids = list(config_ids)
+    stated = metrics.groupBy("metric", "config_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    stated = stated.withColumn("value", F.when(F.col("low") == F.col("high"), F.col("high")))
+    clash = F.when(F.col("config_id").isin(ids) & (F.col("low") < F.col("high")), F.col("config_id"))
+    other = F.when(~F.coalesce(F.col("config_id").isin(ids), F.lit(False)) & F.col("high").isNotNull(), F.coalesce("config_id", F.lit("null")))
+    named = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")  # noqa: E731  a name for each configuration at most
+    cells = [F.max(F.when(F.col("config_id") == c, F.col("value"))).alias(c) for c in ids]
+    return stated.groupBy("metric").agg(*cells, named(clash).alias("conflicts"), named(other).alias("unlisted"))
 
 
 def _caliber(params: Column, keys: Sequence[str]) -> Column:
@@ -159,7 +171,8 @@ def _caliber(params: Column, keys: Sequence[str]) -> Column:
 def compare_runs(metrics: DataFrame, configs: DataFrame, pairs: DataFrame, caliber_keys: Sequence[str]) -> DataFrame:
     """b - a per metric where both runs share every caliber field, else null and the reason.
 
-    A field missing on both sides is unknown, not equal.
+    A field missing on both sides is unknown, not equal.  A metric or a configuration that one side lacks is a
+    reason too: every pair and every metric of either side is listed.
     """
     fields = configs.select("config_id", _caliber(F.col("params"), caliber_keys).alias("caliber"))
     a = fields.select(F.col("config_id").alias("config_a"), F.col("caliber").alias("caliber_a"))
@@ -168,22 +181,23 @@ def compare_runs(metrics: DataFrame, configs: DataFrame, pairs: DataFrame, calib
         F.zip_with("caliber_a", "caliber_b", lambda x, y: F.when(F.coalesce(x["value"] == y["value"], F.lit(False)), None).otherwise(x["key"])),
         lambda key: key.isNotNull(),
     )
-    checked = pairs.join(a, "config_a").join(b, "config_b").select(
-        "config_a", "config_b", F.array_join(differing, ",").alias("reason")
+    known = F.array_compact(F.array(F.when(F.col("caliber_a").isNull(), F.col("config_a")), F.when(F.col("caliber_b").isNull(), F.col("config_b"))))
+    reason = F.when(F.size(known) > 0, F.concat(F.lit("missing: parameters of "), F.array_join(known, ","))).when(
+        F.size(differing) > 0, F.concat(F.lit("differs: "), F.array_join(differing, ","))
     )
-    left = metrics.select(F.col("config_id").alias("config_a"), "metric", F.col("value").alias("value_a"))
-    right = metrics.select(F.col("config_id").alias("config_b"), "metric", F.col("value").alias("value_b"))
-    same = F.col("reason") == ""
+    checked = pairs.join(a, "config_a", "left").join(b, "config_b", "left").select("config_a", "config_b", reason.alias("reason"))
+    left = metrics.select(F.col("config_id").alias("config_a"), "metric", F.col("value").alias("value_a"), F.lit(True).alias("has_a"))
+    right = metrics.select(F.col("config_id").alias("config_b"), "metric", F.col("value").alias("value_b"), F.lit(True).alias("has_b"))
+    # Every metric of either side; a pair without any keeps one row with a null metric.
+    of_a, of_b = checked.join(left, "config_a"), checked.join(right, "config_b")
+    both = of_a.join(of_b.drop("reason"), ["config_a", "config_b", "metric"], "full_outer").drop("reason")
+    absent = F.when(F.col("has_a").isNull() & F.col("has_b").isNull(), F.concat_ws(",", "config_a", "config_b"))
+    absent = absent.when(F.col("has_a").isNull(), F.col("config_a")).when(F.col("has_b").isNull(), F.col("config_b"))
+    stated = F.coalesce("reason", F.concat(F.lit("missing: metric of "), absent))
     return (
-        checked.join(left, "config_a")
-        .join(right, ["config_b", "metric"])
-        .select(
-            "config_a",
-            "config_b",
-            "metric",
-            F.when(same, F.col("value_b") - F.col("value_a")).alias("delta"),
-            F.when(~same, F.concat(F.lit("differs: "), "reason")).alias("reason"),
-        )
+        checked.join(both, ["config_a", "config_b"], "left")
+        .select("config_a", "config_b", "metric", stated.alias("reason"), "value_a", "value_b")
+        .select("config_a", "config_b", "metric", F.when(F.col("reason").isNull(), F.col("value_b") - F.col("value_a")).alias("delta"), "reason")
     )
 
 
@@ -217,15 +231,23 @@ def same_direction(deltas: DataFrame) -> DataFrame:
 
 
 def paired_ab(final_a: DataFrame, final_b: DataFrame, verdict: str = "correct") -> DataFrame:
-    """Question by question: both right, only a, only b, neither, and the difference of the rates."""
-    joined = final_a.select("qid", F.col(verdict).alias("a")).join(final_b.select("qid", F.col(verdict).alias("b")), "qid")
+    """Question by question: both right, only a, only b, neither, and the difference of the rates.
+
+    ``missing_a`` and ``missing_b`` count the questions that only the other side has; they are in no rate.
+    """
+    side = lambda df, name: df.select("qid", F.struct(F.col(verdict).alias("v")).alias(name))
+    joined = side(final_a, "a").join(side(final_b, "b"), "qid", "full_outer")
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    a, b = F.when(both, F.col("a.v")), F.when(both, F.col("b.v"))
     return joined.agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("a") & F.col("b")).alias("both"),
-        F.count_if(F.col("a") & ~F.col("b")).alias("only_a"),
-        F.count_if(~F.col("a") & F.col("b")).alias("only_b"),
-        F.count_if(~F.col("a") & ~F.col("b")).alias("neither"),
-        (F.avg(F.col("b").cast("int")) - F.avg(F.col("a").cast("int"))).alias("delta"),
+        F.count_if(both).alias("n"),
+        F.count_if(a & b).alias("both"),
+        F.count_if(a & ~b).alias("only_a"),
+        F.count_if(~a & b).alias("only_b"),
+        F.count_if(~a & ~b).alias("neither"),
+        (F.avg(b.cast("int")) - F.avg(a.cast("int"))).alias("delta"),
+        F.count_if(F.col("a").isNull()).alias("missing_a"),
+        F.count_if(F.col("b").isNull()).alias("missing_b"),
     )
 
 
@@ -271,21 +293,27 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("fingerprint"))
 
 
-def check_row(name: str, violations: DataFrame) -> DataFrame:
-    """One gate row from the rows that violate a check: (check_name, n_violations, ok)."""
-    return violations.agg(F.count("*").alias("n_violations")).select(
-        F.lit(name).alias("check_name"), "n_violations", (F.col("n_violations") == 0).alias("ok")
+def check_row(name: str, checked: DataFrame, violation: Column | str) -> DataFrame:
+    """One gate row from the rows a check looks at: (check_name, n_checked, n_violations, ok).
+
+    A check that had nothing to look at is not passed.
+    """
+    broken = F.expr(violation) if isinstance(violation, str) else violation
+    return checked.agg(F.count("*").alias("n_checked"), F.count_if(F.coalesce(broken, F.lit(True))).alias("n_violations")).select(
+        F.lit(name).alias("check_name"), "n_checked", "n_violations", ((F.col("n_checked") > 0) & (F.col("n_violations") == 0)).alias("ok")
     )
 
 
 def release_gate(checks: Sequence[DataFrame]) -> DataFrame:
-    """One verdict from all check rows (check_name, n_violations, ok) and the list of failing checks."""
+    """One verdict from all check rows (see ``check_row``): how many checks and rows, the failing and the empty checks."""
     rows = reduce(DataFrame.unionByName, checks)
-    # One row a check, so the list is as short as the gate.
+    # One row a check, so the lists are as short as the gate.
+    names = lambda bad: F.array_join(F.array_sort(F.collect_list(F.when(bad, F.col("check_name")))), ",")
     return rows.agg(
         F.count("*").alias("n_checks"),
         F.bool_and("ok").alias("passed"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("check_name")))), ",").alias("failing"),
+        names(~F.col("ok")).alias("failing"),
+        names(F.col("n_checked") == 0).alias("empty"),
     )
 
 
@@ -293,10 +321,21 @@ def log_history(entries: DataFrame) -> DataFrame:
     """Every version of every entry with ``is_current``; corrections never hide what they correct.
 
     The latest version per entry combines on the map side, so an entry with very many versions is
-    never gathered in one task.
+    never gathered in one task.  Of a version written more than once the row with the largest digest is
+    current, of equal rows one; ``n_same`` counts the rows of the entry's version.
     """
-    latest = entries.groupBy("entry_id").agg(F.max("version").alias("latest"), F.count("*").alias("n_versions"))
-    return entries.join(latest, "entry_id").withColumn("is_current", F.col("version") == F.col("latest")).drop("latest")
+    digest = F.sha2(F.to_json(F.struct(*(F.col(c) for c in entries.columns))), 256)
+    marked = entries.withColumn("_mark", F.struct(F.col("version").alias("v"), digest.alias("d")))
+    latest = marked.groupBy("entry_id").agg(F.max("_mark").alias("_latest"), F.count("*").alias("n_versions"))
+    same = entries.groupBy("entry_id", "version").agg(F.count("*").alias("n_same"))
+    equal = Window.partitionBy("entry_id", "_mark").orderBy("version")
+    return (
+        marked.withColumn("_copy", F.row_number().over(equal))
+        .join(latest, "entry_id")
+        .join(same, ["entry_id", "version"])
+        .withColumn("is_current", (F.col("_mark") == F.col("_latest")) & (F.col("_copy") == 1))
+        .select(*entries.columns, "n_versions", "n_same", "is_current")
+    )
 
 
 def log_current(entries: DataFrame) -> DataFrame:

@@ -51,9 +51,20 @@ def variants(records: DataFrame, specs: DataFrame, seed: str = "0") -> DataFrame
     return whole.unionByName(edge).select("variant", *records.columns)
 
 
-def mix(records: DataFrame, counts: Mapping[str, int], seed: str = "0") -> DataFrame:
-    """One mixture with exactly ``counts[kind]`` records of each kind."""
+def mix(records: DataFrame, counts: Mapping[str, int], seed: str = "0", short: str = "error") -> DataFrame:
+    """One mixture with exactly ``counts[kind]`` records of each kind.
+
+    Where there are fewer, ``short="error"`` raises and ``short="take"`` takes all there are.
+    """
+    if short not in ("error", "take"):
+        raise ValueError("short must be 'error' or 'take'")
     spark = records.sparkSession
+    if short == "error":
+        wanted = records.filter(F.col("kind").isin(list(counts)))
+        have = {r["kind"]: r["count"] for r in wanted.groupBy("kind").count().collect()}  # a row for each kind asked
+        lacking = {kind: n - have.get(kind, 0) for kind, n in counts.items() if have.get(kind, 0) < n}
+        if lacking:
+            raise ValueError(f"records are lacking: {lacking}")
     specs = spark.createDataFrame([("mix", kind, n) for kind, n in counts.items()], "variant string, kind string, n bigint")
     return variants(records, specs, seed).drop("variant")
 

@@ -393,9 +393,10 @@ FROM parsed""",
     "verdict_flips": f"""
 WITH {_CITED}, {_JUDGED}, {_RETRIED},
 a AS ({judged("cited")}), b AS ({judged("retried")})
-SELECT config_id, count(*) AS n_compared, count_if(NOT a.correct AND b.correct)::BIGINT AS n_gained,
-       count_if(a.correct AND NOT b.correct)::BIGINT AS n_lost, count_if(a.correct <> b.correct)::BIGINT AS n_flipped
-FROM a JOIN b USING (config_id, qid, run) GROUP BY config_id""",
+SELECT config_id, count_if(a.correct IS NOT NULL AND b.correct IS NOT NULL)::BIGINT AS n_compared, count_if(NOT a.correct AND b.correct)::BIGINT AS n_gained,
+       count_if(a.correct AND NOT b.correct)::BIGINT AS n_lost, count_if(a.correct <> b.correct)::BIGINT AS n_flipped,
+       count_if(a.correct IS NULL OR b.correct IS NULL)::BIGINT AS n_unmatched
+FROM a FULL JOIN b USING (config_id, qid, run) GROUP BY config_id""",
     "judge": f"WITH {_JUDGED} {judged('j_answers')}",
     "majority": f"WITH {_VERDICTS} SELECT * FROM final",
     "retrieval_hits": f"""
@@ -429,10 +430,10 @@ WITH {_MATRIX},
 stated AS (SELECT config_id, round(f1, 3) + CASE WHEN config_id = 'retry' THEN 0.01 ELSE 0 END AS f1, f1 AS recomputed FROM matrix)
 SELECT config_id, round(f1, 6) AS f1, round(recomputed, 6) AS recomputed,
        coalesce(round(abs(f1 - recomputed), 9) <= 0.0005, false) AS ok FROM stated""",
-    "parse_run_logs": f"WITH {_MATRIX} SELECT config_id, metric, value FROM metrics WHERE value IS NOT NULL",
+    "parse_run_logs": f"WITH {_MATRIX} SELECT config_id, metric, coalesce(value, 0) AS value, CASE WHEN value IS NULL THEN 'absent' ELSE 'found' END AS state FROM metrics",
     "final_table": f"WITH {_MATRIX} SELECT metric, "
     + ", ".join(f"max(CASE WHEN config_id = '{c}' THEN value END) AS {c}" for c in study.CONFIG_IDS)
-    + " FROM metrics GROUP BY metric",
+    + ", '' AS conflicts, '' AS unlisted FROM metrics GROUP BY metric",
     "compare_runs": f"""
 WITH {_MATRIX}, {_PAIRS},
 params(config_id, key, value) AS (VALUES {_PARAM_ROWS}),
@@ -464,10 +465,11 @@ FROM pairs LEFT JOIN changed USING (a, b) GROUP BY a, b""",
     "same_direction": f"WITH {_DELTAS} SELECT * FROM direction",
     "paired_ab": f"""
 WITH {_VERDICTS}
-SELECT count(*) AS n, count_if(a.correct AND b.correct)::BIGINT AS both, count_if(a.correct AND NOT b.correct)::BIGINT AS only_a,
+SELECT count_if(a.qid IS NOT NULL AND b.qid IS NOT NULL)::BIGINT AS n, count_if(a.correct AND b.correct)::BIGINT AS both, count_if(a.correct AND NOT b.correct)::BIGINT AS only_a,
        count_if(NOT a.correct AND b.correct)::BIGINT AS only_b, count_if(NOT a.correct AND NOT b.correct)::BIGINT AS neither,
-       round(avg(b.correct::INT) - avg(a.correct::INT), 6) AS delta
-FROM final a JOIN final b USING (qid) WHERE a.config_id = 'base' AND b.config_id = 'tuned'""",
+       round(avg(b.correct::INT) FILTER (a.qid IS NOT NULL) - avg(a.correct::INT) FILTER (b.qid IS NOT NULL), 6) AS delta,
+       count_if(a.qid IS NULL)::BIGINT AS missing_a, count_if(b.qid IS NULL)::BIGINT AS missing_b
+FROM (SELECT * FROM final WHERE config_id = 'base') a FULL JOIN (SELECT * FROM final WHERE config_id = 'tuned') b ON a.qid = b.qid""",
     "effect_ledger": f"""
 WITH {_DELTAS}
 SELECT config_a, config_b, round(delta, 6) AS delta, same_direction,
@@ -488,10 +490,10 @@ WITH keyed AS (
 SELECT count(*) AS n_rows, sum(('0x' || substr(md5(row), 1, 15))::HUGEINT)::VARCHAR AS fingerprint FROM keyed""",
     "log_current": """
 WITH latest AS (SELECT conv_id, max(turn) AS turn, count(*) AS n_versions FROM conversations GROUP BY conv_id)
-SELECT conv_id AS entry_id, turn AS version, text, n_versions FROM conversations JOIN latest USING (conv_id, turn)""",
+SELECT conv_id AS entry_id, turn AS version, text, n_versions, 1::BIGINT AS n_same FROM conversations JOIN latest USING (conv_id, turn)""",
     "log_history": """
-SELECT conv_id AS entry_id, turn AS version, text, count(*) OVER w AS n_versions, turn = max(turn) OVER w AS is_current
-FROM conversations WINDOW w AS (PARTITION BY conv_id)""",
+SELECT conv_id AS entry_id, turn AS version, text, count(*) OVER w AS n_versions, count(*) OVER v AS n_same, turn = max(turn) OVER w AS is_current
+FROM conversations WINDOW w AS (PARTITION BY conv_id), v AS (PARTITION BY conv_id, turn)""",
     "training_mix": f"""
 WITH {_RECORDS} SELECT rec_id, kind, source_ref, prompt, response FROM ordered
 WHERE (kind = 'real' AND place <= 201) OR (kind = 'synthetic' AND place <= 99)""",
@@ -542,7 +544,7 @@ _GATE = {
 }
 ORACLES["release_gate"] = (
     "SELECT count(*) AS n_checks, bool_and(n = 0) AS passed, "
-    "coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (n > 0), '') AS failing FROM ("
+    "coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (n > 0), '') AS failing, '' AS empty FROM ("
     + " UNION ALL ".join(f"SELECT '{name}' AS check_name, ({sql}) AS n" for name, sql in _GATE.items())
     + ")"
 )

@@ -20,10 +20,11 @@ def write_run_logs(metrics: DataFrame, out_dir: str) -> None:
 
 
 def parse_run_logs(spark: SparkSession, glob: str, patterns: Mapping[str, str]) -> DataFrame:
-    """(path, metric, value) from every log file that matches ``glob``.
+    """(path, metric, value, state) for every log file that matches ``glob`` and every pattern.
 
     ``patterns`` maps a metric to a regular expression whose first group is the number.  A file is
-    one row (line order would be lost across splits) and the last match in a file counts.
+    one row (line order would be lost across splits) and the last match in a file counts.  ``state`` is
+    ``found``, ``absent`` (no match) or ``unreadable`` (a match that is no number); value is null in the last two.
     """
     logs = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     found = F.array(
@@ -35,8 +36,7 @@ def parse_run_logs(spark: SparkSession, glob: str, patterns: Mapping[str, str])
             for metric, pattern in patterns.items()
         ]
     )
-    return (
-        logs.select("path", F.explode(found).alias("m"))
-        .filter(F.col("m.text").isNotNull())
-        .select("path", F.col("m.metric").alias("metric"), F.col("m.text").cast("double").alias("value"))
-    )
+    text = F.col("m.text")
+    value = text.try_cast("double")
+    state = F.when(text.isNull(), "absent").when(value.isNull(), "unreadable").otherwise("found")
+    return logs.select("path", F.explode(found).alias("m")).select("path", F.col("m.metric").alias("metric"), value.alias("value"), state.alias("state"))

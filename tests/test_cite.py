@@ -44,7 +44,30 @@ def test_whitelist(spark, ids, text, want):
 
 def test_places_not_numbers_are_counted(spark):
     row = cite.illegal_citations(answers(spark, "[资料§9][资料§9] [资料§1]"), supplied(spark, 1)).first()
-    assert (row.illegal, row.n_illegal) == ([9, 9], 2)
+    assert (row.illegal, row.n_illegal) == (["9", "9"], 2)
+
+
+def test_numbers_of_any_length(spark):
+    long = "9" * 30
+    df = answers(spark, f"a[资料§{long}]、[资料§0001] b[资料§{long}]")
+    assert cite.extract_citations(df).first().citations == [None, 1, None]
+    row = cite.illegal_citations(df, supplied(spark, 1)).first()
+    assert (row.illegal, row.n_illegal) == ([long, long], 2)
+    assert cite.enforce_whitelist(df, supplied(spark, 1)).first().answer == "a[资料§0001] b"
+    assert cite.dedupe_citations(df).first().n_repeated == 1
+
+
+def test_control_characters_stay(spark):
+    text = "x\x01y\x02a [资料§9]z\x02\x01"
+    assert cite.enforce_whitelist(answers(spark, text), supplied(spark, 1)).first().answer == "x\x01y\x02a z\x02\x01"
+
+
+def test_flips_report_what_has_no_partner(spark):
+    schema = "config_id string, qid int, run int, correct boolean"
+    a = spark.createDataFrame([("c", 1, 1, True), ("c", 2, 1, False), ("d", 1, 1, True)], schema)
+    b = spark.createDataFrame([("c", 1, 1, False), ("c", 3, 1, True)], schema)
+    got = {r.config_id: (r.n_compared, r.n_gained, r.n_lost, r.n_flipped, r.n_unmatched) for r in cite.verdict_flips(a, b).collect()}
+    assert got == {"c": (1, 0, 1, 1, 2), "d": (0, 0, 0, 0, 1)}
 
 
 def test_passages_beyond_the_window_are_illegal(spark):

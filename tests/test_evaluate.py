@@ -58,7 +58,7 @@ def test_empty_matrix_has_no_f1(spark):
 
 def test_judging(spark):
     answers = spark.createDataFrame(
-        [("c", 1, 1, "the arm uses IK"), ("c", 1, 2, "the arm"), ("c", 1, 3, "not in the material"), ("c", 2, 1, "not in the material"), ("c", 3, 1, None)],
+        [("c", 1, 1, "the arm uses IK"), ("c", 1, 2, "the arm"), ("c", 1, 3, "not in the material"), ("c", 2, 1, "not in the material"), ("c", 3, 1, None), ("c", 4, 1, "x")],
         "config_id string, qid int, run int, answer string",
     )
     questions = spark.createDataFrame(
@@ -66,7 +66,7 @@ def test_judging(spark):
     )
     got = {(r.qid, r.run): (r.refused, r.correct) for r in evaluate.judge(answers, questions, ["not in the", "无"]).collect()}
     assert got[1, 1] == (False, True) and got[1, 2] == (False, False) and got[1, 3] == (True, False)
-    assert got[2, 1] == (True, False)
+    assert got[2, 1] == (True, False) and got[4, 1] == (False, None)
 
 
 def test_majority_reports_ties_and_missing_runs(spark):
@@ -81,13 +81,20 @@ def test_run_logs_round_trip(spark, tmp_path):
     runlogs.write_run_logs(spark.createDataFrame(rows, "config_id string, metric string, value double"), str(tmp_path))
     patterns = {m: rf"(?m)^{m} = ([-0-9.Ee]+)$" for m in ("f1", "tp")}
     got = runlogs.parse_run_logs(spark, f"{tmp_path}/*/*.txt", patterns)
-    assert sorted((r.path.split("config_id=")[1][0], r.metric, r.value) for r in got.collect()) == rows
+    found = [(r.path.split("config_id=")[1][0], r.metric, r.value, r.state) for r in got.collect()]
+    assert sorted(found) == [(*rows[0], "found"), (*rows[1], "found"), (*rows[2], "found"), ("b", "tp", None, "absent")]
+
+
+def test_bad_number_does_not_end_the_job(spark, tmp_path):
+    (tmp_path / "run_log.txt").write_text("f1 = -\n")
+    got = runlogs.parse_run_logs(spark, str(tmp_path), {"f1": r"f1 = ([-\d.]+)"}).collect()
+    assert [(r.value, r.state) for r in got] == [(None, "unreadable")]
 
 
 def test_last_match_counts(spark, tmp_path):
     (tmp_path / "run_log.txt").write_text("f1 = 0.5\nagain\nf1 = 0.7\n")
     got = runlogs.parse_run_logs(spark, str(tmp_path), {"f1": r"f1 = ([\d.]+)", "tp": r"tp = (\d+)"}).collect()
-    assert [(r.metric, r.value) for r in got] == [("f1", 0.7)]
+    assert [(r.metric, r.value) for r in got] == [("f1", 0.7), ("tp", None)]
 
 
 CONFIGS = [("a", {"k": "4", "runs": "1"}), ("b", {"k": "8", "runs": "3"}), ("c", {"k": "8", "runs": "3", "adapter": "x"}), ("d", {"k": "8"})]
@@ -111,6 +118,16 @@ def test_only_equal_calibers_are_subtracted(spark, experiments):
     assert got["b", "d"] == got["d", "d"] == (None, "differs: runs")
 
 
+def test_gaps_have_reasons(spark, experiments):
+    configs, _, metrics = experiments
+    pairs = spark.createDataFrame([("b", "c"), ("b", "zz"), ("yy", "zz")], "config_a string, config_b string")
+    some = metrics.filter("NOT (config_id = 'c' AND metric = 'f1')")
+    got = {(r.config_a, r.config_b, r.metric): (r.delta, r.reason) for r in evaluate.compare_runs(some, configs, pairs, ["k"]).collect()}
+    assert got["b", "c", "f1"] == (None, "missing: metric of c") and got["b", "c", "total"][1] is None
+    assert got["b", "zz", "f1"] == (None, "missing: parameters of zz") and got["yy", "zz", None] == (None, "missing: parameters of yy,zz")
+    assert len(got) == 5
+
+
 def test_changed_parameters(spark, experiments):
     configs, pairs, _ = experiments
     got = {(r.config_a, r.config_b): (r.changed, r.single_variable) for r in evaluate.config_diff(configs, pairs).collect()}
@@ -134,6 +151,9 @@ def test_paired(spark):
     a, b = final(spark, "a", 5, 0, 5, 10, 7), final(spark, "b", 5, 0, 5, 10, 4)
     row = evaluate.paired_ab(a, b).first()
     assert (row.n, row.both, row.only_a, row.only_b, row.neither) == (20, 4, 3, 0, 13) and row.delta == pytest.approx(-0.15)
+    assert (row.missing_a, row.missing_b) == (0, 0)
+    row = evaluate.paired_ab(a.filter("qid > 1"), b.filter("qid < 19")).first()
+    assert row.n + row.missing_a + row.missing_b == 20 and row.missing_a > 0 and row.missing_b > 0
 
 
 def test_ablation(spark):
@@ -156,13 +176,15 @@ def test_fingerprint(spark):
 
 
 def test_gate_fails_on_each_fault(spark):
-    clean, faulty = spark.range(0), spark.range(2)
+    clean, faulty = spark.range(2).filter("id < 1"), spark.range(2)
     names = ["collection", "numbering", "citations"]
-    row = evaluate.release_gate([evaluate.check_row(n, clean) for n in names]).first()
-    assert (row.n_checks, row.passed, row.failing) == (3, True, "")
+    row = evaluate.release_gate([evaluate.check_row(n, clean, "id > 0") for n in names]).first()
+    assert (row.n_checks, row.passed, row.failing, row.empty) == (3, True, "", "")
     for bad in names:
-        row = evaluate.release_gate([evaluate.check_row(n, faulty if n == bad else clean) for n in names]).first()
+        row = evaluate.release_gate([evaluate.check_row(n, faulty if n == bad else clean, "id > 0") for n in names]).first()
         assert (row.passed, row.failing) == (False, bad)
+    row = evaluate.release_gate([evaluate.check_row("a", clean, "id > 0"), evaluate.check_row("b", spark.range(0), "id > 0")]).first()
+    assert (row.passed, row.failing, row.empty) == (False, "b", "b")
 
 
 def test_log_keeps_what_it_corrects(spark):
@@ -170,12 +192,17 @@ def test_log_keeps_what_it_corrects(spark):
     df = spark.createDataFrame(rows, "entry_id int, version int, text string")
     assert sorted((r.entry_id, r.text, r.n_versions) for r in evaluate.log_current(df).collect()) == [(1, "F1 0.824", 2), (2, "ok", 1)]
     assert evaluate.log_history(df).count() == 3
+    twice = spark.createDataFrame([*rows, (1, 2, "F1 0.9"), (2, 1, "ok")], df.schema)
+    current = {(r.entry_id, r.n_same) for r in evaluate.log_current(twice).collect()}
+    assert current == {(1, 2), (2, 2)} and evaluate.log_current(twice).count() == 2 and evaluate.log_history(twice).count() == 5
 
 
 def test_final_table(spark):
     df = spark.createDataFrame([("a", "f1", 0.1), ("b", "f1", 0.2), ("a", "tp", 3.0)], "config_id string, metric string, value double")
     got = sorted(map(tuple, evaluate.final_table(df, ["a", "b"]).collect()))
-    assert got == [("f1", 0.1, 0.2), ("tp", 3.0, None)]
+    assert got == [("f1", 0.1, 0.2, "", ""), ("tp", 3.0, None, "", "")]
+    clash = df.union(spark.createDataFrame([("a", "f1", 0.3), ("x", "tp", 1.0)], df.schema))
+    assert sorted(map(tuple, evaluate.final_table(clash, ["a", "b"]).collect())) == [("f1", None, 0.2, "a", ""), ("tp", 3.0, None, "", "x")]
 
 
 def test_hits_strict_and_loose(spark):

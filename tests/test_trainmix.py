@@ -34,7 +34,14 @@ def test_crowded_ranges(records, monkeypatch):
     """All rows in few hash ranges: the bound falls inside a range with many rows."""
     monkeypatch.setattr(trainmix, "hex_number", lambda digest, digits: F.conv(F.substring(digest, 1, 1), 16, 10).cast("bigint"))
     for n in (0, 1, 777, 2000, 5000):
-        assert ids(trainmix.mix(records, {"real": n}, "s")) == first(records, "real", n, "s")
+        assert ids(trainmix.mix(records, {"real": n}, "s", short="take")) == first(records, "real", n, "s")
+
+
+def test_lacking_records_are_an_error(records):
+    with pytest.raises(ValueError, match="'real': 3000"):
+        trainmix.mix(records, {"real": 5000, "synthetic": 10}, "s")
+    with pytest.raises(ValueError, match="'other': 1"):
+        trainmix.mix(records, {"other": 1}, "s")
 
 
 def test_variants_change_one_thing(spark, records):
