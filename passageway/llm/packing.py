@@ -102,8 +102,8 @@ def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, enter: int = 128, r
     """Non-negative least squares by an active set: repeat counts x of patterns that bring A x close to the histogram.
 
     A has one row per length and holds the number of a pattern's parts of that length; it is formed for the active
-    patterns only. In each round up to ``enter`` patterns of steepest descent that share no length enter together;
-    those that least squares would make negative leave on the way to the first bound.
+    patterns only. In each round up to ``enter`` patterns of steepest descent that share no length enter together, and
+    those that least squares makes negative leave, until none is negative.
     """
     size = len(histogram)
     scale = max(1.0, float(histogram.max(initial=0)))
@@ -120,17 +120,12 @@ def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, enter: int = 128, r
         new = np.zeros((size, len(best)))
         for j, parts in enumerate(patterns[best]):
             np.add.at(new[:, j], parts[parts > 0], 1)
-        active, columns, x = np.concatenate([active, best]), np.hstack([columns, new]), np.concatenate([x, np.zeros(len(best))])
-        while len(x):
-            wish = np.linalg.solve(columns.T @ columns + 1e-8 * np.eye(len(x)), columns.T @ target)
-            low = wish < 0
-            if not low.any():
-                x = wish
+        active, columns = np.concatenate([active, best]), np.hstack([columns, new])
+        while True:
+            x = np.linalg.solve(columns.T @ columns + 1e-8 * np.eye(len(active)), columns.T @ target)
+            if (x >= 0).all():
                 break
-            step = np.min(x[low] / (x[low] - wish[low]))
-            x = x + step * (wish - x)
-            keep = ~(low & (x <= 1e-12))
-            active, columns, x = active[keep], columns[:, keep], x[keep]
+            active, columns = active[x >= 0], columns[:, x >= 0]
         rest = target - columns @ x
     return active, x * scale
 
