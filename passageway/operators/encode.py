@@ -24,11 +24,12 @@ def with_instruction(queries: DataFrame, prefix: str) -> DataFrame:
 def rewrite_queries(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """Replace the words of each question by rule: ``rules`` has (term, replacement), one row a term.
 
-    Words are compared in lower case; words without a rule stay.  Adds ``rewritten``.
+    Words are compared in lower case; words without a rule stay.  Of rules that differ in case alone the first
+    replacement in order of text counts.  Adds ``rewritten``, null for a null question.
     """
     words = queries.select("qid", F.posexplode(F.split("question", " ")).alias("pos", "word"))
-    known = broadcast_within(rules.select(F.lower("term").alias("_term"), "replacement"))
-    replaced = words.join(known, F.lower("word") == F.col("_term"), "left").select(
+    single = rules.groupBy(F.lower("term").alias("_term")).agg(F.min("replacement").alias("replacement"))
+    replaced = words.join(broadcast_within(single), F.lower("word") == F.col("_term"), "left").select(
         "qid", "pos", F.coalesce("replacement", "word").alias("word")
     )
     # One group holds the words of one question.
@@ -37,7 +38,7 @@ def rewrite_queries(queries: DataFrame, rules: DataFrame) -> DataFrame:
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " "
         ).alias("rewritten")
     )
-    return queries.join(rebuilt, "qid")
+    return queries.join(rebuilt, "qid", "left")
 
 
 class TermStats(NamedTuple):
@@ -96,16 +97,31 @@ def _common_and_rare(terms: DataFrame, hot_share: float, max_bytes: int) -> tupl
 
     A vocabulary measured as small goes whole.  Of a larger one go the words in at least one
     document of a thousand: at most a thousand times the mean number of distinct words per document,
-    however large the corpus.  What is left has no hot key.
+    however large the corpus.  What is left has no hot key.  If even those are too many, as many of the
+    commonest go as fit, by a histogram of idf.
     """
     if measured_bytes(terms) <= max_bytes:
         return terms, None
     # exp(-idf) is (df + 1/2) / (n_docs + 1), the share of the documents.
     edge = -math.log(hot_share)
-    common = terms.filter(F.col("idf") <= edge)
-    if measured_bytes(common) > max_bytes:
-        return terms.limit(0), terms
-    return common, terms.filter(F.col("idf") > edge)
+    if measured_bytes(terms.filter(F.col("idf") <= edge)) > max_bytes:
+        edge = _edge_within(terms, max_bytes)
+    return terms.filter(F.col("idf") <= edge), terms.filter(F.col("idf") > edge)
+
+
+def _edge_within(terms: DataFrame, max_bytes: int, steps: int = 200) -> float:
+    """The largest of ``steps`` idf values up to which the words take at most ``max_bytes``."""
+    low, high = terms.agg(F.min("idf"), F.max("idf")).first()
+    width = (high - low) / steps or 1.0
+    step = F.least(F.floor((F.col("idf") - low) / width), F.lit(steps - 1))
+    size = F.octet_length("token") + 64  # as ``measured_bytes`` counts a row of them
+    held, edge = 0, low - 1.0
+    for row in terms.groupBy(step.alias("step")).agg(F.sum(size).alias("bytes"), F.max("idf").alias("top")).orderBy("step").collect():
+        held += row["bytes"]
+        if held > max_bytes:
+            break
+        edge = row["top"]
+    return edge
 
 
 def encode(

@@ -32,14 +32,18 @@ def chunk_ctes(collection: str, name: str = "chunks", source: str = "documents")
   FROM (SELECT *, unnest(range(n)) AS i FROM {name}_b))"""
 
 
+def split_into(split: str, text: str) -> str:
+    if split == "words":
+        return words(text)
+    return (
+        f"flatten(list_transform({words(text)}, lambda w: CASE WHEN length(w) < 2 THEN [w] "
+        "ELSE list_transform(range(1, length(w)), lambda i: substring(w, i, 2)) END))"
+    )
+
+
 def stats_ctes(units: str, split: str = "words") -> str:
     """``units``: a query with (id, text)."""
-    tokens = words("text")
-    if split == "bigram":
-        tokens = (
-            f"flatten(list_transform({tokens}, lambda w: CASE WHEN length(w) < 2 THEN [w] "
-            "ELSE list_transform(range(1, length(w)), lambda i: substring(w, i, 2)) END))"
-        )
+    tokens = split_into(split, "text")
     return f"""
 unit AS ({units}),
 unit_words AS (SELECT id, {tokens} AS words FROM unit),
@@ -53,9 +57,9 @@ terms AS (
 question AS (SELECT item_id AS qid, text AS question FROM benchmark)"""
 
 
-def lexical_cte(k: int, name: str = "lexical") -> str:
+def lexical_cte(k: int, name: str = "lexical", split: str = "words") -> str:
     return f"""
-{name}_terms AS (SELECT DISTINCT qid, unnest({words("question")}) AS token FROM question),
+{name}_terms AS (SELECT DISTINCT qid, unnest({split_into(split, "question")}) AS token FROM question),
 {name}_scores AS (
   SELECT qid, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len * (SELECT n_docs FROM corpus)
                                                          / (SELECT total_len FROM corpus)))), 6) AS score
@@ -121,9 +125,9 @@ exact AS (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM scored) WHERE rank <= 8)"""
 
 
-def pooled_cte(ef: int) -> str:
+def pooled_cte(ef: int, name: str = "pooled") -> str:
     return f"""
-pooled AS (
+{name} AS (
   SELECT qid, rank, id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coarse DESC, id) AS place FROM scored)
@@ -337,6 +341,19 @@ b AS (SELECT qid, list(id ORDER BY rank) AS ids FROM pooled GROUP BY qid)
 SELECT qid, array_to_string(a.ids, ',') AS a_ids, array_to_string(b.ids, ',') AS b_ids, a.ids = b.ids AS identical,
        round(len(list_intersect(a.ids, b.ids)) / 8, 6) AS overlap
 FROM a JOIN b USING (qid)""",
+    "compare_pools": f"""
+WITH {_EMBED}, {pooled_cte(10, "p10")}, {pooled_cte(200, "p200")}, {pooled_cte(1_000_000_000, "pall")},
+pools AS (SELECT '10' AS pool, * FROM p10 UNION ALL SELECT '200', * FROM p200 UNION ALL SELECT 'all', * FROM pall),
+a AS (SELECT qid, list(id ORDER BY rank) AS ids FROM exact GROUP BY qid),
+b AS (SELECT pool, qid, list(id ORDER BY rank) AS ids FROM pools GROUP BY pool, qid)
+SELECT pool, count(*) AS n_queries, count_if(a.ids = b.ids)::BIGINT AS n_identical,
+       round(avg(len(list_intersect(a.ids, b.ids)) / 8), 6) AS overlap FROM a JOIN b USING (qid) GROUP BY pool""",
+    "bm25_topk_bigram": f"WITH {stats_ctes(_DOCUMENT_UNITS, 'bigram')}, {lexical_cte(8, split='bigram')} SELECT * FROM lexical",
+    "encode_text_bigram": f"""
+WITH {stats_ctes(_DOCUMENT_UNITS, "bigram")},
+weights AS (SELECT id, {_BUCKET} AS bucket, sum((1 + ln(tf)) * idf) AS w FROM postings JOIN terms USING (token) GROUP BY 1, 2)
+SELECT id, bucket::INT AS bucket, round(coalesce(w, 0), 6) AS weight
+FROM (SELECT id, unnest(range(64)) AS bucket FROM unit) LEFT JOIN weights USING (id, bucket)""",
     "bm25_topk": f"WITH {_DOC_STATS}, {lexical_cte(8)} SELECT * FROM lexical",
     "rrf_fuse": f"""
 WITH {_DOC_STATS}, {lexical_cte(50)}, {vector_cte(50)},
@@ -471,11 +488,13 @@ SELECT count_if(a.qid IS NOT NULL AND b.qid IS NOT NULL)::BIGINT AS n, count_if(
        count_if(a.qid IS NULL)::BIGINT AS missing_a, count_if(b.qid IS NULL)::BIGINT AS missing_b
 FROM (SELECT * FROM final WHERE config_id = 'base') a FULL JOIN (SELECT * FROM final WHERE config_id = 'tuned') b ON a.qid = b.qid""",
     "effect_ledger": f"""
-WITH {_DELTAS}
+WITH {_DELTAS},
+widths AS (SELECT config_id, 1.96 * sqrt(0.25 / n) AS width FROM rates)
 SELECT config_a, config_b, round(delta, 6) AS delta, same_direction,
-       CASE WHEN delta = 0 THEN 'none' WHEN abs(delta) <= 0.219 AND NOT same_direction THEN 'inconclusive'
+       CASE WHEN delta = 0 THEN 'none' WHEN abs(delta) <= greatest(a.width, b.width) AND NOT same_direction THEN 'inconclusive'
             WHEN delta > 0 THEN 'gain' ELSE 'regression' END AS effect
-FROM deltas JOIN direction USING (config_a, config_b) WHERE metric = 'total_rate'""",
+FROM deltas JOIN direction USING (config_a, config_b) JOIN widths a ON a.config_id = config_a
+JOIN widths b ON b.config_id = config_b WHERE metric = 'total_rate'""",
     "ablation_variants": f"""
 WITH {_QUESTION},
 parts AS (SELECT qid AS template_id, regexp_extract_all(question, '[^。！？.!?\\s][^。！？.!?]*[。！？.!?]*') AS parts FROM question)

@@ -6,6 +6,7 @@ Arrays are joined to text and rates rounded at the very end, so that two engines
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,6 +118,12 @@ def encode_text(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(vectors.select("id", F.posexplode("embedding").alias("bucket", "weight")), "weight")
 
 
+def encode_text_bigram(spark: SparkSession, sf: str) -> DataFrame:
+    units = study.document_units(spark, sf)
+    vectors = encode.encode(units, encode.term_stats(units, "id", mode="bigram").terms, "id", mode="bigram")
+    return _rounded(vectors.select("id", F.posexplode("embedding").alias("bucket", "weight")), "weight")
+
+
 def _length_model() -> Callable[[np.ndarray], np.ndarray]:
     """A stand-in for a caller's model: characters and spaces of each text."""
 
@@ -200,10 +207,30 @@ def compare_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(compared.select("qid", _text("a_ids"), _text("b_ids"), "identical", "overlap"), "overlap")
 
 
+def compare_pools(spark: SparkSession, sf: str) -> DataFrame:
+    """How far a pool of 10, of 200 and of all vectors agrees with the exact ranking."""
+    queries, vectors = study.label_centers(spark, sf), study.vectors(spark, sf)
+    exact = retrieve.exact_topk(queries, vectors, 8)
+    rows = []
+    for name, ef in (("10", 10), ("200", 200), ("all", vectors.count())):
+        compared = retrieve.compare_topk(exact, retrieve.ann_topk(queries, vectors, 8, ef=ef), 8)
+        rows.append(
+            compared.agg(
+                F.lit(name).alias("pool"), F.count("*").alias("n_queries"), F.count_if("identical").alias("n_identical"), F.avg("overlap").alias("overlap")
+            )
+        )
+    return _rounded(reduce(DataFrame.unionByName, rows), "overlap")
+
+
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return study.lexical(spark, sf, study.document_units(spark, sf), 8)
 
 
+def bm25_topk_bigram(spark: SparkSession, sf: str) -> DataFrame:
+    """As for scripts without spaces: texts and questions as character pairs."""
+    return study.lexical(spark, sf, study.document_units(spark, sf), 8, mode="bigram")
+
+
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     units = study.document_units(spark, sf)
     stats = encode.term_stats(units, "id")
@@ -412,8 +439,12 @@ def effect_ledger(spark: SparkSession, sf: str) -> DataFrame:
     deltas = _deltas(spark, sf)
     agree = evaluate.same_direction(deltas).select("config_a", "config_b", "same_direction")
     total = deltas.filter(F.col("metric") == "total_rate").select("config_a", "config_b", "delta")
-    ledger = evaluate.effect_ledger(total.join(agree, ["config_a", "config_b"]), 0.219)
-    return _rounded(ledger, "delta")
+    # The interval of a pair is the wider one of its two sides, from their numbers of answers.
+    widths = evaluate.proportion_ci(answer_rates(spark, sf), "total_rate", "n").select("config_id", "half_width")
+    sides = [widths.select(F.col("config_id").alias(f"config_{x}"), F.col("half_width").alias(f"half_{x}")) for x in "ab"]
+    joined = total.join(agree, ["config_a", "config_b"]).join(sides[0], "config_a").join(sides[1], "config_b")
+    ledger = evaluate.effect_ledger(joined, F.greatest("half_a", "half_b"))
+    return _rounded(ledger.select("config_a", "config_b", "delta", "same_direction", "effect"), "delta")
 
 
 def ablation_variants(spark: SparkSession, sf: str) -> DataFrame:
@@ -484,9 +515,9 @@ QUERIES: dict[str, Query] = {
     for f in (
         corpus_scan, ingest_stream, chunk_documents, build_collection, resolve_collection, audit_collection,
         align_numbering, open_collection,
-        with_instruction, rewrite_queries, encode_text, encode_with_model, term_postings, term_stats, term_stats_bigram,
-        exact_topk, exact_topk_text, ann_topk_prefix, ann_topk_ivf, ann_topk_ivf_all_cells, ann_topk_ivf_label_cells, compare_topk, bm25_topk,
-        rrf_fuse, sweep_k, smallest_window, rank_displacement, assemble_context, extractive_answers,
+        with_instruction, rewrite_queries, encode_text, encode_text_bigram, encode_with_model, term_postings, term_stats, term_stats_bigram,
+        exact_topk, exact_topk_text, ann_topk_prefix, ann_topk_ivf, ann_topk_ivf_all_cells, ann_topk_ivf_label_cells, compare_topk, compare_pools, bm25_topk,
+        bm25_topk_bigram, rrf_fuse, sweep_k, smallest_window, rank_displacement, assemble_context, extractive_answers,
         extract_citations, illegal_citations, enforce_whitelist, apply_retry, dedupe_citations, verdict_flips,
         judge, majority, retrieval_hits, answer_rates, confusion, answer_quality, proportion_ci, check_consistency,
         parse_run_logs, final_table, compare_runs, config_diff, same_direction, paired_ab, effect_ledger,

@@ -87,9 +87,11 @@ def as_units(chunked: DataFrame) -> DataFrame:
     return chunked.select(F.col("chunk_no").alias("id"), "text")
 
 
-def lexical(spark: SparkSession, sf: str, units: DataFrame, k: int, stats: TermStats | None = None) -> DataFrame:
+def lexical(
+    spark: SparkSession, sf: str, units: DataFrame, k: int, stats: TermStats | None = None, mode: str = "word"
+) -> DataFrame:
     asked = questions(spark, sf)
-    return bm25_topk(asked, stats or term_stats(units, "id", only=query_terms(asked)), k)
+    return bm25_topk(asked, stats or term_stats(units, "id", mode=mode, only=query_terms(asked, mode)), k)
 
 
 def vector(

@@ -182,6 +182,9 @@ def test_encoding_with_common_and_rare_words(spark):
         assert got == {i: pytest.approx(v) for i, v in want.items()}
     common, rare = encode._common_and_rare(stats.terms.withColumn("bucket", F.lit(0)), 0.3, 350)
     assert {r.token for r in common.collect()} == {"the", "cat", "sat"} and rare.count() == len(terms) - 3
+    common, rare = encode._common_and_rare(stats.terms.withColumn("bucket", F.lit(0)), 1e-6, 350)
+    kept, left = [r.idf for r in common.collect()], [r.idf for r in rare.collect()]
+    assert kept and max(kept) < min(left) and len(kept) + len(left) == len(terms)
     fewer = stats.terms.filter("token <> 'cat'")
     a, b = (encode.encode(docs, fewer, dim=8, max_bytes=limit).orderBy("id").collect() for limit in (10**6, 0))
     assert [r.embedding for r in a] == [pytest.approx(r.embedding) for r in b] and a[0].embedding != want[0]
@@ -235,10 +238,10 @@ def test_context_and_answers(spark):
 
 
 def test_rewrite_and_prefix(spark):
-    asked = spark.createDataFrame([(1, "Robot arm robot"), (2, "")], "qid int, question string")
-    rules = spark.createDataFrame([("robot", "humanoid machine")], "term string, replacement string")
+    asked = spark.createDataFrame([(1, "Robot arm robot"), (2, ""), (3, None)], "qid int, question string")
+    rules = spark.createDataFrame([("robot", "humanoid machine"), ("ROBOT", "zzz")], "term string, replacement string")
     got = rows(encode.rewrite_queries(asked, rules), "qid", "rewritten")
-    assert got == [(1, "humanoid machine arm humanoid machine"), (2, "")]
+    assert got == [(1, "humanoid machine arm humanoid machine"), (2, ""), (3, None)]
     assert encode.with_instruction(asked, "find: ").first().question == "find: Robot arm robot"
 
 
