@@ -78,7 +78,7 @@ class Model:
         return best, float(score)
 
 
-def train(texts: DataFrame, rows_each: int = 1_500, most_rows: int = 24_000, cost: float = 30.0) -> Model:
+def train(texts: DataFrame, rows_each: int = 800, most_rows: int = 12_000, cost: float = 30.0) -> Model:
     """Fit on rows (id, text, lang), texts with a letter.
 
     Classifiers are fitted on a bounded sample: of each language about ``rows_each`` rows by a hash of the id, of all
@@ -109,9 +109,9 @@ def train(texts: DataFrame, rows_each: int = 1_500, most_rows: int = 24_000, cos
         return model
     columns = [np.frombuffer(r["columns"], dtype=np.int16) for r in rows]
     x = Rows(
-        np.repeat(np.arange(len(rows)), [len(c) for c in columns]),
-        np.concatenate(columns).astype(np.int64),
-        np.concatenate([np.frombuffer(r["values"], dtype=np.float32) for r in rows]).astype(float),
+        np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns]),
+        np.concatenate(columns),
+        np.concatenate([np.frombuffer(r["values"], dtype=np.float32) for r in rows]),
         (len(rows), 1 << BITS),
     )
     if len(model.languages) > 1:

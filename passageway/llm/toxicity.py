@@ -114,8 +114,8 @@ def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << 12,
     rows = labelled.join(F.broadcast(sample), "id").select("text", "label").mapInArrow(sparse, "label bigint, columns binary, values binary").collect()
     labels = np.array([r["label"] for r in rows])
     columns = [np.frombuffer(r["columns"], dtype=np.int32) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
-    value = np.concatenate([np.frombuffer(r["values"], dtype=np.float32) for r in rows]).astype(float)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
+    value = np.concatenate([np.frombuffer(r["values"], dtype=np.float32) for r in rows])
     model.weight, model.bias = fit(Rows(row, np.concatenate(columns), value, (len(rows), len(chosen))), labels == 1, "logistic", cost)
     return model
 
