@@ -16,6 +16,9 @@ from passageway.llm.common import fold, table, word_count, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose language is less sure than this is rejected; four languages guessed at random would have as much.
 LEAST_SURE = 0.25
+#: Near duplicates: fingerprints of word pairs that differ in at most so many bits. Of the pairs that share 0.8 or more of
+#: their five-word shingles most do; unrelated documents are much further apart (see README).
+SHINGLE, RADIUS = 2, 6
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return _columns(simhash.one_of_each(docs, words=5, radius=3))
+    return _columns(simhash.one_of_each(docs, words=SHINGLE, radius=RADIUS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from passageway.llm.components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Runs of equal keys up to this length are compared outright, longer ones are first split by further masks.
-RUN = 2048
+RUN = 8192
 
 
 def text_fingerprint(text: str | None, words: int = 3) -> int:

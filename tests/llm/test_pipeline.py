@@ -35,8 +35,8 @@ def test_stages(spark):
     assert len(gone - toxic) <= 0.05 * len(rows["start"])
     kept = {r["doc_id"] for r in rows["toxicity"]} - {r["doc_id"] for r in rows["language"]}
     assert not [r for r in rows["toxicity"] if r["doc_id"] in kept and any(c.isalpha() for c in r["text"])]
-    prints = {r["doc_id"]: simhash.text_fingerprint(r["text"], 5) for r in rows["language"]}
-    label = components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    prints = {r["doc_id"]: simhash.text_fingerprint(r["text"], pipeline.SHINGLE) for r in rows["language"]}
+    label = components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= pipeline.RADIUS)
     assert sorted(r["doc_id"] for r in rows["near duplicates"]) == sorted(set(label.values()))
     mixed = Counter(r["doc_id"] for r in rows["mix"])
     assert set(mixed) <= {r["doc_id"] for r in rows["near duplicates"]} and max(mixed.values()) <= 2
