@@ -3,7 +3,7 @@ from collections import Counter
 
 import duckdb
 import pytest
-from conftest import components
+from brute import components
 from oracle_check import connect, difference, spark_result, sql_result
 
 import corpus_pipeline as pipeline

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import components
+from brute import components
 
 from passageway.llm import pivots
 

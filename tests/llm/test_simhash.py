@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 import xxhash
-from conftest import components, words
+from brute import components, words
 
 from passageway.llm import simhash
 from passageway.llm.components import connected_components
