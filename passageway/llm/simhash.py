@@ -56,13 +56,14 @@ def covering_masks(radius: int, seed: int = 7) -> list[int]:
 
     Each bit position i gets a non-zero vector m(i) of radius + 1 bits; mask v (non-zero) has bit i set if m(i) and v
     have an odd number of ones in common. Any ``radius`` vectors m(i) leave some v that is orthogonal to them all, and
-    under that mask none of the differing bits is looked at. Positions are dealt to the vectors evenly, so that each
-    mask looks at about half of the bits.
+    under that mask none of the differing bits is looked at. Positions are dealt to vectors in random order, as evenly
+    as they go, so that each mask looks at about half of the bits.
     """
     width = radius + 1
-    order = np.random.default_rng(seed).permutation(64)
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(64)
     vectors = np.empty(64, dtype=np.int64)
-    vectors[order] = 1 + np.arange(64) % ((1 << width) - 1)
+    vectors[order] = 1 + np.resize(rng.permutation((1 << width) - 1), 64)
     return [sum(1 << i for i in range(64) if bin(int(vectors[i]) & v).count("1") % 2) for v in range(1, 1 << width)]
 
 
