@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from passageway.functions.scan import Batches, Best, Held, above_floor, keep_best, to_batch
+from passageway.functions.scan import Batches, Best, Held, keep_best, to_batch
 
 # Cells of the (question, text) score matrix and term matches held at once by a task.
 _CELLS = 2_000_000
