@@ -21,13 +21,36 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.asarray(column.flatten())
 
 
-def choose_pivots(nodes: DataFrame, most: int) -> dict[int, np.ndarray]:
-    """Unit reference points by dimension: the ``most`` vectors first in order of a hash, a bounded sample."""
-    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("vec").collect()
+def spread_pivots(unit: np.ndarray, most: int, cosine: float) -> np.ndarray:
+    """Up to ``most`` rows of ``unit``, each the farthest from those before it; none is within ``cosine`` of another.
+
+    A dense region of any number of rows owns one or a few, so its members agree about the others that are near.
+    """
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < min(most, len(unit)):
+        far = int(near.argmin())
+        if near[far] >= cosine:
+            break
+        chosen.append(far)
+        near = np.maximum(near, unit @ unit[far])
+    return unit[chosen]
+
+
+def choose_pivots(nodes: DataFrame, most: int, cosine: float) -> dict[int, np.ndarray]:
+    """Unit reference points by dimension, ``most`` in all or fewer, spread over a bounded sample of four times as many.
+
+    The sample is the first vectors in order of a hash. Pivots keep twice the squared distance that ``cosine`` stands for.
+    """
+    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(4 * most).select("vec").collect()
     by_size: dict[int, list] = {}
     for (vec,) in rows:
         by_size.setdefault(len(vec), []).append(vec)
-    return {d: (x := np.array(v, dtype=np.float64)) / np.linalg.norm(x, axis=1, keepdims=True) for d, v in by_size.items()}
+    out = {}
+    for d, v in by_size.items():
+        x = np.array(v, dtype=np.float64)
+        share = -(-most * len(v) // len(rows))
+        out[d] = spread_pivots(x / np.linalg.norm(x, axis=1, keepdims=True), share, 2 * cosine - 1)
+    return out
 
 
 def pivot_lists(nodes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
@@ -175,8 +198,8 @@ def near_vectors(
     """(key, n_links, component_id, kept) for every row: vectors linked by a cosine of at least ``cosine``.
 
     Equal vectors are one node (named by a 64-bit hash of the whole vector) and count as links of one another. Pivots
-    are a bounded sample: half the square root of the number of nodes, 64 to 4,096, unless given. All vectors are
-    indexed, and two are compared if they share two of their ``nearest`` pivots; no link below ``cosine`` is made,
+    are spread over a bounded sample: half the square root of the number of nodes, 64 to 4,096, unless given, and fewer
+    if the sample has no more that are far enough from one another. All vectors are indexed, and two are compared if they share two of their ``nearest`` pivots; no link below ``cosine`` is made,
     and the share found of those there are is measured in the tests. Vectors that are null, empty, zero, or hold null
     or non-finite components link with nothing, nor do vectors of different dimension. A null key stays null; repeated
     rows count as links of one another; an empty table gives no rows; other columns are ignored.
@@ -188,7 +211,7 @@ def near_vectors(
     nodes = rows.filter("vec IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("w"), F.first("vec").alias("vec"))
     nodes = written(nodes, "nodes")
     number = nodes.count()
-    refs = choose_pivots(nodes, pivots or int(min(4096, max(64, number**0.5 / 2))))
+    refs = choose_pivots(nodes, pivots or int(min(4096, max(64, number**0.5 / 2))), cosine)
     links = written(list_links(written(pivot_lists(nodes, refs, nearest), "lists"), cosine), "links")
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
     labels = connected_components(links.filter("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -51,3 +51,39 @@ def test_odd_vectors(spark):
 def test_repeated_rows_and_null_keys(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [1.0, 2.0])], "vec_id bigint, embedding array<float>")
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pivots.near_vectors(df).collect()), key=repr) == [(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False)]
+
+
+def hot_region(n, seed=9):
+    """A third of ``n`` vectors around one centre, with cosines of about 0.96 to one another; the rest at random."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    x = np.concatenate([centre + rng.normal(size=(n // 3, 64)) * np.sqrt((1 / 0.96 - 1) / 64), rng.normal(size=(n - n // 3, 64))])
+    return (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(n)], centre
+
+
+def test_links_of_a_hot_region(spark):
+    x, _ = hot_region(20_000)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = pivots.near_vectors(df).collect()
+    exact = sum(int((x[a : a + 1000] @ x.T >= 0.95).sum()) for a in range(0, len(x), 1000)) - len(x)
+    assert exact > 10_000_000 and 0.9 * exact <= sum(r["n_links"] for r in got) <= exact
+
+
+@pytest.mark.parametrize("n", [20_000, 100_000])
+def test_pivots_of_a_hot_region(spark, n):
+    x, centre = hot_region(n)
+    most = int(n**0.5 / 2)
+    sample = spark.createDataFrame([(i, v) for i, v in enumerate(x[: 8 * most].tolist())], "node bigint, vec array<double>")
+    refs = pivots.choose_pivots(sample, most, 0.95)[64]
+    hot = x[x @ centre > 0.9][:2000]
+    near = np.argsort(-(hot @ refs.T), axis=1)[:, :5]
+    i, j = np.nonzero(np.triu(hot @ hot.T >= 0.95, 1))
+    i, j = i[::20], j[::20]
+    assert ((near[i][:, :, None] == near[j][:, None, :]).sum((1, 2)) >= 2).mean() >= 0.9
+
+
+def test_a_region_of_its_own_has_few_pivots():
+    x, centre = hot_region(3000)
+    hot = x[x @ centre > 0.9]
+    assert len(pivots.spread_pivots(hot, 64, 0.9)) <= 5 and len(pivots.spread_pivots(x, 64, 0.9)) == 64
