@@ -185,11 +185,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **parameters) -> DataFrame:
-    """The rows of ``docs`` whose key is the component_id of their component; of rows with the same key one stays."""
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, key, **parameters)
-    kept = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    joined = docs.join(kept, docs[key].eqNullSafe(kept["_key"])).drop("_key")
-    first = Window.partitionBy(key).orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != key))
-    return joined.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+    """One row of ``docs`` for each component: the one with the smallest key, a null key being the largest.
+
+    Among rows with that key the smallest of two hashes of the whole row decides, so keys need be neither there nor
+    unique: components without a key keep a row each, and so do components with the same one.
+    """
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    whole += [c.isNull() for c in whole]  # hashes skip nulls
+    rows = docs.withColumns({"_h1": F.xxhash64(F.lit(1), *whole), "_h2": F.xxhash64(F.lit(2), *whole)})
+    named = rows.withColumn("_row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_h1", "_h2"))
+    found = near_duplicates(named, "_row", **parameters)
+    kept = found.select("component_id._h1", "component_id._h2").distinct()
+    # Equal rows are told apart by nothing; they are brought down to one by an aggregate that starts before the shuffle.
+    return rows.join(kept, ["_h1", "_h2"], "left_semi").select(*docs.columns).distinct()

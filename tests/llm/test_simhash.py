@@ -89,3 +89,11 @@ def test_odd_rows(spark, odd_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and {1, 3, 6, 7, 8, 9, 10} <= set(ids) and not {2, 4, 5} & set(ids)
     assert simhash.one_of_each(odd_docs.filter("false")).count() == 0
+
+
+def test_rows_without_a_key_or_with_the_same_one_stay(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(None, text(i)) for i in range(20)] + [(None, text(0)), (5, text(1)), (7, text(40)), (7, text(41)), (7, text(41)), (6, text(41)), (8, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect()), key=repr)
+    assert kept == sorted([(None, text(i)) for i in range(20) if i != 1] + [(5, text(1)), (6, text(41)), (7, text(40)), (8, None)], key=repr)
