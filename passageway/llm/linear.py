@@ -17,12 +17,48 @@ class Rows:
     def back(self, v: np.ndarray) -> np.ndarray:
         return np.bincount(self.column, self.value * v[self.row], minlength=self.shape[1])
 
+    def back_squares(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value**2 * v[self.row], minlength=self.shape[1])
+
     def take(self, chosen: np.ndarray) -> Rows:
         """The rows of a Boolean mask."""
         at = chosen[self.row]
         return Rows((np.cumsum(chosen) - 1)[self.row[at]], self.column[at], self.value[at], (int(chosen.sum()), self.shape[1]))
 
 
+class Long(Rows):
+    """Rows of which each entry takes 8 bytes: ``column`` (int32) and ``value`` (float32) in order of rows that begin at
+    ``start``. Products go through blocks of rows, so nothing else is as long as the entries."""
+
+    def __init__(self, start: np.ndarray, column: np.ndarray, value: np.ndarray, columns: int, block: int = 1 << 18):
+        self.start, self.column, self.value, self.shape = start, column, value, (len(start) - 1, columns)
+        edges = np.searchsorted(start, np.arange(0, start[-1] + block, block), side="left")
+        self.blocks = np.unique(np.minimum(edges, self.shape[0]))
+
+    def _parts(self):
+        for a, b in zip(self.blocks, self.blocks[1:]):
+            at = slice(self.start[a], self.start[b])
+            yield a, b, np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1])), self.column[at], self.value[at]
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[0])
+        for a, b, row, column, value in self._parts():
+            out[a:b] = np.bincount(row, value * w[column], minlength=b - a)
+        return out
+
+    def _back(self, v: np.ndarray, power: int) -> np.ndarray:
+        out = np.zeros(self.shape[1])
+        for a, b, row, column, value in self._parts():
+            out += np.bincount(column, value**power * v[a:b][row], minlength=len(out))
+        return out
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return self._back(v, 1)
+
+    def back_squares(self, v: np.ndarray) -> np.ndarray:
+        return self._back(v, 2)
+
+
 def _logistic(margin):
     p = 1 / (1 + np.exp(np.clip(margin, -500, 500)))  # the chance of the wrong side
     return np.logaddexp(0, -margin), -p, p * (1 - p)
@@ -61,7 +97,7 @@ def fit(x: Rows, positive: np.ndarray, loss: str, cost: float, rounds: int = 40)
             break
         curve = cost * np.maximum(curve, 1e-10)
         # Conjugate gradients on the Hessian, preconditioned by its diagonal.
-        mw, mb = 1 + np.bincount(x.column, x.value**2 * curve[x.row], minlength=d), ridge + curve.sum()
+        mw, mb = 1 + x.back_squares(curve), ridge + curve.sum()
         sw, sb = np.zeros(d), 0.0
         rw, rb = -gw, -gb
         zw, zb = rw / mw, rb / mb

@@ -12,15 +12,26 @@ from pyspark.sql import functions as F
 
 from passageway.functions.bounds import broadcast_within
 from passageway.llm.common import written
-from passageway.llm.linear import Rows, fit
-from passageway.llm.ngrams import gram_slots
+from passageway.llm.linear import Long, fit
+from passageway.llm.ngrams import gram_counts, gram_slots
 
 SIZES = (3, 4, 5)
 BITS = 18
+#: Code points above which a text's n-grams are counted in a table of all slots rather than sorted.
+LONG = 1 << 16
 #: Slots of the count table that travel in one row.
 CHUNK = 1 << 12
 
 
+def text_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of the whole text's n-grams, each once, and how often each occurs."""
+    if len(text) > LONG:
+        counts = gram_counts(text, SIZES, BITS)
+        slots = np.flatnonzero(counts)
+        return slots, counts[slots]
+    return np.unique(np.concatenate([*gram_slots(text, SIZES, BITS), np.zeros(0, dtype=np.int64)]), return_counts=True)
+
+
 @dataclass
 class Model:
     """``column``: the feature of a slot or -1; per feature its log-count ratio and its weight; a bias."""
@@ -30,22 +41,24 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def values(self, text: str) -> np.ndarray:
-        """Counts of the features in the whole text times their ratios, scaled to length 1."""
-        counts = np.zeros(len(self.ratio), dtype=np.int64)
-        for slots in gram_slots(text, SIZES, BITS):
-            features = self.column[slots]
-            counts += np.bincount(features[features >= 0], minlength=len(counts))
-        x = counts * self.ratio
-        return x / max(1e-12, float(np.sqrt(x @ x)))
+    def entries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The features of the whole text, and their counts times their ratios, scaled to length 1."""
+        slots, counts = text_counts(text)
+        features = self.column[slots]
+        known = features >= 0
+        features = features[known]
+        x = counts[known] * self.ratio[features]
+        return features, x / max(1e-12, float(np.sqrt(x @ x)))
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.values(text or "") @ self.weight + self.bias, -500, 500))))
+        features, x = self.entries(text or "")
+        return float(1 / (1 + np.exp(-np.clip(x @ self.weight[features] + self.bias, -500, 500))))
 
 
 def class_counts(labelled: DataFrame) -> np.ndarray:
-    """Counts of every slot in all texts (text, label) of label 0 and 1: an array of 2 by 2^BITS.
+    """Number of different texts with every slot, over all (text, label) of label 0 and 1: an array of 2 by 2^BITS.
 
+    Copies of a text and repeats within one count once, so that no group of copies outweighs the other texts.
     Each task adds up what it reads; its table travels in chunks that are summed slot by slot, so the driver receives
     one table whatever the number of texts.
     """
@@ -54,8 +67,7 @@ def class_counts(labelled: DataFrame) -> np.ndarray:
         table = np.zeros((2, 1 << BITS), dtype=np.int64)
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                for slots in gram_slots(text.as_py() or "", SIZES, BITS):
-                    np.add.at(table[label], slots, 1)
+                table[label][text_counts(text.as_py() or "")[0]] += 1
         for label in (0, 1):
             if table[label].any():
                 parts = [x.tobytes() for x in table[label].reshape(-1, CHUNK)]
@@ -68,7 +80,7 @@ def class_counts(labelled: DataFrame) -> np.ndarray:
         return pa.table({"label": group.column("label")[:1], "chunk": group.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     shape = "label bigint, chunk bigint, counts binary"
-    rows = labelled.select("text", "label").mapInArrow(counted, shape).groupBy("label", "chunk").applyInArrow(summed, shape)
+    rows = labelled.select("text", "label").distinct().mapInArrow(counted, shape).groupBy("label", "chunk").applyInArrow(summed, shape)
     out = np.zeros((2, (1 << BITS) // CHUNK, CHUNK), dtype=np.int64)
     for r in rows.toLocalIterator():
         out[r["label"], r["chunk"]] = np.frombuffer(r["counts"], dtype=np.int64)
@@ -80,12 +92,12 @@ def log_count_ratios(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
     return np.log(p[1] / p[0])
 
 
-def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << 12, cost: float = 30.0) -> Model:
+def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << BITS, cost: float = 30.0) -> Model:
     """Fit on rows (id, text, label 0 or 1).
 
     Log-count ratios come from all labelled texts. The weights are fitted by logistic regression on at most
-    ``most_rows`` of them (those first in order of a hash of the id) and on the ``features`` slots whose counts differ
-    most from independence of the label. Without both labels the score is the one label there is, 0 without any.
+    ``most_rows`` of them (those first in order of a hash of the id) and on all slots that occur; if ``features`` is
+    smaller, on so many whose counts differ most from independence of the label. Without both labels the score is the one label there is, 0 without any.
     """
     counts = class_counts(labelled)
     totals = counts.sum(1).astype(float)
@@ -94,7 +106,8 @@ def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << 12,
         return Model(column, np.zeros(1), np.zeros(1), 30.0 if totals[1] else -30.0)
     expected = counts.sum(0) * totals[1] / totals.sum()
     surprise = np.abs(counts[1] - expected) / np.sqrt(expected + 1)
-    chosen = np.sort(np.argsort(-surprise, kind="stable")[:features])
+    chosen = np.argsort(-surprise, kind="stable")[:features]
+    chosen = np.sort(chosen[counts.sum(0)[chosen] > 0])
     column[chosen] = np.arange(len(chosen))
     model = Model(column, log_count_ratios(counts)[chosen], np.zeros(len(chosen)), 0.0)
 
@@ -102,21 +115,24 @@ def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << 12,
         for batch in batches:
             columns, values, labels = [], [], batch.column(1).to_pylist()
             for text in batch.column(0):
-                x = model.values(text.as_py() or "")
-                at = np.flatnonzero(x)
+                at, x = model.entries(text.as_py() or "")
                 columns.append(at.astype(np.int32).tobytes())
-                values.append(x[at].astype(np.float32).tobytes())
+                values.append(x.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(labels, pa.int64()), pa.array(columns, pa.binary()), pa.array(values, pa.binary())], names=["label", "columns", "values"]
             )
 
     sample = labelled.select("id", "label").orderBy(F.xxhash64("id"), "id").limit(most_rows).select("id").distinct()
-    rows = labelled.join(F.broadcast(sample), "id").select("text", "label").mapInArrow(sparse, "label bigint, columns binary, values binary").collect()
-    labels = np.array([r["label"] for r in rows])
-    columns = [np.frombuffer(r["columns"], dtype=np.int32) for r in rows]
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
-    value = np.concatenate([np.frombuffer(r["values"], dtype=np.float32) for r in rows])
-    model.weight, model.bias = fit(Rows(row, np.concatenate(columns), value, (len(rows), len(chosen))), labels == 1, "logistic", cost)
+    rows = labelled.join(F.broadcast(sample), "id").select("text", "label").mapInArrow(sparse, "label bigint, columns binary, values binary")
+    # The driver takes one part at a time, and holds each entry once.
+    labels, ends, columns, values = [], [0], bytearray(), bytearray()
+    for r in written(rows, "entries").toLocalIterator():
+        labels.append(r["label"])
+        columns += r["columns"]
+        values += r["values"]
+        ends.append(len(columns) // 4)
+    x = Long(np.array(ends), np.frombuffer(columns, dtype=np.int32), np.frombuffer(values, dtype=np.float32), len(chosen))
+    model.weight, model.bias = fit(x, np.array(labels) == 1, "logistic", cost)
     return model
 
 
@@ -133,7 +149,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str =
     Null texts are scored as empty ones; the score depends on nothing but the text, so repeated rows have equal
     scores; an empty table gives no rows; a column named like ``out`` is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # about 1 MB, whatever the data
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # about 5 MB, whatever the data
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from passageway.llm import langid, toxicity
-from passageway.llm.linear import Rows, fit
+from passageway.llm.linear import Long, Rows, fit
 from passageway.llm.ngrams import STRETCH, gram_counts, gram_slots
 
 
@@ -112,3 +112,30 @@ def test_languages_of_odd_rows(spark, odd_docs):
     assert langid.identify(odd_docs.filter("false"), model).count() == 0
     alone = langid.train(langid.training_texts(odd_docs.filter("lang = 'fr'")))
     assert langid.identify(odd_docs.filter("doc_id = 1"), alone).collect()[0]["lang_pred"] == "fr"
+
+
+def test_long_rows_multiply_as_rows_do():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 30)) * (rng.random((50, 30)) < 0.3)
+    x[[0, 7, 49]] = 0
+    x = x.astype(np.float32)
+    row, column = np.nonzero(x)
+    start = np.concatenate([[0], np.cumsum((x != 0).sum(1))])
+    w, v = rng.normal(size=30), rng.normal(size=50)
+    for block in (1, 40, 1000):
+        long = Long(start, column.astype(np.int32), x[row, column], 30, block)
+        assert np.allclose(long.dot(w), x @ w) and np.allclose(long.back(v), x.T @ v) and np.allclose(long.back_squares(v), (x**2).T @ v)
+
+
+def test_copies_do_not_crowd_out_other_toxic_words(spark):
+    rng = random.Random(6)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    copied = " ".join("".join(rng.choices(alphabet, k=6)) for _ in range(1500))
+    rows = [(i, sentences(rng, i % 6 == 0), int(i % 6 == 0)) for i in range(900)]
+    rows += [(1000 + i, copied, 1) for i in range(450)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    seen = df.filter("doc_id < 600 OR doc_id >= 1000")
+    model = toxicity.train(toxicity.labelled_texts(seen.drop("toxic"), df.select("doc_id", "toxic")))
+    scored = toxicity.score_toxicity(df.filter("doc_id >= 600 AND doc_id < 1000"), model).collect()
+    assert sum(r["score"] >= 0.5 for r in scored if r["toxic"] == 1) >= 0.9 * sum(r["toxic"] for r in scored)
+    assert sum(r["score"] >= 0.5 for r in scored if r["toxic"] == 0) <= 0.02 * len(scored)
