@@ -51,4 +51,33 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN
   CASE WHEN page_id <> original THEN original END AS refers_to FROM originals
 """
 
-ORACLES = {"op5_resolve_revisits": OP5, "op4_mix_sources": OP4, "op9_judge_urls": OP9}
+# Documents are counted by the set of filters they fail (one bit each); every order is then applied to those counts.
+OP12 = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
+failed AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS failed FROM split),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+counted AS (SELECT part, failed, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failed LEFT JOIN marks USING (doc_id) GROUP BY part, failed),
+filters AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS filters(f)),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM filters a, filters b, filters c, filters d, filters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    list_sum([0] || list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::BIGINT AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+report AS (SELECT part, filter_order, step, bit,
+    sum(CASE WHEN failed & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed & before <> 0 AND failed & bit <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counted, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM report
+"""
+
+ORACLES = {"op12_audit_filters": OP12, "op5_resolve_revisits": OP5, "op4_mix_sources": OP4, "op9_judge_urls": OP9}
