@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import scratch_path
-from passageway.llm import fingerprints, langid, lmscore, mixing, packing, pivots, simhash, survival, toxicity, urlfilter, warc
+from passageway.llm import fingerprints, langid, lmscore, mixing, packing, pivots, simhash, survival, toxicity, urlfilter, variants, warc
 from passageway.llm.common import fold, table, word_count, written
 
 
@@ -74,4 +74,8 @@ def op12_audit_filters(spark: SparkSession, sf: str) -> DataFrame:
     return survival.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_score_toxicity, op2_identify_language, op3_score_pitman_yor, op4_mix_sources, op5_resolve_revisits, op6_fingerprint_documents, op7_simhash_components, op8_near_vectors, op9_judge_urls, op10_pack_documents, op12_audit_filters)}
+def op13_group_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_score_toxicity, op2_identify_language, op3_score_pitman_yor, op4_mix_sources, op5_resolve_revisits, op6_fingerprint_documents, op7_simhash_components, op8_near_vectors, op9_judge_urls, op10_pack_documents, op12_audit_filters, op13_group_variants)}
