@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import scratch_path
-from passageway.llm import fingerprints, langid, lmscore, mixing, packing, pivots, simhash, survival, toxicity, urlfilter, variants, warc
+from passageway.llm import bpe, fingerprints, langid, lmscore, mixing, packing, pivots, simhash, survival, toxicity, urlfilter, variants, warc
 from passageway.llm.common import fold, table, word_count, written
 
 
@@ -70,6 +70,17 @@ def op8_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf, "embeddings"), cosine=0.95)
 
 
+def op11_encode_documents(spark: SparkSession, sf: str) -> DataFrame:
+    file = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    encoded = table(spark, sf, "documents").select("doc_id", bpe.encode("text", *file).alias("ids"))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        bpe.ids_digest("ids").alias("ids_sha256"),
+        F.sha2(bpe.decode("ids", *file), 256).alias("decoded_sha256"),
+    )
+
+
 def op12_audit_filters(spark: SparkSession, sf: str) -> DataFrame:
     return survival.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -78,4 +89,4 @@ def op13_group_variants(spark: SparkSession, sf: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_score_toxicity, op2_identify_language, op3_score_pitman_yor, op4_mix_sources, op5_resolve_revisits, op6_fingerprint_documents, op7_simhash_components, op8_near_vectors, op9_judge_urls, op10_pack_documents, op12_audit_filters, op13_group_variants)}
+QUERIES = {f.__name__: f for f in (op1_score_toxicity, op2_identify_language, op3_score_pitman_yor, op4_mix_sources, op5_resolve_revisits, op6_fingerprint_documents, op7_simhash_components, op8_near_vectors, op9_judge_urls, op10_pack_documents, op11_encode_documents, op12_audit_filters, op13_group_variants)}
