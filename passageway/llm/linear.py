@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -26,39 +28,6 @@ class Rows:
         return Rows((np.cumsum(chosen) - 1)[self.row[at]], self.column[at], self.value[at], (int(chosen.sum()), self.shape[1]))
 
 
-class Long(Rows):
-    """Rows of which each entry takes 8 bytes: ``column`` (int32) and ``value`` (float32) in order of rows that begin at
-    ``start``. Products go through blocks of rows, so nothing else is as long as the entries."""
-
-    def __init__(self, start: np.ndarray, column: np.ndarray, value: np.ndarray, columns: int, block: int = 1 << 18):
-        self.start, self.column, self.value, self.shape = start, column, value, (len(start) - 1, columns)
-        edges = np.searchsorted(start, np.arange(0, start[-1] + block, block), side="left")
-        self.blocks = np.unique(np.minimum(edges, self.shape[0]))
-
-    def _parts(self):
-        for a, b in zip(self.blocks, self.blocks[1:]):
-            at = slice(self.start[a], self.start[b])
-            yield a, b, np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1])), self.column[at], self.value[at]
-
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.shape[0])
-        for a, b, row, column, value in self._parts():
-            out[a:b] = np.bincount(row, value * w[column], minlength=b - a)
-        return out
-
-    def _back(self, v: np.ndarray, power: int) -> np.ndarray:
-        out = np.zeros(self.shape[1])
-        for a, b, row, column, value in self._parts():
-            out += np.bincount(column, value**power * v[a:b][row], minlength=len(out))
-        return out
-
-    def back(self, v: np.ndarray) -> np.ndarray:
-        return self._back(v, 1)
-
-    def back_squares(self, v: np.ndarray) -> np.ndarray:
-        return self._back(v, 2)
-
-
 def _logistic(margin):
     p = 1 / (1 + np.exp(np.clip(margin, -500, 500)))  # the chance of the wrong side
     return np.logaddexp(0, -margin), -p, p * (1 - p)
@@ -121,3 +90,37 @@ def fit(x: Rows, positive: np.ndarray, loss: str, cost: float, rounds: int = 40)
             break
         w, bias, now = w + step * sw, bias + step * sb, then
     return w, float(bias)
+
+
+def descend(cost: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, tolerance: float = 1e-3, rounds: int = 100, memory: int = 10) -> np.ndarray:
+    """The minimum of a convex ``cost``, which returns its value and gradient, by limited-memory quasi-Newton steps.
+
+    Ends when the gradient is ``tolerance`` of the first one. Each step asks for one or a few values of ``cost``, so the
+    rows behind it may lie anywhere.
+    """
+    at = np.zeros(size)
+    value, slope = cost(at)
+    first = float(np.linalg.norm(slope))
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.linalg.norm(slope) <= tolerance * first:
+            break
+        way, shares = slope.copy(), []
+        for s, y in reversed(steps):
+            shares.append((s @ way) / (y @ s))
+            way -= shares[-1] * y
+        way *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / first
+        for (s, y), share in zip(steps, reversed(shares)):
+            way += s * (share - (y @ way) / (y @ s))
+        size_of_step, gain = 1.0, slope @ way
+        then, ahead = cost(at - way)
+        while then > value - 1e-4 * size_of_step * gain and size_of_step > 1e-6:
+            size_of_step /= 4
+            then, ahead = cost(at - size_of_step * way)
+        if then > value:
+            break
+        s, y = -size_of_step * way, ahead - slope
+        if s @ y > 1e-12:
+            steps = [*steps, (s, y)][-memory:]
+        at, value, slope = at + s, then, ahead
+    return at

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from passageway.functions.bounds import broadcast_within
 from passageway.llm.common import written
-from passageway.llm.linear import Long, fit
+from passageway.llm.linear import descend
 from passageway.llm.ngrams import gram_counts, gram_slots
 
 SIZES = (3, 4, 5)
@@ -92,12 +92,57 @@ def log_count_ratios(counts: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
     return np.log(p[1] / p[0])
 
 
-def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << BITS, cost: float = 30.0) -> Model:
-    """Fit on rows (id, text, label 0 or 1).
+def _sample(labelled: DataFrame, most_rows: int) -> DataFrame:
+    """(text, label): at most ``most_rows`` different ones, those first in order of a hash of the text, so that neither
+    copies nor repeated ids take more than one place."""
+    rows = labelled.select("text", "label", F.xxhash64("text").alias("h"))
+    chosen = rows.select("h", "label").distinct().orderBy("h", "label").limit(most_rows)
+    # Copies of a text are brought down to one in each task before the shuffle.
+    return rows.join(F.broadcast(chosen), ["h", "label"]).groupBy("h", "label").agg(F.first("text").alias("text")).select("text", "label")
+
+
+def _cost_over(rows: DataFrame, features: int, cost: float):
+    """The regularised logistic cost of weights and bias over rows (label, columns, values), with its gradient.
+
+    Tasks stream through their rows and return one sum each; the driver holds those and the weights, whatever the
+    lengths of the texts. The bias is nearly free (a tiny ridge keeps it finite).
+    """
+    context = rows.sparkSession.sparkContext
+
+    def value(at: np.ndarray) -> tuple[float, np.ndarray]:
+        sent = context.broadcast(at)  # 2 MB at most
+
+        def summed(batches):
+            w, bias, loss, slope = sent.value[:-1], sent.value[-1], 0.0, np.zeros(features + 1)
+            for batch in batches:
+                for label, at, x in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    at, x = np.frombuffer(at.as_py(), dtype=np.int32), np.frombuffer(x.as_py(), dtype=np.float32)
+                    sign = 1.0 if label else -1.0
+                    margin = sign * float(x @ w[at] + bias)
+                    pull = -sign / (1 + np.exp(min(margin, 500.0)))
+                    loss += float(np.logaddexp(0, -margin))
+                    slope[at] += pull * x  # a row has each feature once
+                    slope[-1] += pull
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()], pa.binary())], names=["loss", "slope"])
+
+        parts = rows.mapInArrow(summed, "loss double, slope binary").collect()
+        sent.unpersist()
+        parts.sort(key=lambda r: (r["loss"], bytes(r["slope"][:64])))  # one order of summation
+        ridge = np.append(np.ones(features), 1e-6) * at
+        slope = ridge + cost * sum((np.frombuffer(r["slope"]) for r in parts), np.zeros(features + 1))
+        return 0.5 * float(ridge @ at) + cost * sum(r["loss"] for r in parts), slope
+
+    return value
+
+
+def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << BITS, cost: float = 30.0, tasks: int = 16) -> Model:
+    """Fit on rows (text, label 0 or 1).
 
     Log-count ratios come from all labelled texts. The weights are fitted by logistic regression on at most
-    ``most_rows`` of them (those first in order of a hash of the id) and on all slots that occur; if ``features`` is
-    smaller, on so many whose counts differ most from independence of the label. Without both labels the score is the one label there is, 0 without any.
+    ``most_rows`` different ones of them (those first in order of a hash of the text) and on all slots that occur; if
+    ``features`` is smaller, on so many whose counts differ most from independence of the label. Texts of any length
+    enter whole: their features stay in a written table that ``tasks`` tasks stream through for each value of the cost,
+    and the driver holds a number per feature. Without both labels the score is the one label there is, 0 without any.
     """
     counts = class_counts(labelled)
     totals = counts.sum(1).astype(float)
@@ -122,17 +167,9 @@ def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << BITS
                 [pa.array(labels, pa.int64()), pa.array(columns, pa.binary()), pa.array(values, pa.binary())], names=["label", "columns", "values"]
             )
 
-    sample = labelled.select("id", "label").orderBy(F.xxhash64("id"), "id").limit(most_rows).select("id").distinct()
-    rows = labelled.join(F.broadcast(sample), "id").select("text", "label").mapInArrow(sparse, "label bigint, columns binary, values binary")
-    # The driver takes one part at a time, and holds each entry once.
-    labels, ends, columns, values = [], [0], bytearray(), bytearray()
-    for r in written(rows, "entries").toLocalIterator():
-        labels.append(r["label"])
-        columns += r["columns"]
-        values += r["values"]
-        ends.append(len(columns) // 4)
-    x = Long(np.array(ends), np.frombuffer(columns, dtype=np.int32), np.frombuffer(values, dtype=np.float32), len(chosen))
-    model.weight, model.bias = fit(x, np.array(labels) == 1, "logistic", cost)
+    entries = written(_sample(labelled, most_rows).mapInArrow(sparse, "label bigint, columns binary, values binary"), "entries")
+    found = descend(_cost_over(entries.coalesce(tasks), len(chosen), cost), len(chosen) + 1)
+    model.weight, model.bias = found[:-1], float(found[-1])
     return model
 
 
@@ -146,8 +183,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the model's score of each whole text (0 to 1, higher: toxic likelier).
 
-    Null texts are scored as empty ones; the score depends on nothing but the text, so repeated rows have equal
-    scores; an empty table gives no rows; a column named like ``out`` is replaced.
+    Null texts are scored as empty ones, very long ones whole, n-gram counts in a table of fixed size; the score depends
+    on nothing but the text, so repeated rows have equal scores; an empty table gives no rows; a column named like ``out`` is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # about 5 MB, whatever the data
 

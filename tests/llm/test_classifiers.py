@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from passageway.llm import langid, toxicity
-from passageway.llm.linear import Long, Rows, fit
+from passageway.llm.linear import Rows, descend, fit
 from passageway.llm.ngrams import STRETCH, gram_counts, gram_slots
 
 
@@ -114,17 +114,61 @@ def test_languages_of_odd_rows(spark, odd_docs):
     assert langid.identify(odd_docs.filter("doc_id = 1"), alone).collect()[0]["lang_pred"] == "fr"
 
 
-def test_long_rows_multiply_as_rows_do():
+def naive_features(text):
+    """Counts of hashed n-grams in a dictionary, by the plain reading of the padded, lower-cased text."""
+    counts = {}
+    for n in toxicity.SIZES:
+        for slots in gram_slots(text, (n,), toxicity.BITS):
+            for s in slots.tolist():
+                counts[s] = counts.get(s, 0) + 1
+    return counts
+
+
+def test_scores_against_plain_dictionaries(spark):
+    rng = random.Random(12)
+    rows = [(i, sentences(rng, i % 5 == 0), int(i % 5 == 0)) for i in range(200)]
+    rows += [(300, rows[0][1], 1), (301, rows[1][1], 0), (302, "", 0), (303, "x" * (toxicity.LONG + 9), 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(toxicity.labelled_texts(df.drop("toxic"), df.select("doc_id", "toxic")))
+    # Ratios: documents with a slot, by label, over different texts.
+    texts = sorted({(t, y) for _, t, y in rows})
+    held = [{}, {}]
+    for t, y in texts:
+        for s in naive_features(t):
+            held[y][s] = held[y].get(s, 0) + 1
+    total = [sum(h.values()) + (1 << toxicity.BITS) for h in held]
+    ratio = {s: np.log((held[1].get(s, 0) + 1) / total[1]) - np.log((held[0].get(s, 0) + 1) / total[0]) for s in {*held[0], *held[1]}}
+    slots = sorted(ratio)
+    place = {s: i for i, s in enumerate(slots)}
+    row, column, value = [], [], []
+    for i, (t, _) in enumerate(texts):
+        x = {s: n * ratio[s] for s, n in naive_features(t).items()}
+        norm = max(1e-12, sum(v * v for v in x.values()) ** 0.5)
+        row += [i] * len(x)
+        column += [place[s] for s in x]
+        value += [v / norm for v in x.values()]
+    w, b = fit(Rows(np.array(row), np.array(column), np.array(value), (len(texts), len(slots))), np.array([y == 1 for _, y in texts]), "logistic", 30.0, rounds=200)
+    plain = np.bincount(row, np.array(value) * w[column], minlength=len(texts)) + b
+    plain = dict(zip([t for t, _ in texts], 1 / (1 + np.exp(-plain))))
+    for r in toxicity.score_toxicity(df, model).collect():
+        assert abs(r["score"] - plain[r["text"]]) < 0.02
+
+
+def test_descent_finds_the_minimum():
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(50, 30)) * (rng.random((50, 30)) < 0.3)
-    x[[0, 7, 49]] = 0
-    x = x.astype(np.float32)
-    row, column = np.nonzero(x)
-    start = np.concatenate([[0], np.cumsum((x != 0).sum(1))])
-    w, v = rng.normal(size=30), rng.normal(size=50)
-    for block in (1, 40, 1000):
-        long = Long(start, column.astype(np.int32), x[row, column], 30, block)
-        assert np.allclose(long.dot(w), x @ w) and np.allclose(long.back(v), x.T @ v) and np.allclose(long.back_squares(v), (x**2).T @ v)
+    a = rng.normal(size=(40, 12))
+    target = rng.normal(size=40)
+    found = descend(lambda w: (0.5 * ((a @ w - target) ** 2).sum(), a.T @ (a @ w - target)), 12, 1e-8)
+    assert np.allclose(found, np.linalg.lstsq(a, target, rcond=None)[0], atol=1e-5)
+    assert not descend(lambda w: (0.0, np.zeros(3)), 3).any()
+
+
+def test_sample_holds_each_text_once(spark):
+    rows = [(1, "copy", 1)] * 50 + [(i, "copy", 1) for i in range(50)] + [(7, f"t{i}", 0) for i in range(20)] + [(8, None, 0), (9, "copy", 0)]
+    labelled = spark.createDataFrame(rows, "id bigint, text string, label bigint")
+    got = [tuple(r) for r in toxicity._sample(labelled, 1000).collect()]
+    assert sorted(got, key=str) == sorted({(t, y) for _, t, y in rows}, key=str)
+    assert toxicity._sample(labelled, 5).count() == 5
 
 
 def test_copies_do_not_crowd_out_other_toxic_words(spark):
