@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 #: Symbols above which a word is merged with a queue: it would need about as many rounds.
 LONG = 2048
 #: Words whose ids a task keeps; beyond that it starts anew.
-KEPT = 1 << 18
-#: Code points of a text taken apart at once, and ids turned into bytes at once.
+KEPT = 1 << 17
+#: Code points taken apart at once, of one text or several, and ids turned into bytes at once.
 STRETCH = 1 << 20
 _NONE = np.iinfo(np.int64).max
 # No word reaches from a character into a space that follows it, so a text may be cut there.
@@ -35,6 +35,19 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+def _stretched(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in order, as many at a time as have ``STRETCH`` code points between them, at least one."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > STRETCH:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 class Bpe:
     """Vocabulary, sorted merge pairs and special tokens of a file, and how to encode and decode with them.
 
@@ -95,6 +108,14 @@ class Bpe:
 
     def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and where each text's begin (one more at the end)."""
+        parts, sizes = [np.zeros(0, dtype=np.int32)], []
+        for some in _stretched(texts):
+            ids, begin = self._encode(some)
+            parts.append(ids)
+            sizes += np.diff(begin).tolist()
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > KEPT:
             self._forget()
         spelled, new, sizes = [], [], []
@@ -105,14 +126,14 @@ class Bpe:
                 for w in set(words).difference(place):
                     place[w] = len(place)
                     new.append(w)
-                spelled.append(np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words)))
+                spelled.append(np.fromiter(map(place.__getitem__, words), dtype=np.int32, count=len(words)))
                 size += len(words)
             sizes.append(size)
         if new:
             ids, ends = self.merge([w.encode() for w in new])
             self.ends = np.concatenate([self.ends, self.ends[-1] + ends[1:]])
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        word = np.concatenate([*spelled, np.zeros(0, dtype=np.int64)])
+        word = np.concatenate([*spelled, np.zeros(0, dtype=np.int32)])
         begin, count = self.ends[word], self.ends[word + 1] - self.ends[word]
         upto = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
