@@ -23,7 +23,15 @@ def chunk_count(length: Column, size: int, overlap: int) -> Column:
     return F.when(length > 0, rest).otherwise(F.lit(0)).cast("bigint")
 
 
-def _before(parent: list[str], order: str) -> Column:
+def pieces(last: Column, size: int, overlap: int) -> Column:
+    """The windows 0 to ``last`` of the column ``text``."""
+    step = size - overlap
+    windows = F.sequence(F.lit(0).cast("bigint"), last)
+    return F.transform(windows, lambda i: F.col("text").substr((i * step + 1).cast("int"), F.lit(size)))
+
+
+def before(parent: list[str], order: str) -> Column:
+    """The sum of ``n`` over all rows of the same parent before this one."""
     w = Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum("n").over(w), F.lit(0))
 
@@ -35,12 +43,12 @@ def _offsets(sums: DataFrame, bits_left: int) -> DataFrame:
     sees more than the members of one family, however the ids are spread.
     """
     if bits_left <= _FANOUT_BITS or sums.count() <= _ROWS_IN_ONE_TASK:
-        return sums.select("collection", "block", _before(["collection"], "block").alias("offset"))
+        return sums.select("collection", "block", before(["collection"], "block").alias("offset"))
     member = sums.withColumn("family", F.shiftright("block", _FANOUT_BITS))
     families = materialize(member.groupBy("collection", F.col("family").alias("block")).agg(F.sum("n").alias("n")))
     above = _offsets(families, bits_left - _FANOUT_BITS).withColumnRenamed("block", "family")
     return (
-        member.withColumn("inside", _before(["collection", "family"], "block"))
+        member.withColumn("inside", before(["collection", "family"], "block"))
         .join(above, ["collection", "family"])
         .select("collection", "block", (F.col("offset") + F.col("inside")).alias("offset"))
     )
@@ -57,13 +65,14 @@ def _numbered(docs: DataFrame) -> DataFrame:
     sums = materialize(docs.groupBy("collection", "block").agg(F.sum("n").alias("n")))
     offsets = materialize(_offsets(sums, 64 - _FANOUT_BITS))
     return (
-        docs.withColumn("inside", _before(["collection", "block"], "doc_id"))
+        docs.withColumn("inside", before(["collection", "block"], "doc_id"))
         .join(broadcast_within(offsets), ["collection", "block"])
         .withColumn("before", F.col("offset") + F.col("inside"))
     )
 
 
-def _present(name: str) -> Column:
+def present(name: str) -> Column:
+    """The column; a null ends the job with a message."""
     return F.coalesce(F.col(name), F.raise_error(F.lit(f"a document has no {name}"))).alias(name)
 
 
@@ -81,10 +90,9 @@ def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 400, length
         raise ValueError("overlap must be at least 0 and less than size")
     if "collection" not in docs.columns:
         docs = docs.withColumn("collection", F.lit("corpus"))
-    step = size - overlap
     length = F.coalesce(F.col(length_col) if length_col else F.length("text"), F.lit(0))
     counted = docs.select(
-        _present("collection"), _present("doc_id"), F.coalesce("text", F.lit("")).alias("text"), chunk_count(length, size, overlap).alias("n"), length.alias("length")
+        present("collection"), present("doc_id"), F.coalesce("text", F.lit("")).alias("text"), chunk_count(length, size, overlap).alias("n"), length.alias("length")
     )
     numbered = _numbered(counted).withColumn("last", F.col("n") - 1)
     if length_col:
@@ -93,13 +101,9 @@ def chunk_documents(docs: DataFrame, size: int = 800, overlap: int = 400, length
         numbered = numbered.withColumn("text", F.when(right, F.col("text")).otherwise(F.raise_error(stale)))
         # The check must see texts that yield no chunk, too.
         numbered = numbered.withColumn("last", F.when(right, F.col("last")).otherwise(F.raise_error(stale)))
-    pieces = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("last")),
-        lambda i: F.col("text").substr((i * step + 1).cast("int"), F.lit(size)),
-    )
     return (
         numbered.filter(F.col("last") >= 0)
-        .select("collection", "doc_id", "before", F.posexplode(pieces).alias("pos", "text"))
+        .select("collection", "doc_id", "before", F.posexplode(pieces(F.col("last"), size, overlap)).alias("pos", "text"))
         .select("collection", (F.col("before") + F.col("pos") + 1).alias("chunk_no"), "doc_id", "pos", "text")
     )
 

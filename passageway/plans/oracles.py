@@ -272,6 +272,10 @@ ORACLES: dict[str, str] = {
     "corpus_scan": "SELECT doc_id, lang, source, n_chars FROM documents "
     "WHERE lang IN ('de', 'fr') AND source IN ('src1', 'src2', 'src3')",
     "ingest_stream": f"WITH {chunk_ctes('lang')} SELECT {_CHUNK_COLUMNS} FROM chunks",
+    "ingest_blocks": f"""
+WITH revised AS (SELECT doc_id, lang, CASE WHEN source = 'src1' THEN coalesce(text, '') || ' (revised)' ELSE text END AS text
+  FROM documents WHERE lang IS NOT NULL), {chunk_ctes("lang", source="revised")}
+SELECT {_CHUNK_COLUMNS} FROM chunks""",
     "chunk_documents": f"WITH {chunk_ctes('source')} SELECT {_CHUNK_COLUMNS} FROM chunks",
     "build_collection": f"""WITH {chunk_ctes("'sample'")} SELECT {_CHUNK_COLUMNS} FROM chunks""",
     "resolve_collection": f"""

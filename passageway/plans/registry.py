@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from passageway.functions.bounds import scratch_path
 from passageway.operators import cite, corpus, encode, evaluate, retrieve, trainmix
 from passageway.plans import study
-from passageway.sources import collections, runlogs
+from passageway.sources import blocks, collections, runlogs
 from passageway.sources.documents import DOCUMENTS, load_documents
 from passageway.streaming import ingest
 
@@ -51,6 +51,20 @@ def ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
     return collections.open_collection(spark, f"{out}/built/chunks")
 
 
+def ingest_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds of uploads into blocks: all documents, then the documents of one source again, revised."""
+    out = scratch_path(spark, "blocks")
+    uploads = study.table(spark, sf, "documents").select(F.col("lang").alias("collection"), "doc_id", "text", "source")
+    first = uploads.filter("collection IS NOT NULL").drop("source")
+    revised = first.join(uploads.filter("source = 'src1'").select("doc_id"), "doc_id", "left_semi")
+    revised = revised.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" (revised)")))
+    for i, rows in enumerate((first, revised)):
+        rows.select("collection", "doc_id", "text").write.parquet(f"{out}/landing{i}")
+        stream = ingest.read_uploads(spark, f"{out}/landing{i}")
+        ingest.ingest_stream(stream, f"{out}/built", f"{out}/progress{i}", layout="blocks").awaitTermination()
+    return blocks.open_blocks(spark, f"{out}/built")
+
+
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return study.chunks(spark, sf, "source")
 
@@ -513,7 +527,7 @@ def distribution_gap(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        corpus_scan, ingest_stream, chunk_documents, build_collection, resolve_collection, audit_collection,
+        corpus_scan, ingest_stream, ingest_blocks, chunk_documents, build_collection, resolve_collection, audit_collection,
         align_numbering, open_collection,
         with_instruction, rewrite_queries, encode_text, encode_text_bigram, encode_with_model, term_postings, term_stats, term_stats_bigram,
         exact_topk, exact_topk_text, ann_topk_prefix, ann_topk_ivf, ann_topk_ivf_all_cells, ann_topk_ivf_label_cells, compare_topk, compare_pools, bm25_topk,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageway.functions.bounds import broadcast_within, materialize, scratch_path
+from passageway.functions.bounds import BROADCAST_BYTES, broadcast_within, materialize, measured_bytes, scratch_path
 from passageway.functions.text import hash_mod, words
 from passageway.operators.corpus import chunk_documents
 from passageway.operators.encode import TermStats, encode, query_terms, term_stats, with_instruction
@@ -60,15 +60,20 @@ def _spaced(text: str) -> Column:
 def gold(queries: DataFrame, passages: DataFrame) -> DataFrame:
     """(qid, id) of the passages whose words contain the question's words in sequence.
 
-    Candidates share the question's longest word (an equi-join); they are then compared whole.
+    Candidates share the question's longest word (an equi-join); they are then compared whole. Questions that may be
+    broadcast are compared in the pass that finds them, others after a join of ids alone.
     """
     asked = queries.select("qid", _spaced("question").alias("needle"), words("question").alias("w"))
     # Longest first; the last of the sorted pairs.
     longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x), x.alias("word"))))["word"]
-    keys = broadcast_within(asked.select("qid", longest.alias("word")))
-    named = passages.select("id", F.explode(F.array_distinct(words("text"))).alias("word"))
-    candidates = broadcast_within(materialize(named.join(keys, "word").select("qid", "id")))
-    pairs = passages.select("id", "text").join(candidates, "id").join(asked.select("qid", "needle"), "qid")
+    keys = asked.select("qid", "needle", longest.alias("word"))
+    named = lambda *columns: passages.select("id", *columns, F.explode(F.array_distinct(words("text"))).alias("word"))
+    if measured_bytes(keys) <= BROADCAST_BYTES:
+        # The questions are where the passages are read: one pass, in which a passage is never copied for its words.
+        pairs = named("text").join(F.broadcast(keys), "word")
+    else:
+        candidates = broadcast_within(materialize(named().join(keys, "word").select("qid", "id", "needle")))
+        pairs = passages.select("id", "text").join(candidates, "id")
     return pairs.filter(F.contains(_spaced("text"), F.col("needle"))).select("qid", "id")
 
 

@@ -28,6 +28,8 @@ def write_collections(chunks: DataFrame, out_dir: str, replaced: Iterable[str] |
     files as its size asks for, whatever the number of tasks.
     """
     spark = chunks.sparkSession
+    names = sorted(set(replaced or ()))
+    before = {name: _files(spark, out_dir, "collection", name) for name in names}
     (
         chunks.select(*[f.name for f in CHUNKS.fields])
         .hint("rebalance", "collection")
@@ -36,18 +38,34 @@ def write_collections(chunks: DataFrame, out_dir: str, replaced: Iterable[str] |
         .partitionBy("collection")
         .parquet(out_dir)
     )
-    if replaced is not None:
-        emptied = set(replaced) - {r[0] for r in chunks.select("collection").distinct().collect()}
-        for name in sorted(emptied):
-            _remove_partition(spark, out_dir, "collection", name)
+    # What was written is seen from the files, so the chunks are made once: a partition that still holds what it held
+    # before got nothing new.
+    for name in names:
+        if before[name] and _files(spark, out_dir, "collection", name) == before[name]:
+            remove_partition(spark, out_dir, collection=name)
 
 
-def _remove_partition(spark: SparkSession, out_dir: str, column: str, value: str) -> None:
+def partition_path(spark: SparkSession, root: str, **values) -> str:
+    """The directory of a partition, names escaped as Spark escapes them."""
+    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return "/".join([root.rstrip("/"), *(f"{k}={utils.escapePathName(str(v))}" for k, v in values.items())])
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the store that holds ``path``."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def _files(spark: SparkSession, out_dir: str, column: str, value: str) -> set[str]:
+    system, path = file_system(spark, partition_path(spark, out_dir, **{column: value}))
+    return {x.getPath().getName() for x in system.listStatus(path)} if system.exists(path) else set()
+
+
+def remove_partition(spark: SparkSession, out_dir: str, **values) -> None:
     """Delete one partition directory, on whatever file system it lies."""
-    jvm = spark.sparkContext._jvm
-    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
-    path = jvm.org.apache.hadoop.fs.Path(out_dir, f"{column}={escaped}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    system, path = file_system(spark, partition_path(spark, out_dir, **values))
+    system.delete(path, True)
 
 
 def build_collection(chunks: DataFrame, name: str, out_dir: str) -> None:

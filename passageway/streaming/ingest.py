@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from passageway.functions.bounds import materialize
 from passageway.operators.corpus import chunk_documents
+from passageway.sources.blocks import build_batch
 from passageway.sources.collections import write_collections
 
 UPLOADS = T.StructType(
@@ -93,17 +94,23 @@ def _stream_name(spark: SparkSession, checkpoint: str) -> str:
 
 
 def ingest_stream(
-    uploads: DataFrame, out_dir: str, checkpoint: str, size: int = 800, overlap: int = 400
+    uploads: DataFrame, out_dir: str, checkpoint: str, size: int = 800, overlap: int = 400, layout: str = "collections"
 ) -> StreamingQuery:
     """Build the collections named in a stream of uploads; start, process what is there, stop.
 
     Each micro-batch stores its documents and rewrites the collections they belong to, under
     ``out_dir/chunks``.  Running again, replaying any batch after a failure, or starting anew with another
     checkpoint loses no upload.  A document uploaded again with an empty text has no passages any more.
+
+    With layout ``blocks`` a batch reads and rewrites only the blocks of 4,096 ids that it changed, whatever is stored
+    (``sources.blocks``); the result is opened by ``open_blocks(spark, out_dir)``.
     """
+    if layout not in ("collections", "blocks"):
+        raise ValueError("layout must be 'collections' or 'blocks'")
+    batch_builder = build_batch if layout == "blocks" else _build_batch
 
     def build(batch: DataFrame, batch_id: int) -> None:
-        _build_batch(batch, batch_id, out_dir, size, overlap, _stream_name(batch.sparkSession, checkpoint))
+        batch_builder(batch, batch_id, out_dir, size, overlap, _stream_name(batch.sparkSession, checkpoint))
 
     return (
         uploads.writeStream.foreachBatch(build)
