@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from passageway.functions.scan import Batches, Best, Held, keep_best, to_batch
+from passageway.functions.vectors import PLACES
 
 # Cells of the (question, text) score matrix and term matches held at once by a task.
 _CELLS = 2_000_000
@@ -141,7 +142,7 @@ class Bm25Scorer(NamedTuple):
             cell = question[use] * (stop - start) + text[entry] - start
             # Only pairs with a word in common have a cell.
             cells, at = np.unique(cell, return_inverse=True)
-            score = np.round(np.bincount(at, weights=idf[use] * saturated[entry], minlength=len(cells)), 6)
+            score = np.round(np.bincount(at, weights=idf[use] * saturated[entry], minlength=len(cells)), PLACES)
             q, r = np.divmod(cells, stop - start)
             good = score >= np.maximum(floor, 0.0)[q]
             q, r, score = q[good], r[good], score[good]

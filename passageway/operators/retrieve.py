@@ -29,7 +29,7 @@ def rank_top(scored: DataFrame, k: int, id_col: str = "id", score_col: str = "sc
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _merge(best: DataFrame, pool: int) -> DataFrame:
+def merge_best(best: DataFrame, pool: int) -> DataFrame:
     """Cut the rows returned by the tasks to ``pool`` a query in 64 shares, so that no task gets all of a query."""
     share = F.pmod(F.xxhash64("id"), F.lit(64))
     w = Window.partitionBy("qid", "_share").orderBy(F.desc("coarse"), "id")
@@ -37,9 +37,11 @@ def _merge(best: DataFrame, pool: int) -> DataFrame:
     return ranked.filter(F.col("_place") <= pool).drop("_share", "_place")
 
 
-def _best_vectors(queries: DataFrame, vectors: DataFrame, scorer: CosineScorer, block_bytes: int) -> DataFrame:
-    cells = [] if scorer.centroids is None else ["cell"]
-    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding")
+def best_vectors(queries: DataFrame, vectors: DataFrame, scorer: CosineScorer, block_bytes: int) -> DataFrame:
+    """The best rows of every task for the queries (qid, embedding, maybe cells), in cells where the scorer asks for them."""
+    listed = ["cells"] if "cells" in queries.columns else []
+    cells = ["cell"] if listed or scorer.centroids is not None else []
+    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), "embedding", *listed)
     return best_per_task(asked, vectors.select(F.col("id").cast("bigint").alias("id"), "embedding", *cells), scorer, block_bytes)
 
 
@@ -48,12 +50,12 @@ def exact_topk(
 ) -> DataFrame:
     """The k vectors of highest cosine per query: (qid, rank, id, score).
 
-    ``queries`` has (qid, embedding), ``vectors`` (id, embedding).  Scores are rounded to six
+    ``queries`` has (qid, embedding), ``vectors`` (id, embedding).  Scores are compared to ten
     places and ties go to the smaller id.  Scoring is a matrix product in each task, of which only
     k rows a query leave the task, so no row per (query, vector) pair ever exists.
     """
-    best = _best_vectors(queries, vectors, CosineScorer(k), block_bytes)
-    return rank_top(_merge(best, k), k).select("qid", "rank", "id", "score")
+    best = best_vectors(queries, vectors, CosineScorer(k), block_bytes)
+    return rank_top(merge_best(best, k), k).select("qid", "rank", "id", "score")
 
 
 def fit_cells(vectors: DataFrame, n_cells: int = 16, seed: int = 42, max_iter: int = 20) -> DataFrame:
@@ -64,13 +66,11 @@ def fit_cells(vectors: DataFrame, n_cells: int = 16, seed: int = 42, max_iter: i
     return vectors.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
 
 
-def _centroid_matrix(centroids: DataFrame) -> np.ndarray:
-    if measured_bytes(centroids) > BLOCK_BYTES:
-        raise ValueError("too many cells to send to every task")
+def centroid_matrix(centroids: DataFrame) -> np.ndarray:
     return matrix(centroids.orderBy("cell").toArrow().column("centroid"))
 
 
-def _with_cells(vectors: DataFrame, centers: np.ndarray, n: int) -> DataFrame:
+def with_cells(vectors: DataFrame, centers: np.ndarray, n: int) -> DataFrame:
     """Add ``cells``, the ``n`` nearest cells of each vector."""
     shared = vectors.sparkSession.sparkContext.broadcast(centers)
 
@@ -85,8 +85,16 @@ def _with_cells(vectors: DataFrame, centers: np.ndarray, n: int) -> DataFrame:
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Add ``cell``, the nearest centre.  Stored partitioned by it, probing reads only the cells asked for."""
-    nearest = _with_cells(vectors, _centroid_matrix(centroids), 1)
+    """Add ``cell``, the nearest centre.  Stored partitioned by it, probing reads only the cells asked for.
+
+    Centres that are too many to send to every task are grouped around centres of their own (``operators.cells``); the
+    cell is then the nearest of the nearest group.
+    """
+    if measured_bytes(centroids) > BLOCK_BYTES:
+        from passageway.operators import cells
+
+        return cells.assign(vectors, cells.group_centres(centroids)).select(*vectors.columns, "cell")
+    nearest = with_cells(vectors, centroid_matrix(centroids), 1)
     return nearest.withColumn("cell", F.col("cells")[0]).drop("cells")
 
 
@@ -106,7 +114,8 @@ def ann_topk(
     ``prefix`` fills the pool by cosine over the first ``coarse_dims`` dimensions (16 unless given); ``ivf`` only
     from the ``nprobe`` cells nearest to the query, by the cosine over all dimensions unless ``coarse_dims`` is given
     (``vectors`` may bring a stored ``cell`` column, else cells are assigned here).  The pool is then ranked by the
-    exact cosine, computed in the same pass.
+    exact cosine, computed in the same pass.  Centres that are too many to send to every task are probed in two steps
+    (``operators.cells``).
     """
     if ef < k:
         raise ValueError("the pool must hold at least k candidates")
@@ -116,16 +125,21 @@ def ann_topk(
             raise ValueError("ivf needs centroids")
         if "cell" not in vectors.columns:
             vectors = assign_cells(vectors, centroids)
-        centers = _centroid_matrix(centroids)
+        if measured_bytes(centroids) > BLOCK_BYTES:
+            from passageway.operators import cells
+
+            tree = cells.group_centres(centroids)
+            return cells.probe_topk(queries, vectors, tree, k, ef, nprobe=nprobe, coarse_dims=coarse_dims)
+        centers = centroid_matrix(centroids)
         scorer = scorer._replace(centroids=centers, nprobe=min(nprobe, len(centers)))
         queries = materialize(queries.select("qid", "embedding"))
-        probed = _with_cells(queries, centers, scorer.nprobe).select(F.explode("cells").alias("cell")).distinct()
+        probed = with_cells(queries, centers, scorer.nprobe).select(F.explode("cells").alias("cell")).distinct()
         # At most one number a cell; as a literal list it prunes the directories of stored vectors.
         vectors = vectors.filter(F.col("cell").isin([row.cell for row in probed.collect()]))
     elif coarse != "prefix":
         raise ValueError("coarse must be 'prefix' or 'ivf'")
-    best = _best_vectors(queries, vectors, scorer, block_bytes)
-    pool = rank_top(_merge(best, ef), ef, score_col="coarse").drop("rank")
+    best = best_vectors(queries, vectors, scorer, block_bytes)
+    pool = rank_top(merge_best(best, ef), ef, score_col="coarse").drop("rank")
     return rank_top(pool, k).select("qid", "rank", "id", "score")
 
 
@@ -165,7 +179,7 @@ def bm25_topk(
     average = stats.corpus.select(F.try_divide("total_len", "n_docs")).first()
     scorer = Bm25Scorer(k, float((average and average[0]) or 1.0), k1, b)
     best = best_per_task(asked.withColumn("qid", F.col("qid").cast("bigint")), stats.words, scorer, block_bytes)
-    return rank_top(_merge(best, k), k).select("qid", "rank", "id", "score")
+    return rank_top(merge_best(best, k), k).select("qid", "rank", "id", "score")
 
 
 def rrf_fuse(lists: Sequence[DataFrame], c: int = 60, depth: int = 50, k: int = 8) -> DataFrame:

@@ -62,10 +62,10 @@ def lexical_cte(k: int, name: str = "lexical", split: str = "words") -> str:
 {name}_terms AS (SELECT DISTINCT qid, unnest({split_into(split, "question")}) AS token FROM question),
 {name}_scores AS (
   SELECT qid, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len * (SELECT n_docs FROM corpus)
-                                                         / (SELECT total_len FROM corpus)))), 6) AS score
+                                                         / (SELECT total_len FROM corpus)))), 10) AS score
   FROM {name}_terms JOIN terms USING (token) JOIN postings USING (token) GROUP BY qid, id),
 {name} AS (
-  SELECT qid, rank, id, score FROM (
+  SELECT qid, rank, id, round(score, 6) AS score FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM {name}_scores)
   WHERE rank <= {k})"""
 
@@ -87,10 +87,10 @@ def vector_cte(k: int, name: str = "vector", prefix: str = "") -> str:
 {name}_dots AS (
   SELECT qid, id, sum(q.w * d.w) AS dot FROM {name}_q q JOIN {name}_d d USING (bucket) GROUP BY 1, 2),
 {name}_scores AS (
-  SELECT qid, id, round(dot / (q.norm * d.norm), 6) AS score
+  SELECT qid, id, round(dot / (q.norm * d.norm), 10) AS score
   FROM {name}_dots JOIN {name}_qn q USING (qid) JOIN {name}_dn d USING (id)),
 {name} AS (
-  SELECT qid, rank, id, score FROM (
+  SELECT qid, rank, id, round(score, 6) AS score FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM {name}_scores)
   WHERE rank <= {k})"""
 
@@ -116,19 +116,19 @@ centers AS (SELECT label::BIGINT AS qid, list(x ORDER BY i) AS q FROM center_cel
 rows AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 scored AS (
   SELECT qid, id,
-         round(list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 6) AS score,
+         round(list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 10) AS score,
          round(list_dot_product(q[1:16], v[1:16])
-               / (sqrt(list_dot_product(q[1:16], q[1:16])) * sqrt(list_dot_product(v[1:16], v[1:16]))), 6) AS coarse
+               / (sqrt(list_dot_product(q[1:16], q[1:16])) * sqrt(list_dot_product(v[1:16], v[1:16]))), 10) AS coarse
   FROM centers, rows),
 exact AS (
-  SELECT qid, rank, id, score FROM (
+  SELECT qid, rank, id, round(score, 6) AS score FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM scored) WHERE rank <= 8)"""
 
 
 def pooled_cte(ef: int, name: str = "pooled") -> str:
     return f"""
 {name} AS (
-  SELECT qid, rank, id, score FROM (
+  SELECT qid, rank, id, round(score, 6) AS score FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coarse DESC, id) AS place FROM scored)
     WHERE place <= {ef})
@@ -321,6 +321,8 @@ FROM (SELECT id, unnest(range(64)) AS bucket FROM unit) LEFT JOIN weights USING
     "exact_topk_text": f"WITH {_DOC_STATS}, {vector_cte(8)} SELECT * FROM vector",
     "ann_topk_prefix": f"WITH {_EMBED}, {pooled_cte(50)} SELECT * FROM pooled",
     "ann_topk_ivf_all_cells": f"WITH {_EMBED} SELECT * FROM exact",
+    "ann_topk_tree_all_cells": f"WITH {_EMBED} SELECT * FROM exact",
+    "exact_topk_bounded": f"WITH {_EMBED} SELECT * FROM exact",
     "ann_topk_ivf_label_cells": f"""
 WITH {_EMBED},
 cell_of AS (
@@ -334,7 +336,7 @@ probes AS (
       PARTITION BY a.qid ORDER BY round(list_dot_product(b.q, b.q) - 2 * list_dot_product(a.q, b.q), 9), b.qid) AS place
     FROM centers a, centers b)
   WHERE place <= 4)
-SELECT qid, rank, id, score FROM (
+SELECT qid, rank, id, round(score, 6) AS score FROM (
   SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INT AS rank
   FROM scored JOIN cell_of USING (id) JOIN probes USING (qid, cell))
 WHERE rank <= 8""",

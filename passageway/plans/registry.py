@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import scratch_path
-from passageway.operators import cite, corpus, encode, evaluate, retrieve, trainmix
+from passageway.operators import cells, cite, corpus, encode, evaluate, retrieve, trainmix
 from passageway.plans import study
 from passageway.sources import blocks, collections, runlogs
 from passageway.sources.documents import DOCUMENTS, load_documents
@@ -174,29 +174,23 @@ def term_stats_bigram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieve.exact_topk(study.label_centers(spark, sf), study.vectors(spark, sf), 8)
+    return _rounded(retrieve.exact_topk(study.label_centers(spark, sf), study.vectors(spark, sf), 8), "score")
 
 
 def exact_topk_text(spark: SparkSession, sf: str) -> DataFrame:
-    return study.vector(spark, sf, study.document_units(spark, sf), 8)
+    return _rounded(study.vector(spark, sf, study.document_units(spark, sf), 8), "score")
 
 
 def ann_topk_prefix(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieve.ann_topk(study.label_centers(spark, sf), study.vectors(spark, sf), 8, ef=50)
+    return _rounded(retrieve.ann_topk(study.label_centers(spark, sf), study.vectors(spark, sf), 8, ef=50), "score")
 
 
-def _ivf(spark: SparkSession, sf: str, cells: DataFrame, nprobe: int) -> DataFrame:
+def _ivf(spark: SparkSession, sf: str, centers: DataFrame, nprobe: int) -> DataFrame:
     out = scratch_path(spark, "vectors")
-    collections.write_vectors(retrieve.assign_cells(study.vectors(spark, sf), cells), out)
-    return retrieve.ann_topk(
-        study.label_centers(spark, sf),
-        collections.open_vectors(spark, out),
-        8,
-        coarse="ivf",
-        coarse_dims=None,
-        centroids=cells,
-        nprobe=nprobe,
-    )
+    collections.write_vectors(retrieve.assign_cells(study.vectors(spark, sf), centers), out)
+    stored = collections.open_vectors(spark, out)
+    found = retrieve.ann_topk(study.label_centers(spark, sf), stored, 8, coarse="ivf", centroids=centers, nprobe=nprobe)
+    return _rounded(found, "score")
 
 
 def ann_topk_ivf(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,8 +203,27 @@ def ann_topk_ivf_all_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def ann_topk_ivf_label_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cells around the label means, which need no fitting: 4 of 10 are probed."""
-    cells = study.label_centers(spark, sf).select(F.col("qid").cast("int").alias("cell"), F.col("embedding").alias("centroid"))
-    return _ivf(spark, sf, cells, 4)
+    centers = study.label_centers(spark, sf).select(F.col("qid").cast("int").alias("cell"), F.col("embedding").alias("centroid"))
+    return _ivf(spark, sf, centers, 4)
+
+
+def _stored_tree(spark: SparkSession, sf: str, n_cells: int) -> tuple[cells.CellTree, DataFrame]:
+    out = scratch_path(spark, "cells")
+    tree = cells.fit_cell_tree(study.vectors(spark, sf), n_cells)
+    cells.write_cells(cells.assign(study.vectors(spark, sf), tree), out)
+    return tree, spark.read.parquet(out)
+
+
+def ann_topk_tree_all_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells in two levels, all of which are probed."""
+    tree, stored = _stored_tree(spark, sf, 64)
+    return _rounded(cells.probe_topk(study.label_centers(spark, sf), stored, tree, 8, n_groups=64, nprobe=64), "score")
+
+
+def exact_topk_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact ranking from the cells that bounds cannot rule out."""
+    tree, stored = _stored_tree(spark, sf, 64)
+    return _rounded(cells.exact_topk_bounded(study.label_centers(spark, sf), stored, tree, cells.cell_reach(stored), 8).top, "score")
 
 
 def compare_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,8 +239,11 @@ def compare_pools(spark: SparkSession, sf: str) -> DataFrame:
     queries, vectors = study.label_centers(spark, sf), study.vectors(spark, sf)
     exact = retrieve.exact_topk(queries, vectors, 8)
     rows = []
-    for name, ef in (("10", 10), ("200", 200), ("all", vectors.count())):
-        compared = retrieve.compare_topk(exact, retrieve.ann_topk(queries, vectors, 8, ef=ef), 8)
+    pools = [(str(ef), retrieve.ann_topk(queries, vectors, 8, ef=ef)) for ef in (10, 200)]
+    # A pool that all vectors enter is ranked by the cosine over all dimensions in each task, which k rows a question leave.
+    pools.append(("all", retrieve.ann_topk(queries, vectors, 8, ef=8, coarse_dims=1 << 16)))
+    for name, pool in pools:
+        compared = retrieve.compare_topk(exact, pool, 8)
         rows.append(
             compared.agg(
                 F.lit(name).alias("pool"), F.count("*").alias("n_queries"), F.count_if("identical").alias("n_identical"), F.avg("overlap").alias("overlap")
@@ -237,12 +253,12 @@ def compare_pools(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return study.lexical(spark, sf, study.document_units(spark, sf), 8)
+    return _rounded(study.lexical(spark, sf, study.document_units(spark, sf), 8), "score")
 
 
 def bm25_topk_bigram(spark: SparkSession, sf: str) -> DataFrame:
     """As for scripts without spaces: texts and questions as character pairs."""
-    return study.lexical(spark, sf, study.document_units(spark, sf), 8, mode="bigram")
+    return _rounded(study.lexical(spark, sf, study.document_units(spark, sf), 8, mode="bigram"), "score")
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
@@ -530,7 +546,7 @@ QUERIES: dict[str, Query] = {
         corpus_scan, ingest_stream, ingest_blocks, chunk_documents, build_collection, resolve_collection, audit_collection,
         align_numbering, open_collection,
         with_instruction, rewrite_queries, encode_text, encode_text_bigram, encode_with_model, term_postings, term_stats, term_stats_bigram,
-        exact_topk, exact_topk_text, ann_topk_prefix, ann_topk_ivf, ann_topk_ivf_all_cells, ann_topk_ivf_label_cells, compare_topk, compare_pools, bm25_topk,
+        exact_topk, exact_topk_text, ann_topk_prefix, ann_topk_ivf, ann_topk_ivf_all_cells, ann_topk_ivf_label_cells, ann_topk_tree_all_cells, exact_topk_bounded, compare_topk, compare_pools, bm25_topk,
         bm25_topk_bigram, rrf_fuse, sweep_k, smallest_window, rank_displacement, assemble_context, extractive_answers,
         extract_citations, illegal_citations, enforce_whitelist, apply_retry, dedupe_citations, verdict_flips,
         judge, majority, retrieval_hits, answer_rates, confusion, answer_quality, proportion_ci, check_consistency,

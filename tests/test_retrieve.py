@@ -32,7 +32,7 @@ def points(spark):
 def brute(q, v, k, dims=None, pool=None):
     def cos(a, b):
         n = np.linalg.norm(a) * np.linalg.norm(b)
-        return round(float(a @ b / n), 6) if n else 0.0
+        return round(float(a @ b / n), 10) if n else 0.0
 
     out = []
     for i, a in enumerate(q):
@@ -99,6 +99,13 @@ def test_probing_reads_only_the_cells_asked_for(spark, points, tmp_path):
     assert len(members) == 300 and got.count() == 5
 
 
+def test_scores_that_differ_little_are_told_apart(spark):
+    v = [[1.0, 2e-4], [1.0, 1e-4], [1.0, 3e-4]]  # cosines 1e-8 and more apart
+    vectors = spark.createDataFrame(list(enumerate(v)), "id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "qid bigint, embedding array<double>")
+    assert [r[2] for r in rows(retrieve.exact_topk(asked, vectors, 3), "qid", "rank", "id", "score")] == [1, 0, 2]
+
+
 def test_unequal_vectors_are_refused(spark, points):
     bad = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id bigint, embedding array<double>").coalesce(1)
     with pytest.raises(Exception, match="same length"):
@@ -122,7 +129,7 @@ def brute_bm25(questions, k, k1=1.2, b=0.75):
                     idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
                     tf = d.count(t)
                     scores[i] = scores.get(i, 0) + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(d) / avg))
-        best = sorted(((-round(s, 6), i) for i, s in scores.items()))[:k]
+        best = sorted(((-round(s, 10), i) for i, s in scores.items()))[:k]
         out += [(qid, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
