@@ -360,6 +360,7 @@ WITH {stats_ctes(_DOCUMENT_UNITS, "bigram")},
 weights AS (SELECT id, {_BUCKET} AS bucket, sum((1 + ln(tf)) * idf) AS w FROM postings JOIN terms USING (token) GROUP BY 1, 2)
 SELECT id, bucket::INT AS bucket, round(coalesce(w, 0), 6) AS weight
 FROM (SELECT id, unnest(range(64)) AS bucket FROM unit) LEFT JOIN weights USING (id, bucket)""",
+    "bm25_topk_postings": f"WITH {_DOC_STATS}, {lexical_cte(8)} SELECT * FROM lexical",
     "bm25_topk": f"WITH {_DOC_STATS}, {lexical_cte(8)} SELECT * FROM lexical",
     "rrf_fuse": f"""
 WITH {_DOC_STATS}, {lexical_cte(50)}, {vector_cte(50)},

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import scratch_path
-from passageway.operators import cells, cite, corpus, encode, evaluate, retrieve, trainmix
+from passageway.operators import cells, cite, corpus, encode, evaluate, postings, retrieve, trainmix
 from passageway.plans import study
 from passageway.sources import blocks, collections, runlogs
 from passageway.sources.documents import DOCUMENTS, load_documents
@@ -261,6 +261,13 @@ def bm25_topk_bigram(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(study.lexical(spark, sf, study.document_units(spark, sf), 8, mode="bigram"), "score")
 
 
+def bm25_topk_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same ranking from stored postings, of which blocks that cannot reach the first eight are not read."""
+    out = scratch_path(spark, "postings")
+    postings.build_postings(encode.term_stats(study.document_units(spark, sf), "id"), out)
+    return _rounded(postings.postings_topk(spark, out, study.questions(spark, sf), 8).top, "score")
+
+
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     units = study.document_units(spark, sf)
     stats = encode.term_stats(units, "id")
@@ -547,7 +554,7 @@ QUERIES: dict[str, Query] = {
         align_numbering, open_collection,
         with_instruction, rewrite_queries, encode_text, encode_text_bigram, encode_with_model, term_postings, term_stats, term_stats_bigram,
         exact_topk, exact_topk_text, ann_topk_prefix, ann_topk_ivf, ann_topk_ivf_all_cells, ann_topk_ivf_label_cells, ann_topk_tree_all_cells, exact_topk_bounded, compare_topk, compare_pools, bm25_topk,
-        bm25_topk_bigram, rrf_fuse, sweep_k, smallest_window, rank_displacement, assemble_context, extractive_answers,
+        bm25_topk_bigram, bm25_topk_postings, rrf_fuse, sweep_k, smallest_window, rank_displacement, assemble_context, extractive_answers,
         extract_citations, illegal_citations, enforce_whitelist, apply_retry, dedupe_citations, verdict_flips,
         judge, majority, retrieval_hits, answer_rates, confusion, answer_quality, proportion_ci, check_consistency,
         parse_run_logs, final_table, compare_runs, config_diff, same_direction, paired_ab, effect_ledger,
