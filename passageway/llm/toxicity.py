@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passageway.functions.bounds import broadcast_within
+from passageway.functions.bounds import broadcast_within, scratch_path
 from passageway.llm.common import written
 from passageway.llm.linear import descend
 from passageway.llm.ngrams import gram_counts, gram_slots
@@ -21,6 +21,8 @@ BITS = 18
 LONG = 1 << 16
 #: Slots of the count table that travel in one row.
 CHUNK = 1 << 12
+#: Texts whose features travel at once.
+ROWS = 128
 
 
 def text_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -123,19 +125,19 @@ def _cost_over(rows: DataFrame, features: int, cost: float):
                     loss += float(np.logaddexp(0, -margin))
                     slope[at] += pull * x  # a row has each feature once
                     slope[-1] += pull
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()], pa.binary())], names=["loss", "slope"])
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.astype(np.float32).tobytes()], pa.binary())], names=["loss", "slope"])
 
         parts = rows.mapInArrow(summed, "loss double, slope binary").collect()
         sent.unpersist()
         parts.sort(key=lambda r: (r["loss"], bytes(r["slope"][:64])))  # one order of summation
         ridge = np.append(np.ones(features), 1e-6) * at
-        slope = ridge + cost * sum((np.frombuffer(r["slope"]) for r in parts), np.zeros(features + 1))
+        slope = ridge + cost * sum((np.frombuffer(r["slope"], dtype=np.float32) for r in parts), np.zeros(features + 1))
         return 0.5 * float(ridge @ at) + cost * sum(r["loss"] for r in parts), slope
 
     return value
 
 
-def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << BITS, cost: float = 30.0, tasks: int = 16) -> Model:
+def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << BITS, cost: float = 30.0, tasks: int = 8) -> Model:
     """Fit on rows (text, label 0 or 1).
 
     Log-count ratios come from all labelled texts. The weights are fitted by logistic regression on at most
@@ -157,17 +159,19 @@ def train(labelled: DataFrame, most_rows: int = 8_000, features: int = 1 << BITS
     model = Model(column, log_count_ratios(counts)[chosen], np.zeros(len(chosen)), 0.0)
 
     def sparse(batches):
-        for batch in batches:
-            columns, values, labels = [], [], batch.column(1).to_pylist()
-            for text in batch.column(0):
-                at, x = model.entries(text.as_py() or "")
-                columns.append(at.astype(np.int32).tobytes())
-                values.append(x.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(labels, pa.int64()), pa.array(columns, pa.binary()), pa.array(values, pa.binary())], names=["label", "columns", "values"]
-            )
-
-    entries = written(_sample(labelled, most_rows).mapInArrow(sparse, "label bigint, columns binary, values binary"), "entries")
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # features take several times the room of their text
+                batch = whole.slice(at, ROWS)
+                found = [model.entries(text.as_py() or "") for text in batch.column(0)]
+                columns = pa.array([c.astype(np.int32).tobytes() for c, _ in found], pa.binary())
+                values = pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), columns, values], names=["label", "columns", "values"])
+
+    shape = "label bigint, columns binary, values binary"
+    rows, path = _sample(labelled, most_rows).mapInArrow(sparse, shape), scratch_path(labelled.sparkSession, "entries")
+    # Small row groups: a reader holds one at a time.
+    rows.write.option("parquet.block.size", 4 << 20).parquet(path)
+    entries = labelled.sparkSession.read.schema(shape).parquet(path)
     found = descend(_cost_over(entries.coalesce(tasks), len(chosen), cost), len(chosen) + 1)
     model.weight, model.bias = found[:-1], float(found[-1])
     return model
