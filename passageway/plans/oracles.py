@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from passageway.operators.uncertainty import poisson_edges
 from passageway.plans import study
 
 _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
@@ -268,7 +269,62 @@ ordered AS (
 
 _CHUNK_COLUMNS = "collection, chunk_no, doc_id, pos, text"
 
+_PAIRED = _VERDICTS + f""",
+{_PAIRS},
+paired AS (
+  SELECT config_a, config_b, a.qid, a.in_corpus, a.refused AS ra, b.refused AS rb,
+         CASE WHEN a.in_corpus THEN a.correct ELSE a.refused END AS right_a, CASE WHEN a.in_corpus THEN b.correct ELSE b.refused END AS right_b
+  FROM pairs JOIN final a ON a.config_id = config_a JOIN final b ON b.config_id = config_b AND b.qid = a.qid AND b.in_corpus = a.in_corpus)"""
+_EDGES = ", ".join(map(str, poisson_edges()))
+
+
+def _tail(left: str, right: str) -> str:
+    """The exact two-sided tail of an even split."""
+    n, m = f"({left} + {right})", f"least({left}, {right})"
+    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))"
+    return f"CASE WHEN 2 * {m} >= {n} THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, {m} + 1), lambda i: {term}))) END::DOUBLE"
+
+
+def _pair_deltas(source: str, keys: str) -> str:
+    f1 = lambda s: f"(2 * sum(w * (NOT in_corpus AND r{s})::INT) / nullif(2 * sum(w * (NOT in_corpus AND r{s})::INT) + sum(w * (in_corpus AND r{s})::INT) + sum(w * (NOT in_corpus AND NOT r{s})::INT), 0))"
+    rate = lambda s: f"(sum(w * right_{s}::INT) / nullif(sum(w), 0))"
+    return f"""
+  SELECT {keys}, unnest(['f1', 'total_rate']) AS metric, sum(w)::BIGINT AS n,
+         unnest([round({f1('b')} - {f1('a')}, 10), round({rate('b')} - {rate('a')}, 10)]) AS delta
+  FROM {source} GROUP BY {keys}"""
+
+
 ORACLES: dict[str, str] = {
+    "paired_bootstrap": f"""
+WITH {_PAIRED},
+digests AS (SELECT *, md5(concat_ws('|', '7', qid::VARCHAR, g::VARCHAR)) AS d FROM paired, (SELECT unnest(range(40)) AS g)),
+drawn AS (
+  SELECT *, len(list_filter([{_EDGES}], lambda t: t <= ('0x' || substr(d, 1 + 6 * j, 6))::BIGINT)) AS w
+  FROM (SELECT *, unnest(range(5)) AS j FROM digests)),
+replicates AS ({_pair_deltas("drawn", "config_a, config_b, g, j")}),
+ranked AS (SELECT config_a, config_b, metric, list(delta ORDER BY delta) FILTER (delta IS NOT NULL) AS ds FROM replicates GROUP BY ALL),
+whole AS ({_pair_deltas("(SELECT *, 1 AS w FROM paired)", "config_a, config_b")})
+SELECT config_a, config_b, metric, n, round(delta, 6) AS delta, len(ds)::INT AS n_replicates,
+       round(ds[greatest(ceil(round(len(ds) * 0.025::DOUBLE, 9)), 1)::INT], 6) AS low,
+       round(ds[(len(ds) + 1 - greatest(ceil(round(len(ds) * 0.025::DOUBLE, 9)), 1))::INT], 6) AS high
+FROM whole JOIN ranked USING (config_a, config_b, metric)""",
+    "mcnemar": f"""
+WITH {_PAIRED},
+counts AS (
+  SELECT config_a, config_b, count(*) AS n, count_if(right_a AND NOT right_b)::BIGINT AS only_a, count_if(NOT right_a AND right_b)::BIGINT AS only_b
+  FROM paired GROUP BY ALL)
+SELECT *, round({_tail("only_a", "only_b")}, 6) AS p FROM counts""",
+    "ablation_effects": f"""
+WITH {_VERDICTS},
+variants AS (SELECT *, (list_position({study.CONFIG_IDS}, config_id) - 1)::INT AS variant FROM final),
+scored AS ({matrix("variants", "variant")}),
+moved AS (
+  SELECT b.variant, count(*) AS n_paired, count_if(a.refused = a.in_corpus AND b.refused <> b.in_corpus)::BIGINT AS gained,
+         count_if(a.refused <> a.in_corpus AND b.refused = b.in_corpus)::BIGINT AS lost
+  FROM variants b JOIN variants a ON a.qid = b.qid AND a.variant = 0 GROUP BY b.variant)
+SELECT 'prompt' AS template_id, variant, tp, fp, fn, tn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       n_paired, gained, lost, round(f1 - (SELECT f1 FROM scored WHERE variant = 0), 6) AS delta_f1, round({_tail("lost", "gained")}, 6) AS p
+FROM scored JOIN moved USING (variant)""",
     "corpus_scan": "SELECT doc_id, lang, source, n_chars FROM documents "
     "WHERE lang IN ('de', 'fr') AND source IN ('src1', 'src2', 'src3')",
     "ingest_stream": f"WITH {chunk_ctes('lang')} SELECT {_CHUNK_COLUMNS} FROM chunks",

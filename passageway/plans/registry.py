@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import scratch_path
-from passageway.operators import cells, cite, corpus, encode, evaluate, postings, retrieve, trainmix
+from passageway.operators import cells, cite, corpus, encode, evaluate, postings, retrieve, trainmix, uncertainty
 from passageway.plans import study
 from passageway.sources import blocks, collections, runlogs
 from passageway.sources.documents import DOCUMENTS, load_documents
@@ -472,6 +472,19 @@ def paired_ab(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(evaluate.paired_ab(base, tuned), "delta")
 
 
+def _paired(spark: SparkSession, sf: str) -> DataFrame:
+    return uncertainty.pair_verdicts(study.final(spark, sf), study.run_pairs(spark))
+
+
+def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """The difference of F1 and of the share of right answers, with an interval from 200 replicates."""
+    return _rounded(uncertainty.paired_bootstrap(_paired(spark, sf), 200, "7"), "delta", "low", "high")
+
+
+def mcnemar(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(uncertainty.mcnemar(_paired(spark, sf)), "p")
+
+
 def effect_ledger(spark: SparkSession, sf: str) -> DataFrame:
     deltas = _deltas(spark, sf)
     agree = evaluate.same_direction(deltas).select("config_a", "config_b", "same_direction")
@@ -489,6 +502,13 @@ def ablation_variants(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.ablation_variants(templates)
 
 
+def ablation_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """The configurations as the whole prompt and two variants of it, over all labelled documents."""
+    variant = F.array_position(F.array(*map(F.lit, study.CONFIG_IDS)), F.col("config_id")).cast("int") - 1
+    verdicts = study.final(spark, sf).withColumns({"template_id": F.lit("prompt"), "variant": variant})
+    return _rounded(uncertainty.ablation_effects(verdicts), "precision", "recall", "f1", "delta_f1", "p")
+
+
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.fingerprint(study.documents(spark, sf), ["doc_id", "text", "lang"])
 
@@ -557,8 +577,8 @@ QUERIES: dict[str, Query] = {
         bm25_topk_bigram, bm25_topk_postings, rrf_fuse, sweep_k, smallest_window, rank_displacement, assemble_context, extractive_answers,
         extract_citations, illegal_citations, enforce_whitelist, apply_retry, dedupe_citations, verdict_flips,
         judge, majority, retrieval_hits, answer_rates, confusion, answer_quality, proportion_ci, check_consistency,
-        parse_run_logs, final_table, compare_runs, config_diff, same_direction, paired_ab, effect_ledger,
-        ablation_variants, fingerprint, release_gate, log_current, log_history,
+        parse_run_logs, final_table, compare_runs, config_diff, same_direction, paired_ab, paired_bootstrap, mcnemar, effect_ledger,
+        ablation_variants, ablation_effects, fingerprint, release_gate, log_current, log_history,
         training_mix, mix_variants, provenance_audit, distribution_gap,
     )
 }
