@@ -570,6 +570,14 @@ WITH keyed AS (
                    coalesce(length(lang) || ':' || lang, '-')) AS row
   FROM documents)
 SELECT count(*) AS n_rows, sum(('0x' || substr(md5(row), 1, 15))::HUGEINT)::VARCHAR AS fingerprint FROM keyed""",
+    "changed_questions": """
+WITH now AS (SELECT doc_id, text, lang FROM documents),
+later AS (
+  SELECT doc_id, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text, lang FROM now WHERE lang IS NULL OR lang <> 'es'
+  UNION ALL SELECT -1 - doc_id, text, lang FROM now WHERE lang = 'de')
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM now a FULL JOIN later b ON a.doc_id = b.doc_id
+WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.text IS DISTINCT FROM b.text OR a.lang IS DISTINCT FROM b.lang""",
     "log_current": """
 WITH latest AS (SELECT conv_id, max(turn) AS turn, count(*) AS n_versions FROM conversations GROUP BY conv_id)
 SELECT conv_id AS entry_id, turn AS version, text, n_versions, 1::BIGINT AS n_same FROM conversations JOIN latest USING (conv_id, turn)""",

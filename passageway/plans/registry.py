@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import scratch_path
-from passageway.operators import cells, cite, corpus, encode, evaluate, postings, retrieve, trainmix, uncertainty
+from passageway.operators import cells, cite, corpus, differences, encode, evaluate, postings, retrieve, trainmix, uncertainty
 from passageway.plans import study
 from passageway.sources import blocks, collections, runlogs
 from passageway.sources.documents import DOCUMENTS, load_documents
@@ -513,6 +513,20 @@ def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.fingerprint(study.documents(spark, sf), ["doc_id", "text", "lang"])
 
 
+def changed_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """What was added, removed or changed between the documents and a later state of them."""
+    docs = study.documents(spark, sf).select("doc_id", "text", "lang")
+    kept = docs.filter("lang IS NULL OR lang <> 'es'")
+    revised = F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    added = docs.filter("lang = 'de'").withColumn("doc_id", -1 - F.col("doc_id"))
+    later = kept.withColumn("text", revised).unionByName(added)
+    out = scratch_path(spark, "digests")
+    for name, df in (("now", docs), ("later", later)):
+        differences.store_digests(df, ["doc_id"], ["doc_id", "text", "lang"], f"{out}/{name}")
+    changes = differences.changed_rows(spark, f"{out}/now", f"{out}/later")
+    return differences.named(changes, docs, later, keys=["doc_id"])
+
+
 def release_gate(spark: SparkSession, sf: str) -> DataFrame:
     cited = cite.illegal_citations(_whitelisted(spark, sf), study.supplied(spark, sf))
     return evaluate.release_gate(
@@ -578,7 +592,7 @@ QUERIES: dict[str, Query] = {
         extract_citations, illegal_citations, enforce_whitelist, apply_retry, dedupe_citations, verdict_flips,
         judge, majority, retrieval_hits, answer_rates, confusion, answer_quality, proportion_ci, check_consistency,
         parse_run_logs, final_table, compare_runs, config_diff, same_direction, paired_ab, paired_bootstrap, mcnemar, effect_ledger,
-        ablation_variants, ablation_effects, fingerprint, release_gate, log_current, log_history,
+        ablation_variants, ablation_effects, fingerprint, changed_questions, release_gate, log_current, log_history,
         training_mix, mix_variants, provenance_audit, distribution_gap,
     )
 }
