@@ -35,13 +35,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, added = spec["model"], {t["content"] for t in spec.get("added_tokens", [])}
         signs = _byte_signs()
         ranks = {bytes(map(signs.__getitem__, k)): v for k, v in model["vocab"].items() if k not in added}
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # Strings of added tokens in a text are those tokens, as the library has it unless told otherwise.
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(longest_first) + ")") if self.added else None
 
     def _stretch(self, text: str, plain: bool) -> np.ndarray:
         if plain:
@@ -50,11 +53,15 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of the text and id 0 at the end."""
-        if _PLAIN.match(text):
-            parts = [self._stretch(text, True)]
-        else:
-            runs = groupby(_CUT.split(text), lambda form: bool(_PLAIN.match(form)))
-            parts = [self._stretch("".join(forms), plain) for plain, forms in runs]
+        parts = []
+        for i, part in enumerate(self.marks.split(text) if self.marks else [text]):
+            if i % 2:
+                parts.append([self.added[part]])
+            elif _PLAIN.match(part):
+                parts.append(self._stretch(part, True))
+            else:
+                runs = groupby(_CUT.split(part), lambda form: bool(_PLAIN.match(form)))
+                parts += [self._stretch("".join(forms), plain) for plain, forms in runs]
         return np.concatenate([*parts, [0]]).astype("<u4", copy=False)
 
 
