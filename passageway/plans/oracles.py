@@ -355,6 +355,19 @@ WITH {chunk_ctes("'c'", "l")}, {chunk_ctes("'c'", "r", "(SELECT * FROM documents
 SELECT chunk_no, CASE WHEN r.text IS NULL THEN 'left_only' WHEN l.text IS NULL THEN 'right_only'
                       WHEN l.text = r.text THEN 'same' ELSE 'different' END AS status
 FROM l FULL OUTER JOIN r USING (chunk_no)""",
+    # Nothing changes its order here, so no passage is moved.
+    "align_shifted": f"""
+WITH {chunk_ctes("'corpus'", "l")},
+later AS (SELECT doc_id, text FROM documents WHERE lang IS NULL OR lang <> 'es'
+  UNION ALL SELECT -1 - doc_id, 'revised ' || text FROM documents WHERE lang = 'de'),
+{chunk_ctes("'corpus'", "r", "later")},
+lt AS (SELECT text, count(*) AS n, min(chunk_no) AS no FROM l GROUP BY text), rt AS (SELECT text, count(*) AS n, min(chunk_no) AS no FROM r GROUP BY text)
+SELECT 'corpus' AS collection, lt.no AS left_no, rt.no AS right_no, CASE WHEN lt.no = rt.no THEN 'same' ELSE 'shifted' END AS status
+FROM lt JOIN rt USING (text) WHERE lt.n = 1 AND rt.n = 1
+UNION ALL SELECT 'corpus', l.chunk_no, 0, CASE WHEN rt.n IS NULL THEN 'deleted' ELSE 'repeated' END
+FROM l JOIN lt USING (text) LEFT JOIN rt USING (text) WHERE NOT (lt.n = 1 AND coalesce(rt.n, 0) = 1)
+UNION ALL SELECT 'corpus', 0, r.chunk_no, CASE WHEN lt.n IS NULL THEN 'inserted' ELSE 'repeated' END
+FROM r JOIN rt USING (text) LEFT JOIN lt USING (text) WHERE NOT (rt.n = 1 AND coalesce(lt.n, 0) = 1)""",
     "open_collection": f"WITH {chunk_ctes('lang')} SELECT {_CHUNK_COLUMNS} FROM chunks WHERE collection = 'de'",
     "with_instruction": f"WITH {_USER} SELECT qid, '{study.INSTRUCTION}' || question AS question FROM user_question",
     "rewrite_queries": f"""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageway.functions.bounds import scratch_path
-from passageway.operators import cells, cite, corpus, differences, encode, evaluate, postings, retrieve, trainmix, uncertainty
+from passageway.operators import align, cells, cite, corpus, differences, encode, evaluate, postings, retrieve, trainmix, uncertainty
 from passageway.plans import study
 from passageway.sources import blocks, collections, runlogs
 from passageway.sources.documents import DOCUMENTS, load_documents
@@ -107,6 +107,16 @@ def align_numbering(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.align_numbering(study.chunks(spark, sf), corpus.chunk_documents(partial))
 
 
+def align_shifted(spark: SparkSession, sf: str) -> DataFrame:
+    """All passages against those of a corpus that lost one language and got revised copies in front."""
+    docs = study.documents(spark, sf).select("doc_id", "text", "lang")
+    revised = docs.filter("lang = 'de'").select((-1 - F.col("doc_id")).alias("doc_id"), F.concat(F.lit("revised "), "text").alias("text"), "lang")
+    later = docs.filter("lang IS NULL OR lang <> 'es'").unionByName(revised)
+    aligned = align.align_shifted(study.chunks(spark, sf), corpus.chunk_documents(later))
+    zero = F.lit(0).cast("bigint")
+    return aligned.select("collection", F.coalesce("left_no", zero).alias("left_no"), F.coalesce("right_no", zero).alias("right_no"), "status")
+
+
 def open_collection(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "collections")
     collections.write_collections(study.chunks(spark, sf, "lang"), out)
@@ -585,7 +595,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         corpus_scan, ingest_stream, ingest_blocks, chunk_documents, build_collection, resolve_collection, audit_collection,
-        align_numbering, open_collection,
+        align_numbering, align_shifted, open_collection,
         with_instruction, rewrite_queries, encode_text, encode_text_bigram, encode_with_model, term_postings, term_stats, term_stats_bigram,
         exact_topk, exact_topk_text, ann_topk_prefix, ann_topk_ivf, ann_topk_ivf_all_cells, ann_topk_ivf_label_cells, ann_topk_tree_all_cells, exact_topk_bounded, compare_topk, compare_pools, bm25_topk,
         bm25_topk_bigram, bm25_topk_postings, rrf_fuse, sweep_k, smallest_window, rank_displacement, assemble_context, extractive_answers,
