@@ -41,6 +41,57 @@ def rewrite_queries(queries: DataFrame, rules: DataFrame) -> DataFrame:
     return queries.join(rebuilt, "qid", "left")
 
 
+def phrase_trie(rules: DataFrame) -> DataFrame:
+    """(prefix, replacement): every beginning of a rule in whole words, with the replacement where a rule ends, else null.
+
+    ``rules`` has (term, replacement); terms are words with single spaces between, compared in lower case. Of rules that
+    differ in case alone the first replacement in order of text counts. Build it once and keep it.
+    """
+    parts = rules.filter(F.col("term").isNotNull()).select(F.split(F.lower("term"), " ").alias("w"), "replacement")
+    ends = F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n")
+    prefixes = parts.select("w", "replacement", ends)
+    ended = F.when(F.col("n") == F.size("w"), F.coalesce("replacement", F.lit("")))
+    return prefixes.groupBy(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("prefix")).agg(F.min(ended).alias("replacement"))
+
+
+def rewrite_phrases(queries: DataFrame, trie: DataFrame) -> DataFrame:
+    """Replace phrases of each question (qid, question) by the rules of ``phrase_trie``, from left to right.
+
+    At every word the longest rule that begins there counts, and the search goes on behind it. Positions go down the trie
+    word by word, a join per level, and only those that are still on a path go on; levels end when none is. Adds
+    ``rewritten``, null for a null question; a replaced phrase is its replacement, null replacements are empty.
+    """
+    trie = broadcast_within(materialize(trie))
+    split = materialize(queries.select("qid", F.split("question", " ").alias("w")).filter("w IS NOT NULL"))
+    at = split.select("qid", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("pos"))
+    ends, size = None, 1
+    while True:
+        phrase = F.lower(F.array_join(F.slice("w", F.col("pos"), F.lit(size)), " "))
+        at = materialize(at.filter(F.col("pos") + size - 1 <= F.size("w")).withColumn("prefix", phrase).join(trie, "prefix").drop("prefix"))
+        if at.isEmpty():
+            break
+        found = at.filter("replacement IS NOT NULL").select("qid", "pos", F.lit(size).alias("size"), "replacement")
+        ends = found if ends is None else ends.unionAll(found)
+        at, size = at.drop("replacement"), size + 1
+    if ends is None:
+        return queries.withColumn("rewritten", F.col("question"))
+    longest = ends.groupBy("qid", "pos").agg(F.max_by(F.struct("size", "replacement"), "size").alias("rule"))
+    # A group holds the matches of one question, one a word at most.
+    rules = longest.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "rule"))).alias("rules"))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, pos: Column) -> Column:
+        rule = F.try_element_at(F.col("rules"), pos)
+        piece = F.coalesce(rule["replacement"], F.element_at("w", pos))
+        taken = F.struct((pos + F.coalesce(rule["size"], F.lit(1))).alias("next"), F.concat(state["out"], F.array(piece)).alias("out"))
+        return F.when(pos < state["next"], state).otherwise(taken)
+
+    joined = split.join(rules, "qid", "left")
+    walked = F.aggregate(F.sequence(F.lit(1), F.size("w")), start, step, lambda state: F.array_join(state["out"], " "))
+    rewritten = joined.select("qid", walked.alias("rewritten"))
+    return queries.join(rewritten, "qid", "left")
+
+
 class TermStats(NamedTuple):
     """``words`` (id, words), ``terms`` (token, df, idf), ``corpus`` (n_docs, total_len; one row)."""
 

@@ -356,6 +356,23 @@ SELECT chunk_no, CASE WHEN r.text IS NULL THEN 'left_only' WHEN l.text IS NULL T
                       WHEN l.text = r.text THEN 'same' ELSE 'different' END AS status
 FROM l FULL OUTER JOIN r USING (chunk_no)""",
     # Nothing changes its order here, so no passage is moved.
+    "rewrite_phrases": f"""
+WITH RECURSIVE {_USER},
+split AS (SELECT qid, string_split(question, ' ') AS w FROM user_question WHERE question IS NOT NULL),
+terms AS (SELECT unnest([array_to_string(w[2:3], ' '), array_to_string(w[3:5], ' '), array_to_string(w[2:5], ' ')]) AS term FROM split),
+rules AS (SELECT lower(term) AS term, min('<' || term || '>') AS replacement, any_value(len(string_split(term, ' '))) AS size FROM terms GROUP BY 1),
+places AS (SELECT qid, w, unnest(range(1, len(w) + 1)) AS pos FROM split),
+ends AS (
+  SELECT qid, pos, max(size) AS size, max_by(replacement, size) AS replacement
+  FROM (SELECT *, unnest(range(1, 5)) AS size FROM places) p JOIN rules r USING (size)
+  WHERE pos + size - 1 <= len(w) AND lower(array_to_string(w[pos:pos + size - 1], ' ')) = r.term GROUP BY qid, pos),
+walk AS (
+  SELECT qid, 1::BIGINT AS pos, []::VARCHAR[] AS out FROM split
+  UNION ALL
+  SELECT qid, pos + coalesce(size, 1), list_append(out, coalesce(replacement, w[pos])) FROM walk JOIN split USING (qid) LEFT JOIN ends USING (qid, pos)
+  WHERE pos <= len(w))
+SELECT user_question.qid, array_to_string(out, ' ') AS rewritten FROM user_question
+LEFT JOIN (SELECT walk.* FROM walk JOIN split USING (qid) WHERE pos > len(w)) USING (qid)""",
     "align_shifted": f"""
 WITH {chunk_ctes("'corpus'", "l")},
 later AS (SELECT doc_id, text FROM documents WHERE lang IS NULL OR lang <> 'es'

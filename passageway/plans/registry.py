@@ -136,6 +136,15 @@ def rewrite_queries(spark: SparkSession, sf: str) -> DataFrame:
     return encode.rewrite_queries(study.user_questions(spark, sf), rules).select("qid", "rewritten")
 
 
+def rewrite_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping rules of two and three words, taken from the questions themselves."""
+    asked = study.user_questions(spark, sf)
+    words = F.split("question", " ")
+    terms = asked.select(F.explode(F.array(*[F.array_join(F.slice(words, a, n), " ") for a, n in ((2, 2), (3, 3), (2, 4))])).alias("term"))
+    rules = terms.distinct().select("term", F.concat(F.lit("<"), "term", F.lit(">")).alias("replacement"))
+    return encode.rewrite_phrases(asked, encode.phrase_trie(rules)).select("qid", "rewritten")
+
+
 def encode_text(spark: SparkSession, sf: str) -> DataFrame:
     units = study.document_units(spark, sf)
     vectors = encode.encode(units, encode.term_stats(units, "id").terms, "id")
@@ -596,7 +605,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         corpus_scan, ingest_stream, ingest_blocks, chunk_documents, build_collection, resolve_collection, audit_collection,
         align_numbering, align_shifted, open_collection,
-        with_instruction, rewrite_queries, encode_text, encode_text_bigram, encode_with_model, term_postings, term_stats, term_stats_bigram,
+        with_instruction, rewrite_queries, rewrite_phrases, encode_text, encode_text_bigram, encode_with_model, term_postings, term_stats, term_stats_bigram,
         exact_topk, exact_topk_text, ann_topk_prefix, ann_topk_ivf, ann_topk_ivf_all_cells, ann_topk_ivf_label_cells, ann_topk_tree_all_cells, exact_topk_bounded, compare_topk, compare_pools, bm25_topk,
         bm25_topk_bigram, bm25_topk_postings, rrf_fuse, sweep_k, smallest_window, rank_displacement, assemble_context, extractive_answers,
         extract_citations, illegal_citations, enforce_whitelist, apply_retry, dedupe_citations, verdict_flips,
