@@ -1,7 +1,14 @@
 """The corpus pipeline: filter, deduplicate, mix and pack ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``. All but the last return the columns of ``documents``.
+stage's ``docs``. All but the last return the columns of ``documents``; other columns are dropped, also such as are named
+like columns that operators make.
+
+Texts are judged whole, however long. Toxicity: null texts count as empty ones and equal texts have equal scores.
+Language: documents whose text is null or without a letter go. Near duplicates: repeated rows and equal texts leave one
+row, rows without an id take part like any other, and of a component without ids one row stays as well. Mix: documents
+without a source are one source; repeated rows are documents of their own. Pack: every row is packed, copies too; null
+and empty texts are the end token alone. Empty tables give no rows at every stage.
 """
 
 from __future__ import annotations
