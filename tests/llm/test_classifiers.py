@@ -154,6 +154,18 @@ def test_scores_against_plain_dictionaries(spark):
         assert abs(r["score"] - plain[r["text"]]) < 0.02
 
 
+def test_packed_features():
+    rng = np.random.default_rng(3)
+    for n, most in ((0, 5), (1, 1 << 18), (4, 1 << 18), (3000, 1 << 18), (40, 41)):
+        at = np.sort(rng.choice(most, n, replace=False))
+        x = rng.normal(size=n)
+        back, value = toxicity.unpacked(*toxicity.packed(at, x))
+        kept = value != 0
+        assert back[kept].tolist() == at[x != 0].tolist() and np.allclose(value[kept], x, rtol=1e-3, atol=1e-6)
+        assert len(set(back.tolist())) == len(back) and (len(back) == 0 or back.max() < most)
+    assert toxicity.unpacked(*toxicity.packed(np.array([0, 262143]), np.ones(2)))[0].tolist() == [0, 65535, 131070, 196605, 262140, 262143]
+
+
 def test_descent_finds_the_minimum():
     rng = np.random.default_rng(4)
     a = rng.normal(size=(40, 12))
