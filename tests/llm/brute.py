@@ -10,6 +10,16 @@ def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
+def shingles(text, n=5):
+    tokens = words(text)
+    return {tuple(tokens[i : i + n]) for i in range(max(1, len(tokens) - n + 1))} if tokens else set()
+
+
+def likeness(a, b):
+    """Jaccard similarity; two empty sets are equal."""
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def components(keys, linked):
     """The smallest key reachable from each, by comparing all pairs."""
     root = {k: k for k in keys}
