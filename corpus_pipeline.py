@@ -6,7 +6,7 @@ like columns that operators make.
 
 Texts are judged whole, however long. Toxicity: null texts count as empty ones and equal texts have equal scores.
 Language: documents whose text is null or without a letter go. Near duplicates: repeated rows and equal texts leave one
-row, rows without an id take part like any other, and of a component without ids one row stays as well. Mix: documents
+row, rows without an id take part like any other, and of a group without ids one row stays as well. Mix: documents
 without a source are one source; repeated rows are documents of their own. Pack: every row is packed, copies too; null
 and empty texts are the end token alone. Empty tables give no rows at every stage.
 """
@@ -17,15 +17,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageway.llm import langid, mixing, packing, simhash, toxicity
+from passageway.llm import langid, mixing, packing, toxicity, verified
 from passageway.llm.common import fold, table, word_count, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose language is less sure than this is rejected; four languages guessed at random would have as much.
 LEAST_SURE = 0.25
-#: Near duplicates: fingerprints of word pairs that differ in at most so many bits. Of the pairs that share 0.8 or more of
-#: their five-word shingles most do; unrelated documents are much further apart (see README).
-SHINGLE, RADIUS = 2, 6
+#: Near duplicates share this much of their shingles of five words.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -47,7 +46,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return _columns(simhash.one_of_each(docs, words=SHINGLE, radius=RADIUS))
+    return _columns(verified.one_of_each_verified(docs, words=SHINGLE, similarity=SIMILARITY))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
