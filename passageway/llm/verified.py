@@ -18,6 +18,8 @@ from passageway.llm.simhash import _LOWER, covering_masks
 BITS = 512
 #: An estimate further than this from the threshold decides alone: three standard errors at a similarity of 0.8.
 MARGIN = 0.08
+#: Texts of a group that are compared in one task; larger groups are compared block against block.
+BLOCK = 1024
 _ODD = np.random.default_rng(11).integers(0, 1 << 64, BITS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -164,44 +166,46 @@ def _flat_roots(parent: np.ndarray) -> np.ndarray:
         parent[:] = up
 
 
+def _join(parent: np.ndarray, x: int, y: int) -> bool:
+    """Whether x and y were apart; they are together afterwards."""
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    while parent[y] != y:
+        parent[y] = y = parent[parent[y]]
+    parent[max(x, y)] = min(x, y)
+    return x != y
+
+
 def bucket_links(buckets: DataFrame, similarity: float, within: int) -> DataFrame:
-    """(a, b, sure): of each bucket a forest of the links that estimates settle, and the pairs that they leave open.
+    """(a, b, sure): of each bucket a forest of the links that estimates settle, and one of the pairs they leave open.
 
-    A pair is left open if its estimate is within MARGIN of ``similarity`` and no settled links of the bucket connect it.
+    A pair is left open if its estimate is within MARGIN of ``similarity``. Rows grow with a bucket's length, not with its
+    pairs.
     """
 
     def links(batches):
         for _, group in _groups(batches, 2):
             node, fps = group.column("node").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
-            bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+            bits = _bits(group)
             parent = np.arange(len(node))
-            forest = []
-            for i, j, like in _near(fps, bits, within):
-                close = like >= similarity + MARGIN
-                i, j = i[close], j[close]
-                roots = _flat_roots(parent)
-                apart = roots[i] != roots[j]
-                for x, y in zip(i[apart].tolist(), j[apart].tolist()):
-                    p, q = x, y
-                    while parent[p] != p:
-                        p = parent[p]
-                    while parent[q] != q:
-                        q = parent[q]
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        forest.append((x, y))
-            ends = np.array(forest, dtype=np.int64).reshape(-1, 2)
-            yield _pairs(node, ends[:, 0], ends[:, 1], True)
-            roots = _flat_roots(parent)
-            for i, j, like in _near(fps, bits, within):
-                open_ = (np.abs(like - similarity) < MARGIN) & (roots[i] != roots[j])
-                if open_.any():
-                    yield _pairs(node, i[open_], j[open_], False)
+            for least, sure in ((similarity + MARGIN, True), (similarity - MARGIN, False)):
+                forest = []
+                for i, j, like in _near(fps, bits, within):
+                    i, j = i[like >= least], j[like >= least]
+                    roots = _flat_roots(parent)
+                    apart = roots[i] != roots[j]
+                    forest += [(x, y) for x, y in zip(i[apart].tolist(), j[apart].tolist()) if _join(parent, x, y)]
+                ends = np.array(forest, dtype=np.int64).reshape(-1, 2)
+                yield _pairs(node, ends[:, 0], ends[:, 1], sure)
 
     dealt = buckets.repartition("t", "k").sortWithinPartitions("t", "k").select("t", "k", "node", "fp", "sketch")
     return dealt.mapInArrow(links, "a bigint, b bigint, sure boolean")
 
 
+def _bits(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint64).reshape(group.num_rows, -1)
+
+
 def _pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray, sure: bool) -> pa.RecordBatch:
     a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
@@ -220,13 +224,49 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(sets, "node bigint, shingles array<bigint>")
 
 
-def exact_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets have a Jaccard similarity of at least ``similarity``."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("_common", F.size(F.array_intersect("x", "y")))
-    union = F.size("x") + F.size("y") - F.col("_common")
-    return both.filter(F.col("_common") >= F.lit(similarity) * union - 1e-9).select("a", "b")
+def exact_links(described: DataFrame, similarity: float, within: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): of each group a forest of the links between its texts, decided by the shingles where estimates do not.
+
+    ``described`` is (group, node, fp, sketch, shingles). Groups of more than ``block`` texts are dealt into blocks by a
+    hash, each pair of blocks being compared by itself, so that no task holds more than two blocks.
+    """
+    sizes = described.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks")).filter("_blocks > 1")
+    dealt = described.join(broadcast_within(written(sizes, "sizes")), "group", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("node", F.lit(1)), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("_b", "_o"), "hi": F.greatest("_b", "_o")})
+    keys = ["group", "lo", "hi"]
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "node", "fp", "sketch", "shingles")
+
+    def links(batches):
+        for _, group in _groups(batches, 3):
+            node, fps = group.column("node").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
+            sets = group.column("shingles").chunk(0)
+            ends, values = np.asarray(sets.offsets), np.asarray(sets.values)
+            parent, forest = np.arange(len(node)), []
+            for i, j, like in _near(fps, _bits(group), within):
+                open_ = like >= similarity - MARGIN
+                for x, y, sure in zip(i[open_].tolist(), j[open_].tolist(), (like[open_] >= similarity + MARGIN).tolist()):
+                    if _joined(parent, x, y):
+                        continue
+                    if not sure:
+                        left, right = values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]]
+                        common = len(np.intersect1d(left, right, assume_unique=True))
+                        sure = common >= similarity * (len(left) + len(right) - common) - 1e-9
+                    if sure and _join(parent, x, y):
+                        forest.append((x, y))
+            found = np.array(forest, dtype=np.int64).reshape(-1, 2)
+            yield _pairs(node, found[:, 0], found[:, 1], True).select(["a", "b"])
+
+    return dealt.mapInArrow(links, "a bigint, b bigint")
+
+
+def _joined(parent: np.ndarray, x: int, y: int) -> bool:
+    while parent[x] != x:
+        x = parent[x]
+    while parent[y] != y:
+        y = parent[y]
+    return x == y
 
 
 def verified_links(nodes: DataFrame, rows: DataFrame, text: str, words: int, similarity: float, radius: int, within: int) -> DataFrame:
@@ -236,12 +276,15 @@ def verified_links(nodes: DataFrame, rows: DataFrame, text: str, words: int, sim
     same = fps.filter("n > 1").select(F.lit(-1).cast("bigint").alias("t"), F.col("fp").alias("k"), "fp")
     buckets = written(marks.unionByName(same), "buckets").join(nodes.select("fp", "node", "sketch"), "fp")
     found = written(bucket_links(buckets, similarity, within), "links")
-    pairs = written(found.filter("NOT sure").select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(wanted.join(nodes.select("node", "least._h1", "least._h2"), "node"), "wanted")
-    texts = rows.select("_h1", "_h2", F.col(text).cast("string").alias("text")).join(broadcast_within(wanted), ["_h1", "_h2"])
-    sets = written(shingle_sets(texts.dropDuplicates(["node"]), words), "shingles")
-    return written(found.filter("sure").select("a", "b").unionByName(exact_links(pairs, sets, similarity)), "verified")
+    # Only groups with an open pair are looked at again; each of their texts travels once.
+    groups = connected_components(found.select("a", "b"))
+    unsettled = groups.join(found.filter("NOT sure").select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
+    wanted = groups.join(unsettled, "component", "left_semi").join(nodes.select("node", "fp", "sketch", "least._h1", "least._h2"), "node")
+    wanted = written(wanted.withColumnRenamed("component", "group"), "wanted")
+    texts = rows.select("_h1", "_h2", F.col(text).cast("string").alias("text")).join(broadcast_within(wanted.select("_h1", "_h2", "node")), ["_h1", "_h2"])
+    sets = shingle_sets(texts.dropDuplicates(["node"]), words)
+    exact = exact_links(wanted.drop("_h1", "_h2").join(sets, "node"), similarity, within)
+    return written(found.filter("sure").select("a", "b").unionByName(exact), "verified")
 
 
 def one_of_each_verified(

@@ -28,7 +28,9 @@ def similar_texts(rng):
     return out + [" ".join(rng.choice(vocabulary, 80)) for _ in range(100)]
 
 
-def test_against_all_pairs(spark):
+@pytest.mark.parametrize("block", [2, 1024])
+def test_against_all_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr(verified.exact_links, "__defaults__", (block,))
     texts = dict(enumerate(similar_texts(np.random.default_rng(3))))
     sets = {k: shingles(v) for k, v in texts.items()}
     true = components(sorted(texts), lambda a, b: likeness(sets[a], sets[b]) >= 0.8)
