@@ -1,4 +1,5 @@
 from passageway.operators.corpus import chunk_documents
+from passageway.plans import registry
 from passageway.sources.collections import open_collection
 from passageway.streaming import ingest
 
@@ -69,3 +70,15 @@ def test_empty_upload_empties(spark, tmp_path):
     for batch_id, rows in enumerate([[("a b=c/%", 1, "text"), ("b", 1, "text")], [("a b=c/%", 1, "")]]):
         ingest._build_batch(spark.createDataFrame(rows, SCHEMA), batch_id, out, 4, 2)
     assert contents(spark, out) == batch_contents(spark, [("b", 1, "text")])
+
+
+def test_documents_in_one_file_or_in_many(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", "s", 6) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for name in ("many", "one"):
+        got = registry.ingest_stream(spark, f"{tmp_path}/{name}").select("chunk_no", "doc_id", "text").collect()
+        assert sorted(map(tuple, got)) == [(i + 1, i, f"text {i}") for i in range(4)]
