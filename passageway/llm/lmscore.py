@@ -6,17 +6,20 @@ dishes come from the smoothed word counts. A context's predictive probability of
     (c - d * t) / (s + n)  +  (s + d * T) / (s + n) * parent(word)
 
 with c customers and t tables of the dish, n customers and T tables of the restaurant, discount d and strength s. The
-tables are sampled by Gibbs sweeps and the probabilities averaged over the samples. The parent holds one customer for
-each different (context, word) and one table for each word, which is its most frequent seating.
+tables are sampled by Gibbs sweeps. Every table of a context is a customer of the parent, whose tables are sampled in
+turn given these; contexts and parent take turns for several rounds. The tables of the last round's samples are averaged:
+given the other level, a probability is linear in them, so that averages the probabilities.
 
 The work is dealt by a hash of (context, word), so no context or word, however frequent, belongs to one task: a
 restaurant is spread over all buckets, and what its parts must know of one another (customers and dishes in all) comes
-back from a second exchange by word. Rows hold packed arrays, and a bucket's share of the text is bounded.
+back from an exchange by word, and so do the sums of tables after every round, from which the next one goes on: one total
+per restaurant, whatever the number of buckets. Rows hold packed arrays, and a bucket's share of the text is bounded.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +110,15 @@ def _from_planes(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def _counts(x: np.ndarray) -> bytes:
+    """Counts, most of them small: a byte or less each."""
+    return zlib.compress(_planes(x, "<i8"), 1)
+
+
+def _from_counts(raw: bytes) -> np.ndarray:
+    return _from_planes(zlib.decompress(raw), "<i8")
+
+
 def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _mix(u * _STEP + w)
 
@@ -147,11 +159,15 @@ def _cells(blocks: int):
         for i in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[i], cuts[i + 1])
             own = u[part]
-            runs = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            heads = _six(own[runs]) + _planes(np.diff(runs, append=len(own)), "<u4")
-            rows.append(
-                (i, block, 0, heads, _six(last[part] >> np.uint64(16)), _planes(last[part] & np.uint64(0xFFFF), "<u2"), _planes(number[part], "<u4"), flags)
-            )
+            word = last[part] >> np.uint64(16)
+            starts = np.ones(len(own), dtype=bool)
+            starts[1:] = (own[1:] != own[:-1]) | (word[1:] != word[:-1])
+            pairs = np.flatnonzero(starts)
+            of_pairs = own[pairs]
+            runs = np.flatnonzero(np.concatenate(([True], of_pairs[1:] != of_pairs[:-1])))
+            heads = _six(of_pairs[runs]) + _planes(np.diff(runs, append=len(pairs)), "<u4")
+            followers = _six(word[pairs]) + _planes(np.diff(pairs, append=len(own)), "<u4")
+            rows.append((i, block, 0, heads, followers, _planes(last[part] & np.uint64(0xFFFF), "<u2"), _planes(number[part], "<u4"), flags))
         keys = pa.array(ids, pa.int64())
         present = np.array([x is not None for x in ids], dtype=np.uint8).tobytes()
         rows.append((block % blocks, block, 1, keys.fill_null(0).to_numpy().astype("<i8").tobytes(), n.astype("<i8").tobytes(), present, b"", flags))
@@ -189,9 +205,10 @@ class Bucket:
         at = 0
         for k, r in enumerate(self.cells):
             part = slice(at, at := at + len(r["c"]) // 2)
-            runs = len(r["a"]) // 10
-            u[part] = np.repeat(_from_six(r["a"][: 6 * runs]), _from_planes(r["a"][6 * runs :], "<u4"))
-            w[part] = _from_six(r["b"])
+            runs, pairs = len(r["a"]) // 10, len(r["b"]) // 10
+            held = _from_planes(r["b"][6 * pairs :], "<u4")
+            u[part] = np.repeat(np.repeat(_from_six(r["a"][: 6 * runs]), _from_planes(r["a"][6 * runs :], "<u4")), held)
+            w[part] = np.repeat(_from_six(r["b"][: 6 * pairs]), held)
             doc[part], number[part], row[part] = _from_planes(r["c"], "<u2"), _from_planes(r["d"], "<u4"), k
             trained[part] = np.where(np.frombuffer(r["e"], dtype=np.uint8)[doc[part]] == 0, number[part], 0)
         key = _pair(u, w)
@@ -228,7 +245,7 @@ def _statistics(parts: int):
         out = []
         for p in {*np.flatnonzero(np.diff(cuts)).tolist(), bucket % parts}:
             at = order[cuts[p] : cuts[p + 1]]
-            out.append((p, bucket, 0, _six(x.words[at]), *(_planes(v[at], "<i8") for v in numbers), ones if p == bucket % parts else b""))
+            out.append((p, bucket, 0, _six(x.words[at]), *(_counts(v[at]) for v in numbers), ones if p == bucket % parts else b""))
         return _table(out)
 
     return statistics
@@ -242,13 +259,13 @@ def _answers(rows: pa.Table) -> pa.Table:
     lists = [_from_six(r["a"]) for r in asked]
     words, where = np.unique(np.concatenate(lists), return_inverse=True)
     sums = [
-        np.bincount(where, np.concatenate([_from_planes(r[c], "<i8") for r in asked]), minlength=len(words)).astype("<i8") for c in "bcd"
+        np.bincount(where, np.concatenate([_from_counts(r[c]) for r in asked]), minlength=len(words)).astype("<i8") for c in "bcd"
     ]
     out, at = [], 0
     for r, own in zip(asked, lists):
         mine = where[at : at + len(own)]
         at += len(own)
-        out.append((r["block"], part, 2, *(_planes(s[mine], "<i8") for s in sums), b"", b""))
+        out.append((r["block"], part, 2, *(_counts(s[mine]) for s in sums), b"", b""))
     customers, contexts, _ = sums
     ones = sum((np.frombuffer(r["e"], dtype="<i8") for r in asked if r["e"]), np.zeros(2, dtype=np.int64))
     totals = [customers.sum(), (customers > 0).sum(), contexts.sum(), (contexts == 1).sum(), (contexts == 2).sum(), *ones]
@@ -269,7 +286,8 @@ def log_stirling(most: int, discount: float) -> np.ndarray:
 
 
 def sample_tables(
-    count: np.ndarray, restaurant: np.ndarray, tables: np.ndarray, parent: np.ndarray, discount: float, strength: float, sweeps: int, kept: int, rng
+    count: np.ndarray, restaurant: np.ndarray, tables: np.ndarray, parent: np.ndarray, discount: float, strength: float, sweeps: int, kept: int, rng,
+    start: np.ndarray | None = None,
 ) -> np.ndarray:
     """Mean number of tables of each dish over the last ``kept`` of ``sweeps`` Gibbs sweeps.
 
@@ -277,9 +295,10 @@ def sample_tables(
     tables if every dish has one, ``parent``: the parent's probability of the dish. A sweep seats all customers of a
     dish anew, given the other dishes: t tables have weight S(count, t) * parent^t * prod_k (strength + discount *
     (others + k)). Dishes of a restaurant are drawn in two halves in turn. Beyond ``EXACT`` customers the rest are seated
-    in batches of a 16th, at the chance that the state before the batch gives.
+    in batches of a 16th, at the chance that the state before the batch gives. ``start`` are the tables to go on from (else
+    one a dish), which ``tables`` counts.
     """
-    t = np.ones(len(count), dtype=np.int64)
+    t = np.ones(len(count), dtype=np.int64) if start is None else start.astype(np.int64)
     total = np.zeros(len(count))
     several = np.flatnonzero(count >= 2)
     if not len(several):
@@ -324,51 +343,152 @@ def sample_tables(
     return total / kept
 
 
-def _scores(parts: int, strength: float, sweeps: int, kept: int):
-    """Cells of a bucket with the answers to it: sums for each document of each block; documents pass through."""
+def _discounts(totals: list[int]) -> tuple[float, float]:
+    """Of the parent and of the contexts, from the numbers of dishes seen once and twice."""
+    once_twice = (totals[3:5], totals[5:7])
+    return tuple(min(0.95, max(0.05, one / max(1, one + 2 * two))) for one, two in once_twice)
+
+
+#: Bytes before the tables of a part: scale, its customers and tables in the parent, and the totals of the whole.
+_HEADER = 80
+
+
+class Restaurants:
+    """The contexts' dishes in a bucket, with what the exchanges say of the whole restaurants."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, parts: int, strength: float):
+        self.bucket = left.column("bucket")[0].as_py()
+        self.x = x = Bucket(left)
+        self.order, self.cuts = x.by_part(parts)
+        returned = right.to_pylist()
+        answers, told = ({r["block"]: r for r in returned if r["kind"] == kind} for kind in (2, 6))
+
+        def whole(rows: dict, column: str) -> np.ndarray:
+            out = np.empty(len(x.words))
+            out[self.order] = np.concatenate([_from_counts(rows[p][column]) for p in sorted(rows)] or [np.zeros(0)])
+            return out
+
+        self.start = None
+        if told:  # the sums after a round
+            parts_of = [np.frombuffer(zlib.decompress(told[p]["a"])[:_HEADER], dtype="<i8") for p in sorted(told)]
+            self.totals = next(h[3:] for h in parts_of if h[0]).tolist()
+            scale = max(int(h[0]) for h in parts_of)
+            pairs, seated = (sum(int(h[k]) for h in parts_of) / scale for k in (1, 2))
+            self.tables = np.empty(len(x.words))
+            self.tables[self.order] = np.concatenate([_from_planes(zlib.decompress(told[p]["a"])[_HEADER:], "<i8") for p in sorted(told)]) / scale
+            contexts, tables = (whole(told, c) / scale for c in "bc")
+            self.customers, self.followers = (whole(told, c) for c in "de")
+            self.start = _from_counts(next(r["a"] for r in returned if r["kind"] == 5)) / scale
+        else:  # at first one table a dish on both levels
+            self.totals = [int(v) for v in next(r["a"] for r in returned if r["kind"] == 3).split(b",")]
+            self.customers, contexts, self.followers = (whole(answers, c) for c in "abc")
+            self.tables, tables = self.followers, (contexts > 0).astype(float)
+            pairs, seated = self.totals[2], self.totals[1]
+        self.tokens, types = self.totals[:2]
+        self.norm = math.log10(self.tokens + 0.5 * (types + 1))
+        d0, self.d = _discounts(self.totals)
+        smoothed = (self.customers + 0.5) / (self.tokens + 0.5 * (types + 1))
+        self.iu, self.iw = np.searchsorted(x.words, x.u), np.searchsorted(x.words, x.w)
+        self.used = np.flatnonzero(x.count > 0)
+        self.parent = (np.maximum(contexts - d0 * tables, 0) + (strength + d0 * seated) * smoothed) / (strength + pairs)
+
+
+def _seated(parts: int, strength: float, sweeps: int, kept: int, turn: int):
+    """Cells of a bucket with the answers to it: the tables of its dishes (kind 5, ``kept`` times their means) and, per part
+    of the words, their sums by context and by dish (kind 4)."""
+
+    def seated(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table([])
+        r = Restaurants(left, right, parts, strength)
+        x, iu, iw, used = r.x, r.iu[r.used], r.iw[r.used], r.used
+        rng = np.random.default_rng([7, turn, r.bucket])
+        mean = sample_tables(
+            x.count[used], iu, r.tables, r.parent[iw], r.d, strength, sweeps, kept, rng, r.start
+        )
+        times = np.rint(mean * kept).astype(np.int64)
+        out = [(r.bucket, r.bucket, 5, _counts(times), b"", b"", b"", b"")]
+        line = np.array(r.totals, dtype="<i8").tobytes()
+        sums = [np.bincount(i, times, minlength=len(x.words))[r.order] for i in (iu, iw)]
+        for p in np.flatnonzero(np.diff(r.cuts)).tolist():
+            part = slice(r.cuts[p], r.cuts[p + 1])
+            out.append((p, r.bucket, 4, *(_counts(v[part]) for v in sums), line, b"", b""))
+        return _table(out)
+
+    return seated
+
+
+def _parents(parts: int, strength: float, sweeps: int, kept: int, scale: int, turn: int):
+    """Per part of the words: tables by context over all buckets, and the parent's customers (the contexts' tables of a
+    dish) and tables, sampled, ``scale`` times each, sent to each bucket in its order with the part's totals
+    (kind 6). The buckets' own tables (kind 5) pass through, so that a bucket's work is done once."""
+
+    def parents(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table([])
+        part = left.column("bucket")[0].as_py()
+        asked, returned = left.to_pylist(), right.to_pylist()
+        lists = [_from_six(r["a"]) for r in asked]
+        words, where = np.unique(np.concatenate(lists), return_inverse=True)
+        sums = {r["block"]: r for r in returned if r["kind"] == 4}
+        added = lambda raws: np.bincount(where, np.concatenate([_from_counts(x) for x in raws]), minlength=len(words))
+        customers, followers = (added([r[c] for r in asked]) for c in "bd")
+        none = _counts(np.zeros(0))
+        tables, dishes = (added([sums[r["block"]][c] if r["block"] in sums else none for r in asked]) for c in "ab")
+        totals = np.frombuffer(next((r["c"] for r in sums.values()), bytes(_HEADER - 24)), dtype="<i8")
+        tokens, types = totals[:2].tolist()
+        count = np.rint(dishes / scale).astype(np.int64)
+        used = np.flatnonzero(count > 0)
+        seated = np.zeros(len(words))
+        if len(used):
+            base = (customers[used] + 0.5) / (tokens + 0.5 * (types + 1))
+            rng = np.random.default_rng([11, turn, part])
+            whole = np.array([float(types)])
+            seated[used] = sample_tables(count[used], np.zeros(len(used), np.int64), whole, base, _discounts(totals)[0], strength, sweeps, kept, rng)
+        seated = np.minimum(np.rint(seated * scale), dishes)
+        header = np.array([scale if sums else 0, dishes.sum(), seated.sum(), *totals], dtype="<i8").tobytes()
+        mine, at = {}, 0
+        for r, own in zip(asked, lists):
+            mine[r["block"]] = where[at : at + len(own)]
+            at += len(own)
+        # Every bucket is told the part's totals.
+        out = [tuple(r[c] for c in _NAMES) for r in returned if r["kind"] == 5]
+        for bucket in range(parts):
+            at = mine.get(bucket, where[:0])
+            held = zlib.compress(header + _planes(tables[at], "<i8"), 1)
+            out.append((bucket, part, 6, held, *(_counts(v[at]) for v in (dishes, seated, customers, followers))))
+        return _table(out)
+
+    return parents
+
+
+def _scores(parts: int, strength: float):
+    """Cells of a bucket with all tables: sums for each document of each block; documents pass through."""
 
     def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:  # a bucket without text
             return _table([])
         out = [tuple(r[c] for c in _NAMES) for r in left.filter(pc.equal(left.column("kind"), 1)).to_pylist()]
-        returned = right.to_pylist()
-        answers = {r["block"]: r for r in returned if r["kind"] == 2}
-        total = next(r["a"] for r in returned if r["kind"] == 3)
-        tokens, types, pairs, root1, root2, pair1, pair2 = map(int, total.split(b","))
-        x = Bucket(left)
-        order, _ = x.by_part(parts)
-        customers, contexts, followers = np.empty((3, len(x.words)))
-        for v, c in ((customers, "a"), (contexts, "b"), (followers, "c")):
-            v[order] = np.concatenate([_from_planes(answers[p][c], "<i8") for p in sorted(answers)] or [np.zeros(0)])
-        d0 = min(0.95, max(0.05, root1 / max(1, root1 + 2 * root2)))
-        d = min(0.95, max(0.05, pair1 / max(1, pair1 + 2 * pair2)))
-        norm = math.log10(tokens + 0.5 * (types + 1))
-        smoothed = (customers + 0.5) / (tokens + 0.5 * (types + 1))
-        parent = (np.maximum(contexts - d0, 0) + (strength + d0 * types) * smoothed) / (strength + pairs)
-        iu, iw = np.searchsorted(x.words, x.u), np.searchsorted(x.words, x.w)
-        used = np.flatnonzero(x.count > 0)
-        rng = np.random.default_rng([7, left.column("bucket")[0].as_py()])
+        r = Restaurants(left, right, parts, strength)
+        x, iu, iw, customers = r.x, r.iu, r.iw, r.customers
         tables = np.zeros(len(x.count))
-        tables[used] = sample_tables(x.count[used], iu[used], followers, parent[iw[used]], d, strength, sweeps, kept, rng)
-        here = np.bincount(iu[used], minlength=len(x.words))
-        more = np.bincount(iu[used], tables[used], minlength=len(x.words))
-        all_tables = np.minimum(customers, followers * np.where(here > 0, more / np.maximum(here, 1), 1.0))
+        tables[r.used] = r.start
         n = customers[iu]
-        back = np.where(n > 0, (strength + d * all_tables[iu]) / (strength + n), 1.0)
-        p = np.maximum(x.count - d * tables, 0) / (strength + n) + back * parent[iw]
+        back = np.where(n > 0, (strength + r.d * r.tables[iu]) / (strength + n), 1.0)
+        p = np.maximum(x.count - r.d * tables, 0) / (strength + n) + back * r.parent[iw]
         entry = [v[x.pair] * x.number for v in (np.log10(p), np.log10(customers[iw] + 0.5), (customers[iw] > 0).astype(float))]
-        docs = np.array([len(r["e"]) for r in x.cells])
+        docs = np.array([len(c["e"]) for c in x.cells])
         place = (np.cumsum(docs) - docs)[x.row] + x.doc if len(docs) else x.doc
         sums = [np.bincount(place, v, minlength=int(docs.sum())) for v in entry]
         present = np.bincount(place, minlength=int(docs.sum())) > 0
         at = 0
-        for r, size in zip(x.cells, docs.tolist()):
+        for c, size in zip(x.cells, docs.tolist()):
             part = slice(at, at + size)
             at += size
             some = present[part]
             score, base, known = (s[part][some] for s in sums)
-            own = np.packbits(some).tobytes(), score.astype("<f4").tobytes(), base.astype("<f8").tobytes(), _planes(known, "<u4")
-            out.append((r["bucket"], r["block"], 0, *own, np.array([norm, tokens], dtype="<f8").tobytes()))
+            own = np.packbits(some).tobytes(), score.astype("<f8").tobytes(), base.astype("<f8").tobytes(), _planes(known, "<u4")
+            out.append((c["bucket"], c["block"], 0, *own, np.array([r.norm, r.tokens], dtype="<f8").tobytes()))
         return _table(out)
 
     return scores
@@ -384,7 +504,7 @@ def _documents(rows: pa.Table) -> pa.Table:
     score, base, known = np.zeros((3, len(n)))
     for r in rest:
         at = np.flatnonzero(np.unpackbits(np.frombuffer(r["a"], dtype=np.uint8), count=len(n)))
-        score[at] += np.frombuffer(r["b"], dtype="<f4")
+        score[at] += np.frombuffer(r["b"], dtype="<f8")
         base[at] += np.frombuffer(r["c"], dtype="<f8")
         known[at] += _from_planes(r["d"], "<u4")
     norm, tokens = np.frombuffer(rest[0]["e"], dtype="<f8")
@@ -393,11 +513,14 @@ def _documents(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
-def score_texts(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text: str = "text", strength: float = 1.0, sweeps: int = 8, kept: int = 4) -> DataFrame:
+def score_texts(
+    docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text: str = "text", strength: float = 1.0, sweeps: int = 8, kept: int = 4, rounds: int = 2
+) -> DataFrame:
     """``RESULT`` for every document: the model is learnt from those with ``held_out`` false and scores all.
 
     Tokens are the words of the text (A-Z lower-cased) and one end. base_score is the log10 probability by smoothed
-    word counts, score by the model. Discounts come from the numbers of pairs (and of words' contexts) seen once and
+    word counts, score by the model. In each of ``rounds`` the contexts' tables are sampled by an equal share of the ``sweeps``
+    and the parent's by ``sweeps`` of its own; the last ``kept`` sweeps are averaged (no more than a round has). Discounts come from the numbers of pairs (and of words' contexts) seen once and
     twice. Null texts are empty: one token. A null ``held_out`` counts as false, null keys stay null, repeated rows are
     documents of their own. Without training documents both scores are 0 for every text. An empty table gives no rows.
     """
@@ -414,6 +537,12 @@ def score_texts(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id"
     totals = totals.select(
         F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(-1).cast("bigint").alias("block"), F.lit(3).alias("kind"), "a", *(empty.alias(c) for c in "bcde")
     )
-    answered = answers.filter("kind = 2").unionByName(totals)
-    scored = cells.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(_scores(buckets, strength, sweeps, kept), PACKED)
+    known = answers.filter("kind = 2").unionByName(totals)
+    for turn in range(rounds):
+        # Only the last round averages; the others hand on their last state.
+        share = max(1, sweeps // rounds)
+        scale = min(kept, share) if turn == rounds - 1 else 1
+        seated = cells.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_seated(buckets, strength, share, scale, turn), PACKED)
+        known = asked.groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_parents(buckets, strength, sweeps, kept, scale, turn), PACKED)
+    scored = cells.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_scores(buckets, strength), PACKED)
     return scored.groupBy("block").applyInArrow(_documents, RESULT)

@@ -119,3 +119,76 @@ def test_odd_rows(spark, odd_docs):
     nothing = lmscore.score_texts(odd_docs.selectExpr("*", "true AS held_out")).collect()
     assert all(r["train_tokens"] == r["n_known"] == 0 and r["base_score"] == pytest.approx(0, abs=1e-9) == r["score"] for r in nothing)
     assert lmscore.score_texts(odd_docs.selectExpr("*", "true AS held_out").filter("false")).count() == 0
+
+
+def seat_by_seat(train, sweeps, kept, d0, d, s, base, rng):
+    """Mean probabilities of the two-level Pitman-Yor model, its customers taken out and seated again one by one."""
+    rooms, top = defaultdict(list), defaultdict(list)  # (context, word) or word: sizes of its tables
+    n, tables, top_n, top_tables = Counter(), Counter(), 0, 0
+
+    def parent(w):
+        return (sum(top[w]) - d0 * len(top[w]) + (s + d0 * top_tables) * base(w)) / (s + top_n)
+
+    def p(u, w):
+        own = rooms[u, w]
+        return (sum(own) - d * len(own) + (s + d * tables[u]) * parent(w)) / (s + n[u])
+
+    def choose(sizes, discount, fresh):
+        return rng.choices(range(len(sizes) + 1), [*(x - discount for x in sizes), fresh])[0]
+
+    def change(u, w, sign):
+        nonlocal top_n, top_tables
+        own, above = rooms[u, w], top[w]
+        k = choose(own, d, (s + d * tables[u]) * parent(w)) if sign > 0 else rng.choices(range(len(own)), own)[0]
+        n[u] += sign
+        if k < len(own):
+            own[k] += sign
+            if own[k]:
+                return
+            own.pop(k)
+        else:
+            own.append(1)
+        tables[u] += sign
+        k = choose(above, d0, (s + d0 * top_tables) * base(w)) if sign > 0 else rng.choices(range(len(above)), above)[0]
+        top_n += sign
+        if k == len(above):
+            above.append(1)
+            top_tables += 1
+            return
+        above[k] += sign
+        if not above[k]:
+            above.pop(k)
+            top_tables -= 1
+
+    names = [pair for tokens in train for pair in zip(["", *tokens], tokens)]
+    for sweep in range(sweeps):
+        for u, w in names:
+            if sweep:
+                change(u, w, -1)
+            change(u, w, 1)
+        if sweep >= sweeps - kept:
+            yield p
+
+
+def test_against_seating_one_by_one(spark, monkeypatch):
+    """A context with very many dishes, spread over many buckets, is one restaurant below a sampled parent."""
+    draw = np.random.default_rng(3)
+    follower = (draw.pareto(0.7, 4_800) * 3).astype(int) % 600
+    train = [" ".join(f"hot f{x}" for x in follower[i : i + 60]) for i in range(0, 4_800, 60)]
+    asked = ["hot", "hot never", "hot f599", "hot f598 hot f597", *(f"hot f{x}" for x in range(0, 300, 10))]
+    lists = [[*t.split(), ""] for t in train]
+    _, base, word, total = model(lists, lambda key, c: 1)
+    pairs = Counter(pair for x in lists for pair in zip(["", *x], x))
+    contexts = Counter(w for _, w in pairs)
+    share = lambda values: min(0.95, max(0.05, sum(x == 1 for x in values) / max(1, sum(x == 1 for x in values) + 2 * sum(x == 2 for x in values))))
+    sums = np.zeros(len(asked))
+    for p in seat_by_seat(lists, 12, 6, share(contexts.values()), share(pairs.values()), 1.0, base, random.Random(5)):
+        for i, t in enumerate(asked):
+            tokens = [*t.split(), ""]
+            sums[i] += sum(math.log10(p(u, w)) for u, w in zip(["", *tokens], tokens)) / 6
+    rows = [(i, t, False) for i, t in enumerate(train)] + [(10_000 + i, t, True) for i, t in enumerate(asked)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean").repartition(4)
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 2_000)
+    got = {r["doc_id"]: r["score"] for r in lmscore.score_texts(df).filter("held_out").collect()}
+    off = np.array([got[10_000 + i] for i in range(len(asked))]) - sums
+    assert abs(off[:4]).max() < 0.2 and abs(off.mean()) < 0.12, off.round(3).tolist()
