@@ -36,11 +36,15 @@ HASHED_BYTES = 1 << 18
 #: Words are told apart by 48 bits of a hash.
 _WORD = np.uint64((1 << 48) - 1)
 END = np.uint64(1)
+#: Entries of a block are sorted as one number if they fit into so many bits.
+KEY_BITS = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[32, *range(9, 14)]] = True
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+#: Documents whose sums over the buckets of a task are held at once (25 bytes each).
+HELD_DOCS = 1 << 20
 #: Up to so many customers of a dish the number of tables is drawn from its exact conditional.
 EXACT = 512
 
@@ -119,6 +123,25 @@ def _from_counts(raw: bytes) -> np.ndarray:
     return _from_planes(zlib.decompress(raw), "<i8")
 
 
+def _gaps(words: np.ndarray) -> bytes:
+    """Hashes in order, each by its distance from the one before; of most distances the high bytes say little."""
+    raw = _planes(np.diff(words, prepend=np.uint64(0)), "<u8")
+    return raw[: len(raw) // 2] + zlib.compress(raw[len(raw) // 2 :], 1) + len(words).to_bytes(4, "little")
+
+
+def _from_gaps(raw: bytes) -> np.ndarray:
+    low = 4 * int.from_bytes(raw[-4:], "little")
+    return np.cumsum(_from_planes(raw[:low] + zlib.decompress(raw[low:-4]), "<u8"), dtype=np.uint64)
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes()
+
+
+def _from_bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=n).astype(bool)
+
+
 def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _mix(u * _STEP + w)
 
@@ -133,44 +156,74 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
 
 
+def _ordered(bucket: np.ndarray, u: np.ndarray, w: np.ndarray, doc: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """The distinct quadruples in order, and how often each occurs; each number is below that of ``sizes``."""
+    columns = [bucket, u, w, doc]
+    bits = [max(1, int(x - 1).bit_length()) for x in sizes]
+    if sum(bits) <= KEY_BITS:  # as one number, which is sorted by value
+        key = columns[0].astype(np.uint64)
+        for column, width in zip(columns[1:], bits[1:]):
+            key <<= np.uint64(width)
+            key |= column.astype(np.uint64)
+        key.sort()
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        number = np.diff(at, append=len(key))
+        key = key[at]
+        out = []
+        for width in bits[::-1]:
+            out.append((key & np.uint64((1 << width) - 1)).astype(np.int64))
+            key >>= np.uint64(width)
+        return [*out[::-1], number]
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    at = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+    return [*(c[at].astype(np.int64) for c in columns), np.diff(at, append=len(order))]
+
+
 def _cells(blocks: int):
     """Map side: per block and bucket the distinct (context, word, document) with their numbers (kind 0), and per
-    block its documents (kind 1)."""
+    block its documents (kind 1).
+
+    A cell names each of its words once, in order, and then by its place. Documents to learn from come first in a block,
+    so a cell holds how many they are and no flag for each."""
 
     def block_rows(ids: list, texts: list[bytes], held: list[bool], block: int) -> list[tuple]:
-        w, n = _hashed(texts)
-        u = np.concatenate(([END], w[:-1]))  # the end of a text is the context of the next one's first word
-        bucket = ((_pair(u, w) >> np.uint64(20)) % np.uint64(blocks)).astype(np.int32)
-        last = w << np.uint64(16)
-        del w
-        last |= np.repeat(np.arange(len(n), dtype=np.uint64), n)
-        order = np.lexsort((last, u, bucket))
-        bucket, u, last = bucket[order], u[order], last[order]
-        del order
-        new = np.ones(len(u), dtype=bool)
-        new[1:] = (last[1:] != last[:-1]) | (u[1:] != u[:-1])
-        at = np.flatnonzero(new)
-        number = np.diff(at, append=len(u)).astype("<u4")
-        bucket, u, last = bucket[at], u[at], last[at]
-        del at, new
+        hashed, n = _hashed(texts)
+        words, w = np.unique(hashed, return_inverse=True)
+        del hashed
+        w = w.astype(np.int32)
+        u = np.concatenate((np.zeros(1, dtype=np.int32), w[:-1]))  # the end of a text, the smallest word, is the context of the next one's first word
+        bucket = (_pair(words[u], words[w]) >> np.uint64(20)) % np.uint64(blocks)
+        turn = np.argsort(np.array(held, dtype=bool), kind="stable")
+        place = np.empty(len(n), dtype=np.int64)
+        place[turn] = np.arange(len(n))
+        bucket, u, w, doc, number = _ordered(bucket, u, w, np.repeat(place, n), [blocks, len(words), len(words), len(n)])
         cuts = np.searchsorted(bucket, np.arange(blocks + 1))
-        flags = np.array(held, dtype=np.uint8).tobytes()
+        trained = len(n) - sum(held)
+        at = np.empty(len(words), dtype=np.int32)
         rows = []
         for i in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[i], cuts[i + 1])
-            own = u[part]
-            word = last[part] >> np.uint64(16)
+            own, word = u[part], w[part]
             starts = np.ones(len(own), dtype=bool)
             starts[1:] = (own[1:] != own[:-1]) | (word[1:] != word[:-1])
             pairs = np.flatnonzero(starts)
-            of_pairs = own[pairs]
+            of_pairs, word = own[pairs], word[pairs]
             runs = np.flatnonzero(np.concatenate(([True], of_pairs[1:] != of_pairs[:-1])))
-            heads = _six(of_pairs[runs]) + _planes(np.diff(runs, append=len(pairs)), "<u4")
-            followers = _six(word[pairs]) + _planes(np.diff(pairs, append=len(own)), "<u4")
-            rows.append((i, block, 0, heads, followers, _planes(last[part] & np.uint64(0xFFFF), "<u2"), _planes(number[part], "<u4"), flags))
-        keys = pa.array(ids, pa.int64())
-        present = np.array([x is not None for x in ids], dtype=np.uint8).tobytes()
-        rows.append((block % blocks, block, 1, keys.fill_null(0).to_numpy().astype("<i8").tobytes(), n.astype("<i8").tobytes(), present, b"", flags))
+            named = np.sort(np.concatenate((of_pairs[runs], word)))
+            named = named[np.flatnonzero(np.diff(named, prepend=-1))]
+            at[named] = np.arange(len(named))
+            context = np.zeros(len(named), dtype=bool)
+            context[at[of_pairs[runs]]] = True
+            heads = _bits(context) + _planes(np.diff(runs, append=len(pairs)), "<u4")
+            followers = _planes(at[word], "<u4") + _planes(np.diff(pairs, append=len(own)), "<u4")
+            entries = zlib.compress(_planes(doc[part], "<u2") + _planes(number[part], "<u4"), 1)
+            sizes = np.array([len(own), len(n), trained], dtype="<i8").tobytes()
+            rows.append((i, block, 0, _gaps(words[named]), heads, followers, entries, sizes))
+        keys = pa.array(ids, pa.int64()).take(pa.array(turn))
+        present = np.array(keys.is_valid(), dtype=np.uint8).tobytes()
+        flags = np.array(held, dtype=np.uint8)[turn].tobytes()
+        rows.append((block % blocks, block, 1, keys.fill_null(0).to_numpy().astype("<i8").tobytes(), n[turn].astype("<i8").tobytes(), present, b"", flags))
         return rows
 
     def cells(batches):
@@ -198,54 +251,93 @@ class Bucket:
 
     def __init__(self, rows: pa.Table):
         self.cells = sorted(rows.filter(pc.equal(rows.column("kind"), 0)).to_pylist(), key=lambda r: r["block"])
-        entries = sum(len(r["c"]) // 2 for r in self.cells)
-        u, w = np.empty((2, entries), dtype=np.uint64)
+        sizes = np.array([np.frombuffer(r["e"], dtype="<i8") for r in self.cells], dtype=np.int64).reshape(-1, 3)
+        self.docs = sizes[:, 1]
+        entries = int(sizes[:, 0].sum())
+        named = [_from_gaps(r["a"]) for r in self.cells]
+        self.words, code = np.unique(np.concatenate(named or [np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+        code = code.astype(np.int32)
+        key = np.empty(entries, dtype=np.uint64)
+        u, w = np.empty((2, entries), dtype=np.int32)
         doc, number, row = np.empty(entries, dtype=np.uint16), np.empty(entries, dtype=np.uint32), np.empty(entries, dtype=np.int32)
         trained = np.zeros(entries, dtype=np.uint32)
-        at = 0
-        for k, r in enumerate(self.cells):
-            part = slice(at, at := at + len(r["c"]) // 2)
-            runs, pairs = len(r["a"]) // 10, len(r["b"]) // 10
-            held = _from_planes(r["b"][6 * pairs :], "<u4")
-            u[part] = np.repeat(np.repeat(_from_six(r["a"][: 6 * runs]), _from_planes(r["a"][6 * runs :], "<u4")), held)
-            w[part] = np.repeat(_from_six(r["b"][: 6 * pairs]), held)
-            doc[part], number[part], row[part] = _from_planes(r["c"], "<u2"), _from_planes(r["d"], "<u4"), k
-            trained[part] = np.where(np.frombuffer(r["e"], dtype=np.uint8)[doc[part]] == 0, number[part], 0)
-        key = _pair(u, w)
+        at = first = 0
+        for k, (r, words, (size, _, learnt)) in enumerate(zip(self.cells, named, sizes.tolist())):
+            part = slice(at, at := at + size)
+            codes = code[first : (first := first + len(words))]
+            bits = -(-len(words) // 8)
+            context = np.flatnonzero(_from_bits(r["b"][:bits], len(words)))
+            of_pairs = np.repeat(context, _from_planes(r["b"][bits:], "<u4"))
+            word = _from_planes(r["c"][: 4 * len(of_pairs)], "<u4")
+            held = _from_planes(r["c"][4 * len(of_pairs) :], "<u4")
+            key[part] = np.repeat(_pair(words[of_pairs], words[word]), held)
+            u[part], w[part] = np.repeat(codes[of_pairs], held), np.repeat(codes[word], held)
+            raw = zlib.decompress(r["d"])
+            doc[part], number[part], row[part] = _from_planes(raw[: 2 * size], "<u2"), _from_planes(raw[2 * size :], "<u4"), k
+            trained[part] = np.where(doc[part] < learnt, number[part], 0)
+        del named, code
         order = np.argsort(key)
         key = key[order]
         starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
         del key
         self.doc, self.number, self.row = doc[order], number[order], row[order]
-        self.u, self.w = u[order[starts]], w[order[starts]]
+        # Places of the contexts and words among ``words``.
+        self.iu, self.iw = u[order[starts]], w[order[starts]]
         del u, w
         self.count = np.add.reduceat(trained[order], starts, dtype=np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
         self.pair = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=entries))
-        self.words = np.unique(np.concatenate([self.u, self.w]))
 
-    def by_part(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words in order of (part, word), and where each part begins."""
-        part = (_mix(self.words) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(parts + 1))
+        self.is_context, self.is_dish = np.zeros((2, len(self.words)), dtype=bool)
+        self.is_context[self.iu] = True
+        self.is_dish[self.iw] = True
+
+    def cuts(self, parts: int) -> np.ndarray:
+        """Where each part of the words begins: a part is a range of hashes."""
+        return np.searchsorted(self.words, np.array([(i << 48) // parts for i in range(parts + 1)], dtype=np.uint64))
+
+
+class Asked:
+    """What buckets ask of a part of the words: which words, and which of them they have as contexts and as dishes."""
+
+    def __init__(self, rows: list[dict]):
+        lists = [_from_gaps(r["a"]) for r in rows]
+        marks = [(r["e"][16:], len(x)) for r, x in zip(rows, lists)]
+        self.is_context = [_from_bits(raw[: -(-n // 8)], n) for raw, n in marks]
+        self.is_dish = [_from_bits(raw[-(-n // 8) :], n) for raw, n in marks]
+        self.words, self.where = np.unique(np.concatenate(lists), return_inverse=True)
+        ends = np.cumsum([len(x) for x in lists])
+        self.own = [self.where[end - len(x) : end] for end, x in zip(ends, lists)]
+        self._of_contexts, self._of_dishes = (self.where[np.concatenate(m)] for m in (self.is_context, self.is_dish))
+
+    def _sums(self, where: np.ndarray, raws: list[bytes]) -> np.ndarray:
+        return np.bincount(where, np.concatenate([_from_counts(x) for x in raws]), minlength=len(self.words))
+
+    def by_context(self, raws: list[bytes]) -> np.ndarray:
+        return self._sums(self._of_contexts, raws)
+
+    def by_dish(self, raws: list[bytes]) -> np.ndarray:
+        return self._sums(self._of_dishes, raws)
 
 
 def _statistics(parts: int):
-    """Per bucket and part of the words: the words with their customers, contexts and followers in this bucket."""
+    """Per bucket and part of the words: the words with their customers, contexts (of dishes) and followers (of contexts)
+    in this bucket."""
 
     def statistics(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
         x = Bucket(rows)
-        iu, iw = np.searchsorted(x.words, x.u), np.searchsorted(x.words, x.w)
+        iu, iw = x.iu, x.iw
         seen = (x.count > 0).astype(float)
         n = len(x.words)
         numbers = [np.bincount(i, v, minlength=n) for i, v in ((iw, x.count), (iw, seen), (iu, seen))]
-        order, cuts = x.by_part(parts)
+        cuts = x.cuts(parts)
         ones = np.array([(x.count == 1).sum(), (x.count == 2).sum()], dtype="<i8").tobytes()
         out = []
-        for p in {*np.flatnonzero(np.diff(cuts)).tolist(), bucket % parts}:
-            at = order[cuts[p] : cuts[p + 1]]
-            out.append((p, bucket, 0, _six(x.words[at]), *(_counts(v[at]) for v in numbers), ones if p == bucket % parts else b""))
+        for p in sorted({*np.flatnonzero(np.diff(cuts)).tolist(), bucket % parts}):
+            part = slice(cuts[p], cuts[p + 1])
+            context, dish = x.is_context[part], x.is_dish[part]
+            counts = (_counts(v[part][m]) for v, m in zip(numbers, (dish, dish, context)))
+            out.append((p, bucket, 0, _gaps(x.words[part]), *counts, (ones if p == bucket % parts else bytes(16)) + _bits(context) + _bits(dish)))
         return _table(out)
 
     return statistics
@@ -256,18 +348,13 @@ def _answers(rows: pa.Table) -> pa.Table:
     totals (kind 3)."""
     part = rows.column("bucket")[0].as_py()
     asked = rows.to_pylist()
-    lists = [_from_six(r["a"]) for r in asked]
-    words, where = np.unique(np.concatenate(lists), return_inverse=True)
-    sums = [
-        np.bincount(where, np.concatenate([_from_counts(r[c]) for r in asked]), minlength=len(words)).astype("<i8") for c in "bcd"
-    ]
-    out, at = [], 0
-    for r, own in zip(asked, lists):
-        mine = where[at : at + len(own)]
-        at += len(own)
-        out.append((r["block"], part, 2, *(_counts(s[mine]) for s in sums), b"", b""))
-    customers, contexts, _ = sums
-    ones = sum((np.frombuffer(r["e"], dtype="<i8") for r in asked if r["e"]), np.zeros(2, dtype=np.int64))
+    x = Asked(asked)
+    customers, contexts = (x.by_dish([r[c] for r in asked]).astype("<i8") for c in "bc")
+    followers = x.by_context([r["d"] for r in asked]).astype("<i8")
+    out = []
+    for r, own, context, dish in zip(asked, x.own, x.is_context, x.is_dish):
+        out.append((r["block"], part, 2, _counts(customers[own]), _counts(contexts[own[dish]]), _counts(followers[own[context]]), b"", b""))
+    ones = sum((np.frombuffer(r["e"][:16], dtype="<i8") for r in asked), np.zeros(2, dtype=np.int64))
     totals = [customers.sum(), (customers > 0).sum(), contexts.sum(), (contexts == 1).sum(), (contexts == 2).sum(), *ones]
     out.append((-1, part, 3, ",".join(str(int(v)) for v in totals).encode(), b"", b"", b"", b""))
     return _table(out)
@@ -314,7 +401,7 @@ def sample_tables(
             while a < len(rows):
                 small = int(min(count[rows[a]], EXACT))
                 b = a + int(np.searchsorted(count[rows[a:]], small + small // 8, side="right")) if small < EXACT else len(rows)
-                b = min(b, a + max(1, 2_000_000 // (small + small // 8 + 1)))
+                b = min(b, a + max(1, 500_000 // (small + small // 8 + 1)))
                 i = rows[a:b]
                 c = np.minimum(count[i], EXACT)
                 most = int(c.max())
@@ -359,36 +446,40 @@ class Restaurants:
     def __init__(self, left: pa.Table, right: pa.Table, parts: int, strength: float):
         self.bucket = left.column("bucket")[0].as_py()
         self.x = x = Bucket(left)
-        self.order, self.cuts = x.by_part(parts)
+        self.cuts = x.cuts(parts)
         returned = right.to_pylist()
         answers, told = ({r["block"]: r for r in returned if r["kind"] == kind} for kind in (2, 6))
 
-        def whole(rows: dict, column: str) -> np.ndarray:
-            out = np.empty(len(x.words))
-            out[self.order] = np.concatenate([_from_counts(rows[p][column]) for p in sorted(rows)] or [np.zeros(0)])
+        def whole(values: list[np.ndarray], among: np.ndarray) -> np.ndarray:
+            """What the parts say, of the words ``among``; 0 for the others, of which it is not asked."""
+            out = np.zeros(len(x.words))
+            out[among] = np.concatenate(values or [np.zeros(0)])
             return out
 
+        every = np.ones(len(x.words), dtype=bool)
+        said = lambda rows, column: [_from_counts(rows[p][column]) for p in sorted(rows)]
+
         self.start = None
         if told:  # the sums after a round
-            parts_of = [np.frombuffer(zlib.decompress(told[p]["a"])[:_HEADER], dtype="<i8") for p in sorted(told)]
+            held = [zlib.decompress(told[p]["a"]) for p in sorted(told)]
+            parts_of = [np.frombuffer(h[:_HEADER], dtype="<i8") for h in held]
             self.totals = next(h[3:] for h in parts_of if h[0]).tolist()
             scale = max(int(h[0]) for h in parts_of)
             pairs, seated = (sum(int(h[k]) for h in parts_of) / scale for k in (1, 2))
-            self.tables = np.empty(len(x.words))
-            self.tables[self.order] = np.concatenate([_from_planes(zlib.decompress(told[p]["a"])[_HEADER:], "<i8") for p in sorted(told)]) / scale
-            contexts, tables = (whole(told, c) / scale for c in "bc")
-            self.customers, self.followers = (whole(told, c) for c in "de")
+            self.tables = whole([_from_planes(h[_HEADER:], "<i8") for h in held], x.is_context) / scale
+            contexts, tables = (whole(said(told, c), x.is_dish) / scale for c in "bc")
+            self.customers = whole(said(told, "d"), every)
             self.start = _from_counts(next(r["a"] for r in returned if r["kind"] == 5)) / scale
         else:  # at first one table a dish on both levels
             self.totals = [int(v) for v in next(r["a"] for r in returned if r["kind"] == 3).split(b",")]
-            self.customers, contexts, self.followers = (whole(answers, c) for c in "abc")
-            self.tables, tables = self.followers, (contexts > 0).astype(float)
+            self.customers, contexts, self.tables = (whole(said(answers, c), m) for c, m in zip("abc", (every, x.is_dish, x.is_context)))
+            tables = (contexts > 0).astype(float)
             pairs, seated = self.totals[2], self.totals[1]
         self.tokens, types = self.totals[:2]
         self.norm = math.log10(self.tokens + 0.5 * (types + 1))
         d0, self.d = _discounts(self.totals)
         smoothed = (self.customers + 0.5) / (self.tokens + 0.5 * (types + 1))
-        self.iu, self.iw = np.searchsorted(x.words, x.u), np.searchsorted(x.words, x.w)
+        self.iu, self.iw = x.iu, x.iw
         self.used = np.flatnonzero(x.count > 0)
         self.parent = (np.maximum(contexts - d0 * tables, 0) + (strength + d0 * seated) * smoothed) / (strength + pairs)
 
@@ -409,10 +500,10 @@ def _seated(parts: int, strength: float, sweeps: int, kept: int, turn: int):
         times = np.rint(mean * kept).astype(np.int64)
         out = [(r.bucket, r.bucket, 5, _counts(times), b"", b"", b"", b"")]
         line = np.array(r.totals, dtype="<i8").tobytes()
-        sums = [np.bincount(i, times, minlength=len(x.words))[r.order] for i in (iu, iw)]
+        sums = [(np.bincount(i, times, minlength=len(x.words)), m) for i, m in ((iu, x.is_context), (iw, x.is_dish))]
         for p in np.flatnonzero(np.diff(r.cuts)).tolist():
             part = slice(r.cuts[p], r.cuts[p + 1])
-            out.append((p, r.bucket, 4, *(_counts(v[part]) for v in sums), line, b"", b""))
+            out.append((p, r.bucket, 4, *(_counts(v[part][m[part]]) for v, m in sums), line, b"", b""))
         return _table(out)
 
     return seated
@@ -428,18 +519,17 @@ def _parents(parts: int, strength: float, sweeps: int, kept: int, scale: int, tu
             return _table([])
         part = left.column("bucket")[0].as_py()
         asked, returned = left.to_pylist(), right.to_pylist()
-        lists = [_from_six(r["a"]) for r in asked]
-        words, where = np.unique(np.concatenate(lists), return_inverse=True)
+        x = Asked(asked)
         sums = {r["block"]: r for r in returned if r["kind"] == 4}
-        added = lambda raws: np.bincount(where, np.concatenate([_from_counts(x) for x in raws]), minlength=len(words))
-        customers, followers = (added([r[c] for r in asked]) for c in "bd")
+        customers = x.by_dish([r["b"] for r in asked])
         none = _counts(np.zeros(0))
-        tables, dishes = (added([sums[r["block"]][c] if r["block"] in sums else none for r in asked]) for c in "ab")
+        seen = [[sums[r["block"]][c] if r["block"] in sums else none for r in asked] for c in "ab"]
+        tables, dishes = x.by_context(seen[0]), x.by_dish(seen[1])
         totals = np.frombuffer(next((r["c"] for r in sums.values()), bytes(_HEADER - 24)), dtype="<i8")
         tokens, types = totals[:2].tolist()
         count = np.rint(dishes / scale).astype(np.int64)
         used = np.flatnonzero(count > 0)
-        seated = np.zeros(len(words))
+        seated = np.zeros(len(x.words))
         if len(used):
             base = (customers[used] + 0.5) / (tokens + 0.5 * (types + 1))
             rng = np.random.default_rng([11, turn, part])
@@ -447,16 +537,13 @@ def _parents(parts: int, strength: float, sweeps: int, kept: int, scale: int, tu
             seated[used] = sample_tables(count[used], np.zeros(len(used), np.int64), whole, base, _discounts(totals)[0], strength, sweeps, kept, rng)
         seated = np.minimum(np.rint(seated * scale), dishes)
         header = np.array([scale if sums else 0, dishes.sum(), seated.sum(), *totals], dtype="<i8").tobytes()
-        mine, at = {}, 0
-        for r, own in zip(asked, lists):
-            mine[r["block"]] = where[at : at + len(own)]
-            at += len(own)
+        mine = {r["block"]: (own, own[context], own[dish]) for r, own, context, dish in zip(asked, x.own, x.is_context, x.is_dish)}
         # Every bucket is told the part's totals.
         out = [tuple(r[c] for c in _NAMES) for r in returned if r["kind"] == 5]
         for bucket in range(parts):
-            at = mine.get(bucket, where[:0])
-            held = zlib.compress(header + _planes(tables[at], "<i8"), 1)
-            out.append((bucket, part, 6, held, *(_counts(v[at]) for v in (dishes, seated, customers, followers))))
+            own, context, dish = mine.get(bucket, [x.where[:0]] * 3)
+            held = zlib.compress(header + _planes(tables[context], "<i8"), 1)
+            out.append((bucket, part, 6, held, _counts(dishes[dish]), _counts(seated[dish]), _counts(customers[own]), b""))
         return _table(out)
 
     return parents
@@ -477,7 +564,7 @@ def _scores(parts: int, strength: float):
         back = np.where(n > 0, (strength + r.d * r.tables[iu]) / (strength + n), 1.0)
         p = np.maximum(x.count - r.d * tables, 0) / (strength + n) + back * r.parent[iw]
         entry = [v[x.pair] * x.number for v in (np.log10(p), np.log10(customers[iw] + 0.5), (customers[iw] > 0).astype(float))]
-        docs = np.array([len(c["e"]) for c in x.cells])
+        docs = x.docs
         place = (np.cumsum(docs) - docs)[x.row] + x.doc if len(docs) else x.doc
         sums = [np.bincount(place, v, minlength=int(docs.sum())) for v in entry]
         present = np.bincount(place, minlength=int(docs.sum())) > 0
@@ -487,13 +574,53 @@ def _scores(parts: int, strength: float):
             at += size
             some = present[part]
             score, base, known = (s[part][some] for s in sums)
-            own = np.packbits(some).tobytes(), score.astype("<f8").tobytes(), base.astype("<f8").tobytes(), _planes(known, "<u4")
-            out.append((c["bucket"], c["block"], 0, *own, np.array([r.norm, r.tokens], dtype="<f8").tobytes()))
+            own = _bits(some), _planes(score, "<f8"), _planes(base, "<f8"), _planes(known, "<u4")
+            out.append((c["bucket"], c["block"], 0, *own, np.array([r.norm, r.tokens, size], dtype="<f8").tobytes()))
         return _table(out)
 
     return scores
 
 
+class Sums:
+    """Sums of a block's documents over buckets: score, base and known words."""
+
+    def __init__(self, docs: int):
+        self.values, self.present = np.zeros((3, docs)), np.zeros(docs, dtype=bool)
+
+    def add(self, row: dict) -> None:
+        some = _from_bits(row["a"], len(self.present))
+        self.present |= some
+        for v, column, kind in zip(self.values, "bcd", ("<f8", "<f8", "<u4")):
+            v[some] += _from_planes(row[column], kind)
+
+
+def _together(batches):
+    """One row per block for the buckets of a task, as far as ``HELD_DOCS`` documents at once allow."""
+
+    def rows() -> pa.Table:
+        out = []
+        for block, (first, x) in held.items():
+            score, base, known = x.values[:, x.present]
+            out.append((first["bucket"], block, 0, _bits(x.present), _planes(score, "<f8"), _planes(base, "<f8"), _planes(known, "<u4"), first["e"]))
+        return _table(out)
+
+    held, size = {}, 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["kind"] == 1:
+                yield from _table([tuple(row[c] for c in _NAMES)]).to_batches()
+                continue
+            if row["block"] not in held:
+                docs = int(np.frombuffer(row["e"], dtype="<f8")[2])
+                if held and size + docs > HELD_DOCS:
+                    yield from rows().to_batches()
+                    held, size = {}, 0
+                held[row["block"]] = {k: row[k] for k in ("bucket", "e")}, Sums(docs)
+                size += docs
+            held[row["block"]][1].add(row)
+    yield from rows().to_batches()
+
+
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -501,13 +628,11 @@ def _documents(rows: pa.Table) -> pa.Table:
     """The sums of a block's documents over all buckets."""
     head, *rest = sorted(rows.to_pylist(), key=lambda r: (-r["kind"], r["bucket"]))
     n = np.frombuffer(head["b"], dtype="<i8")
-    score, base, known = np.zeros((3, len(n)))
+    sums = Sums(len(n))
     for r in rest:
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(r["a"], dtype=np.uint8), count=len(n)))
-        score[at] += np.frombuffer(r["b"], dtype="<f8")
-        base[at] += np.frombuffer(r["c"], dtype="<f8")
-        known[at] += _from_planes(r["d"], "<u4")
-    norm, tokens = np.frombuffer(rest[0]["e"], dtype="<f8")
+        sums.add(r)
+    score, base, known = sums.values
+    norm, tokens, _ = np.frombuffer(rest[0]["e"], dtype="<f8")
     keys = pa.array(np.frombuffer(head["a"], dtype="<i8"), mask=np.frombuffer(head["c"], dtype=np.uint8) == 0)
     columns = [keys, np.frombuffer(head["e"], dtype=np.uint8) > 0, n, known.astype(np.int64), np.full(len(n), int(tokens)), base - n * norm, score]
     return pa.Table.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in RESULT.split(", ")])
@@ -545,4 +670,5 @@ def score_texts(
         seated = cells.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_seated(buckets, strength, share, scale, turn), PACKED)
         known = asked.groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_parents(buckets, strength, sweeps, kept, scale, turn), PACKED)
     scored = cells.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_scores(buckets, strength), PACKED)
+    scored = scored.mapInArrow(_together, PACKED)
     return scored.groupBy("block").applyInArrow(_documents, RESULT)

@@ -1,8 +1,11 @@
 import math
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from brute import words
 
@@ -192,3 +195,56 @@ def test_against_seating_one_by_one(spark, monkeypatch):
     got = {r["doc_id"]: r["score"] for r in lmscore.score_texts(df).filter("held_out").collect()}
     off = np.array([got[10_000 + i] for i in range(len(asked))]) - sums
     assert abs(off[:4]).max() < 0.2 and abs(off.mean()) < 0.12, off.round(3).tolist()
+
+
+def cells_of(texts, held, buckets, monkeypatch):
+    monkeypatch.setattr(lmscore.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(held)], names=["k", "text", "held"])
+    return pa.Table.from_batches(list(lmscore._cells(buckets)(iter([batch]))))
+
+
+@pytest.mark.parametrize("key_bits", [64, 0])
+def test_cells_give_back_pairs(monkeypatch, key_bits):
+    """Also where the numbers of an entry do not fit into one."""
+    monkeypatch.setattr(lmscore, "KEY_BITS", key_bits)
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 300)
+    texts = corpus(True)
+    held = [i % 3 == 0 for i in range(len(texts))]
+    rows = cells_of(texts, held, 3, monkeypatch)
+    names = {h: t for text in texts for h, t in zip(lmscore._hashed([(text or "").encode()])[0].tolist(), [*words(text), ""])}
+    got, documents = Counter(), Counter()
+    for bucket in range(3):
+        x = lmscore.Bucket(rows.filter(pc.equal(rows["bucket"], bucket)))
+        for i, j, n in zip(x.iu.tolist(), x.iw.tolist(), x.count.tolist()):
+            got[names[int(x.words[i])], names[int(x.words[j])]] += n
+        assert x.is_context[x.iu].all() and x.is_dish[x.iw].all() and (x.is_context | x.is_dish).all()
+        documents.update(dict(enumerate(np.bincount(x.pair, x.number).astype(int).tolist())))
+    tokens = [[*words(t), ""] for t in texts]
+    want = Counter(p for t, h in zip(tokens, held) if not h for p in zip(["", *t], t))
+    assert +got == want and sum(documents.values()) == sum(map(len, tokens))
+
+
+def test_cells_name_a_word_once(monkeypatch):
+    """A word that many others follow and precede is sent with its place, no row holds a flag a document."""
+    texts = [f"common w{i} common v{i}" for i in range(3000)]
+    rows = cells_of(texts, [False] * len(texts), 1, monkeypatch)
+    rows = rows.filter(pc.equal(rows["kind"], 0))
+    assert rows.num_rows == 1 and len(rows["e"][0].as_py()) < 100
+    assert len(lmscore._from_gaps(rows["a"][0].as_py())) == 6002
+
+
+def test_sums_of_a_task_come_together(monkeypatch):
+    line = np.array([1.0, 9.0, 3.0]).tobytes()
+    row = lambda bucket, block, value: (
+        bucket, block, 0, lmscore._bits(np.array([True, False, True])), *[lmscore._planes(np.full(2, value), "<f8")] * 2, lmscore._planes(np.ones(2), "<u4"), line
+    )
+    given = lmscore._table([row(0, 5, -1.5), row(1, 5, -2.0), row(1, 6, -1.0), row(2, 5, -1.0)]).to_batches()
+    for most, n in ((lmscore.HELD_DOCS, 2), (3, 3)):
+        monkeypatch.setattr(lmscore, "HELD_DOCS", most)
+        out = pa.Table.from_batches(list(lmscore._together(given))).to_pylist()
+        assert len(out) == n
+        x = lmscore.Sums(3)
+        for r in out:
+            if r["block"] == 5:
+                x.add(r)
+        assert x.values.tolist() == [[-4.5, 0, -4.5], [-4.5, 0, -4.5], [3, 0, 3]] and x.present.tolist() == [True, False, True]
