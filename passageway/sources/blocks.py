@@ -29,7 +29,12 @@ _LEAVES = "block bigint, block_version bigint, n bigint, inside bigint, digest d
 
 def _append(df: DataFrame, path: str, *partitions: str) -> None:
     """Replace the partitions that occur in ``df``; those of a version are only ever written by that version."""
-    df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    _write(df.hint("rebalance", *partitions), path, *partitions)
+
+
+def _write(df: DataFrame, path: str, *partitions: str) -> None:
+    """``_append`` of rows of which a task holds few partitions, each of them whole."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def _under(spark: SparkSession, root: str, schema: str, folders: list[str]) -> DataFrame:
@@ -56,8 +61,23 @@ def _latest_leaves(leaves: DataFrame) -> DataFrame:
 
 def _digest() -> Column:
     """Of the documents of a group, whatever their order."""
-    row = F.xxhash64("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return F.sum(row.cast("decimal(38,0)"))
+    return F.sum(F.xxhash64("doc_id", "sha").cast("decimal(38,0)"))
+
+
+def _latest_documents(stored: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(collection, block, doc_id, text, sha, n, before): the latest upload of each document, its passages and those
+    before it in its block.
+
+    Texts are moved once: a block's uploads stand in order in one task, which also leaves a block's documents together.
+    """
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = stored.select("collection", "block", "doc_id", "version", text).withColumn("sha", F.sha2("text", 256))
+    order = Window.partitionBy("collection", "block").orderBy("doc_id", F.desc("version"), F.desc("sha"))
+    old = F.coalesce(F.lag("doc_id").over(order) == F.col("doc_id"), F.lit(False))
+    n = F.when(F.col("_old"), F.lit(0)).otherwise(chunk_count(F.length("text"), size, overlap))
+    counted = rows.withColumn("_old", old).withColumn("n", n.cast("bigint"))
+    above = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counted.withColumn("before", above).filter("NOT _old").drop("_old", "version")
 
 
 def rebuild_blocks(spark: SparkSession, out_dir: str, touched: DataFrame, version: int, size: int = 800, overlap: int = 400) -> DataFrame:
@@ -73,9 +93,7 @@ def rebuild_blocks(spark: SparkSession, out_dir: str, touched: DataFrame, versio
     families = sorted({(c, b >> BLOCK_BITS) for c, b in names})
     uploads, leaves = f"{out_dir}/uploads", f"{out_dir}/leaves"
     stored = _under(spark, uploads, _UPLOADS, [partition_path(spark, uploads, collection=c, block=b) for c, b in names])
-    latest = F.max_by(F.coalesce("text", F.lit("")), F.struct("version", F.sha2(F.coalesce("text", F.lit("")), 256)))
-    docs = stored.groupBy("collection", "block", "doc_id").agg(latest.alias("text"))
-    docs = materialize(docs.withColumn("n", chunk_count(F.length("text"), size, overlap)))
+    docs = materialize(_latest_documents(stored, size, overlap))
     current = materialize(_latest_leaves(_under(spark, leaves, _LEAVES, [partition_path(spark, leaves, collection=c, family=f) for c, f in families])))
 
     sums = docs.groupBy("collection", "block").agg(F.sum("n").alias("n"), _digest().alias("digest"))
@@ -86,11 +104,11 @@ def rebuild_blocks(spark: SparkSession, out_dir: str, touched: DataFrame, versio
         return changed.select("collection", "block", "n")
 
     cut = docs.join(broadcast_within(changed.select("collection", "block")), ["collection", "block"])
-    cut = cut.withColumn("before", before(["collection", "block"], "doc_id")).filter("n > 0")
-    cut = cut.select("collection", "block", "doc_id", "before", F.posexplode(pieces(F.col("n") - 1, size, overlap)).alias("pos", "text"))
+    cut = cut.filter("n > 0").select("collection", "block", "doc_id", "before", F.posexplode(pieces(F.col("n") - 1, size, overlap)).alias("pos", "text"))
     inside = F.col("before") + F.col("pos") + 1
     marked = cut.select("doc_id", "pos", inside.alias("inside"), "text", "collection", "block", F.lit(version).cast("bigint").alias("version"))
-    _append(marked, f"{out_dir}/passages", "collection", "block", "version")
+    # The documents of a block are together already, so passages, twice the text, are written where they are cut.
+    _write(marked, f"{out_dir}/passages", "collection", "block", "version")
 
     # Families of changed blocks get a new version of their leaves: at most 4,096 rows each.
     last = current.groupBy("collection", "family").agg(F.max("version").alias("_last"))

@@ -105,3 +105,13 @@ def test_stream_in_blocks(spark, tmp_path):
         assert contents(spark, out) == anew(spark, documents)
     with pytest.raises(ValueError):
         ingest.ingest_stream(ingest.read_uploads(spark, landing), out, progress, layout="rows")
+
+
+def test_texts_are_moved_once(spark):
+    """Latest uploads, their passages and what stands before them come from one shuffle of the texts."""
+    rows = [("a", 0, 1, 0, "old"), ("a", 0, 1, 2, "newest"), ("a", 0, 1, 1, "newer text"), ("a", 0, 2, 0, None), ("a", 0, 3, 1, "abc"), ("b", 1, 2, 0, "x")]
+    stored = spark.createDataFrame(rows, "collection string, block bigint, doc_id bigint, version bigint, text string")
+    docs = blocks._latest_documents(stored, 4, 2)
+    assert docs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = sorted((r.collection, r.block, r.doc_id, r.text, r.n, r.before) for r in docs.collect())
+    assert got == [("a", 0, 1, "newest", 2, 0), ("a", 0, 2, "", 0, 2), ("a", 0, 3, "abc", 1, 2), ("b", 1, 2, "x", 1, 0)]
