@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,13 @@ from pyspark.sql import functions as F
 
 #: Bytes of text for one bucket, and for one block of documents in a map task.
 BUCKET_BYTES = 8 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of text that are hashed at once (a longer text alone).
 HASHED_BYTES = 1 << 18
+#: Pairs that are dealt to buckets at once.
+STRETCH = 1 << 18
+#: Bytes of cells that leave a map task at once.
+SENT_BYTES = 1 << 21
 #: Words are told apart by 48 bits of a hash.
 _WORD = np.uint64((1 << 48) - 1)
 END = np.uint64(1)
@@ -80,19 +85,32 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, upto, END), np.diff(upto, prepend=0) + 1
 
 
-def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """``word_hashes`` in bounded memory."""
-    groups, size = [[]], 0
+    done, group, size = [], [], 0
     for text in texts:
-        if groups[-1] and size + len(text) > HASHED_BYTES:
-            groups.append([])
-            size = 0
-        groups[-1].append(text)
+        if group and size + len(text) > HASHED_BYTES:
+            done.append(word_hashes(group))
+            group, size = [], 0
+        group.append(text)
         size += len(text)
-    words, numbers = zip(*map(word_hashes, groups))
+    words, numbers = zip(*done, word_hashes(group))
     return np.concatenate(words), np.concatenate(numbers)
 
 
+def _coded(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of all texts in order, the place of every token among them, and the number of tokens of each text."""
+    hashed, n = _hashed(texts)
+    order = np.argsort(hashed)
+    hashed = hashed[order]
+    new = np.concatenate(([True], hashed[1:] != hashed[:-1]))
+    words = hashed[new]
+    del hashed
+    code = np.empty(len(order), dtype=np.int32)
+    code[order] = np.cumsum(new, dtype=np.int32) - 1
+    return words, code, n
+
+
 def _six(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -156,28 +174,31 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=_NAMES)
 
 
-def _ordered(bucket: np.ndarray, u: np.ndarray, w: np.ndarray, doc: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    """The distinct quadruples in order, and how often each occurs; each number is below that of ``sizes``."""
-    columns = [bucket, u, w, doc]
+def _ordered(u: np.ndarray, w: np.ndarray, doc: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """The distinct pairs in order, where the documents of each begin, the documents, and how often each has the pair; each
+    number is below that of ``sizes``."""
     bits = [max(1, int(x - 1).bit_length()) for x in sizes]
     if sum(bits) <= KEY_BITS:  # as one number, which is sorted by value
-        key = columns[0].astype(np.uint64)
-        for column, width in zip(columns[1:], bits[1:]):
+        key = u.astype(np.uint64)
+        for column, width in zip((w, doc), bits[1:]):
             key <<= np.uint64(width)
-            key |= column.astype(np.uint64)
+            np.bitwise_or(key, column, out=key, dtype=np.uint64, casting="unsafe")
         key.sort()
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        number = np.diff(at, append=len(key))
+        number = np.diff(at, append=len(key)).astype(np.uint32)
         key = key[at]
-        out = []
-        for width in bits[::-1]:
-            out.append((key & np.uint64((1 << width) - 1)).astype(np.int64))
-            key >>= np.uint64(width)
-        return [*out[::-1], number]
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    at = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
-    return [*(c[at].astype(np.int64) for c in columns), np.diff(at, append=len(order))]
+        doc = (key & np.uint64((1 << bits[2]) - 1)).astype(np.uint16)
+        key >>= np.uint64(bits[2])
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        key = key[at]
+        return [(key >> np.uint64(bits[1])).astype(np.int32), (key & np.uint64((1 << bits[1]) - 1)).astype(np.int32), at, doc, number]
+    order = np.lexsort((doc, w, u))
+    u, w, doc = u[order], w[order], doc[order]
+    new = np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
+    at = np.flatnonzero(new | np.concatenate(([True], doc[1:] != doc[:-1])))
+    number = np.diff(at, append=len(order)).astype(np.uint32)
+    starts = np.flatnonzero(new[at])
+    return [*(c[at[starts]].astype(np.int32) for c in (u, w)), starts, doc[at].astype(np.uint16), number]
 
 
 def _cells(blocks: int):
@@ -187,105 +208,103 @@ def _cells(blocks: int):
     A cell names each of its words once, in order, and then by its place. Documents to learn from come first in a block,
     so a cell holds how many they are and no flag for each."""
 
-    def block_rows(ids: list, texts: list[bytes], held: list[bool], block: int) -> list[tuple]:
-        hashed, n = _hashed(texts)
-        words, w = np.unique(hashed, return_inverse=True)
-        del hashed
-        w = w.astype(np.int32)
-        u = np.concatenate((np.zeros(1, dtype=np.int32), w[:-1]))  # the end of a text, the smallest word, is the context of the next one's first word
-        bucket = (_pair(words[u], words[w]) >> np.uint64(20)) % np.uint64(blocks)
-        turn = np.argsort(np.array(held, dtype=bool), kind="stable")
-        place = np.empty(len(n), dtype=np.int64)
+    def block_rows(ids: pa.Array, texts: Iterable[bytes], held: np.ndarray, block: int) -> Iterable[tuple]:
+        words, w, n = _coded(texts)
+        turn = np.argsort(held, kind="stable")
+        place = np.empty(len(n), dtype=np.int32)
         place[turn] = np.arange(len(n))
-        bucket, u, w, doc, number = _ordered(bucket, u, w, np.repeat(place, n), [blocks, len(words), len(words), len(n)])
-        cuts = np.searchsorted(bucket, np.arange(blocks + 1))
-        trained = len(n) - sum(held)
+        u = np.concatenate((np.zeros(1, dtype=np.int32), w[:-1]))  # the end of a text, the smallest word, is the context of the next one's first word
+        u, w, starts, doc, number = _ordered(u, w, np.repeat(place, n), [len(words), len(words), len(n)])
+        documents = np.diff(starts, append=len(doc))
+        bucket = np.empty(len(u), dtype=np.min_scalar_type(blocks))
+        for i in range(0, len(u), STRETCH):
+            part = slice(i, i + STRETCH)
+            bucket[part] = (_pair(words[u[part]], words[w[part]]) >> np.uint64(20)) % np.uint64(blocks)
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=blocks))))
+        bucket = np.argsort(bucket, kind="stable").astype(np.int32)
+        trained = len(n) - int(held.sum())
         at = np.empty(len(words), dtype=np.int32)
-        rows = []
         for i in np.flatnonzero(np.diff(cuts)).tolist():
-            part = slice(cuts[i], cuts[i + 1])
-            own, word = u[part], w[part]
-            starts = np.ones(len(own), dtype=bool)
-            starts[1:] = (own[1:] != own[:-1]) | (word[1:] != word[:-1])
-            pairs = np.flatnonzero(starts)
-            of_pairs, word = own[pairs], word[pairs]
+            pairs = bucket[cuts[i] : cuts[i + 1]]
+            of_pairs, word, shared = u[pairs], w[pairs], documents[pairs]
+            entries = np.repeat(starts[pairs] - (np.cumsum(shared) - shared), shared) + np.arange(int(shared.sum()))
             runs = np.flatnonzero(np.concatenate(([True], of_pairs[1:] != of_pairs[:-1])))
             named = np.sort(np.concatenate((of_pairs[runs], word)))
             named = named[np.flatnonzero(np.diff(named, prepend=-1))]
             at[named] = np.arange(len(named))
             context = np.zeros(len(named), dtype=bool)
             context[at[of_pairs[runs]]] = True
-            heads = _bits(context) + _planes(np.diff(runs, append=len(pairs)), "<u4")
-            followers = _planes(at[word], "<u4") + _planes(np.diff(pairs, append=len(own)), "<u4")
-            entries = zlib.compress(_planes(doc[part], "<u2") + _planes(number[part], "<u4"), 1)
-            sizes = np.array([len(own), len(n), trained], dtype="<i8").tobytes()
-            rows.append((i, block, 0, _gaps(words[named]), heads, followers, entries, sizes))
-        keys = pa.array(ids, pa.int64()).take(pa.array(turn))
+            heads = _bits(context) + zlib.compress(_planes(np.diff(runs, append=len(pairs)), "<u4"), 1)
+            places = _planes(at[word], "<u4")
+            followers = places[: len(word)] + zlib.compress(places[len(word) :] + _planes(shared, "<u4"), 1)
+            sums = zlib.compress(_planes(doc[entries], "<u2") + _planes(number[entries], "<u4"), 1)
+            sizes = np.array([len(entries), len(n), trained], dtype="<i8").tobytes()
+            yield i, block, 0, _gaps(words[named]), heads, followers, sums, sizes
+        keys = ids.take(pa.array(turn))
         present = np.array(keys.is_valid(), dtype=np.uint8).tobytes()
-        flags = np.array(held, dtype=np.uint8)[turn].tobytes()
-        rows.append((block % blocks, block, 1, keys.fill_null(0).to_numpy().astype("<i8").tobytes(), n[turn].astype("<i8").tobytes(), present, b"", flags))
-        return rows
+        flags = held[turn].astype(np.uint8).tobytes()
+        yield block % blocks, block, 1, keys.fill_null(0).to_numpy().astype("<i8").tobytes(), n[turn].astype("<i8").tobytes(), present, b"", flags
 
     def cells(batches):
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
-            ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            texts: list[bytes] = []
-            first = size = 0
-            for i, value in enumerate(batch.column(1)):
-                raw = (value.as_py() or "").encode("utf-8", "surrogatepass")
-                if texts and (size + len(raw) > BLOCK_BYTES or len(texts) == 1 << 16):
-                    yield from _table(block_rows(ids[first:i], texts, held[first:i], block)).to_batches()
-                    block, first, size, texts = block + 1, i, 0, []
-                texts.append(raw)
-                size += len(raw)
-            if texts:
-                yield from _table(block_rows(ids[first:], texts, held[first:], block)).to_batches()
+            ids, texts, held = batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.binary()), batch.column(2).to_numpy(zero_copy_only=False)
+            upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+            first = 0
+            while first < len(texts):
+                last = int(np.searchsorted(upto, upto[first] + BLOCK_BYTES, side="right")) - 1
+                part = slice(first, min(max(last, first + 1), first + (1 << 16)))
+                first = part.stop
+                rows, size = [], 0
+                for row in block_rows(ids[part], (x.as_py() or b"" for x in texts[part]), held[part].astype(bool), block):
+                    rows.append(row)
+                    size += sum(map(len, row[3:]))
+                    if size > SENT_BYTES:
+                        yield from _table(rows).to_batches()
+                        rows, size = [], 0
+                yield from _table(rows).to_batches()
                 block += 1
 
     return cells
 
 
 class Bucket:
-    """All cells of a bucket: entries (row, document, number) in order of their (context, word) pair."""
+    """All cells of a bucket: entries (row, document, number) in order of their (context, word) pair; not ``whole``: only the
+    pairs and how often those to learn from have them."""
 
-    def __init__(self, rows: pa.Table):
-        self.cells = sorted(rows.filter(pc.equal(rows.column("kind"), 0)).to_pylist(), key=lambda r: r["block"])
-        sizes = np.array([np.frombuffer(r["e"], dtype="<i8") for r in self.cells], dtype=np.int64).reshape(-1, 3)
-        self.docs = sizes[:, 1]
+    def __init__(self, rows: pa.Table, whole: bool = True):
+        cells = sorted(rows.filter(pc.equal(rows.column("kind"), 0)).to_pylist(), key=lambda r: r["block"])
+        sizes = np.array([np.frombuffer(r["e"], dtype="<i8") for r in cells], dtype=np.int64).reshape(-1, 3)
+        self.cells, self.docs = [(r["bucket"], r["block"]) for r in cells], sizes[:, 1]
         entries = int(sizes[:, 0].sum())
-        named = [_from_gaps(r["a"]) for r in self.cells]
-        self.words, code = np.unique(np.concatenate(named or [np.zeros(0, dtype=np.uint64)]), return_inverse=True)
-        code = code.astype(np.int32)
+        self.words = np.unique(np.concatenate([_from_gaps(r["a"]) for r in cells] or [np.zeros(0, dtype=np.uint64)]))
         key = np.empty(entries, dtype=np.uint64)
-        u, w = np.empty((2, entries), dtype=np.int32)
         doc, number, row = np.empty(entries, dtype=np.uint16), np.empty(entries, dtype=np.uint32), np.empty(entries, dtype=np.int32)
-        trained = np.zeros(entries, dtype=np.uint32)
-        at = first = 0
-        for k, (r, words, (size, _, learnt)) in enumerate(zip(self.cells, named, sizes.tolist())):
+        at = 0
+        for k, size in enumerate(sizes[:, 0].tolist()):
+            r, cells[k] = cells[k], None
             part = slice(at, at := at + size)
-            codes = code[first : (first := first + len(words))]
-            bits = -(-len(words) // 8)
-            context = np.flatnonzero(_from_bits(r["b"][:bits], len(words)))
-            of_pairs = np.repeat(context, _from_planes(r["b"][bits:], "<u4"))
-            word = _from_planes(r["c"][: 4 * len(of_pairs)], "<u4")
-            held = _from_planes(r["c"][4 * len(of_pairs) :], "<u4")
-            key[part] = np.repeat(_pair(words[of_pairs], words[word]), held)
-            u[part], w[part] = np.repeat(codes[of_pairs], held), np.repeat(codes[word], held)
+            code = np.searchsorted(self.words, _from_gaps(r["a"])).astype(np.uint64)
+            bits = -(-len(code) // 8)
+            context = np.flatnonzero(_from_bits(r["b"][:bits], len(code)))
+            of_pairs = np.repeat(context, _from_planes(zlib.decompress(r["b"][bits:]), "<u4"))
+            n = len(of_pairs)
+            rest = zlib.decompress(r["c"][n:])
+            word = _from_planes(r["c"][:n] + rest[: 3 * n], "<u4")
+            key[part] = np.repeat(code[of_pairs] << np.uint64(32) | code[word], _from_planes(rest[3 * n :], "<u4"))
             raw = zlib.decompress(r["d"])
             doc[part], number[part], row[part] = _from_planes(raw[: 2 * size], "<u2"), _from_planes(raw[2 * size :], "<u4"), k
-            trained[part] = np.where(doc[part] < learnt, number[part], 0)
-        del named, code
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.int32)
         key = key[order]
         starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-        del key
-        self.doc, self.number, self.row = doc[order], number[order], row[order]
         # Places of the contexts and words among ``words``.
-        self.iu, self.iw = u[order[starts]], w[order[starts]]
-        del u, w
-        self.count = np.add.reduceat(trained[order], starts, dtype=np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
-        self.pair = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=entries))
+        self.iu, self.iw = (key[starts] >> np.uint64(32)).astype(np.int32), (key[starts] & np.uint64((1 << 32) - 1)).astype(np.int32)
+        del key
+        trained = np.where(doc < sizes[row, 2], number, 0)[order]
+        self.count = np.add.reduceat(trained, starts, dtype=np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
+        if whole:
+            self.doc, self.number, self.row = doc[order], number[order], row[order]
+            self.pair = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=entries))
 
         self.is_context, self.is_dish = np.zeros((2, len(self.words)), dtype=bool)
         self.is_context[self.iu] = True
@@ -325,7 +344,7 @@ def _statistics(parts: int):
 
     def statistics(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
-        x = Bucket(rows)
+        x = Bucket(rows, whole=False)
         iu, iw = x.iu, x.iw
         seen = (x.count > 0).astype(float)
         n = len(x.words)
@@ -443,9 +462,9 @@ _HEADER = 80
 class Restaurants:
     """The contexts' dishes in a bucket, with what the exchanges say of the whole restaurants."""
 
-    def __init__(self, left: pa.Table, right: pa.Table, parts: int, strength: float):
+    def __init__(self, left: pa.Table, right: pa.Table, parts: int, strength: float, whole: bool = False):
         self.bucket = left.column("bucket")[0].as_py()
-        self.x = x = Bucket(left)
+        self.x = x = Bucket(left, whole)
         self.cuts = x.cuts(parts)
         returned = right.to_pylist()
         answers, told = ({r["block"]: r for r in returned if r["kind"] == kind} for kind in (2, 6))
@@ -556,26 +575,29 @@ def _scores(parts: int, strength: float):
         if not left.num_rows:  # a bucket without text
             return _table([])
         out = [tuple(r[c] for c in _NAMES) for r in left.filter(pc.equal(left.column("kind"), 1)).to_pylist()]
-        r = Restaurants(left, right, parts, strength)
+        r = Restaurants(left, right, parts, strength, whole=True)
         x, iu, iw, customers = r.x, r.iu, r.iw, r.customers
         tables = np.zeros(len(x.count))
         tables[r.used] = r.start
         n = customers[iu]
         back = np.where(n > 0, (strength + r.d * r.tables[iu]) / (strength + n), 1.0)
         p = np.maximum(x.count - r.d * tables, 0) / (strength + n) + back * r.parent[iw]
-        entry = [v[x.pair] * x.number for v in (np.log10(p), np.log10(customers[iw] + 0.5), (customers[iw] > 0).astype(float))]
-        docs = x.docs
-        place = (np.cumsum(docs) - docs)[x.row] + x.doc if len(docs) else x.doc
-        sums = [np.bincount(place, v, minlength=int(docs.sum())) for v in entry]
-        present = np.bincount(place, minlength=int(docs.sum())) > 0
-        at = 0
-        for c, size in zip(x.cells, docs.tolist()):
-            part = slice(at, at + size)
-            at += size
-            some = present[part]
-            score, base, known = (s[part][some] for s in sums)
+        # The documents of a cell one after the other; only those that the bucket has.
+        place = (x.row.astype(np.uint64) << np.uint64(16)) | x.doc
+        order = np.argsort(place, kind="stable").astype(np.int32)
+        place = place[order]
+        starts = np.flatnonzero(np.diff(place, prepend=~place[:1]))
+        place = place[starts]
+        pair, number = x.pair[order], x.number[order]
+        sums = [np.add.reduceat(v[pair] * number, starts) for v in (np.log10(p), np.log10(customers[iw] + 0.5), (customers[iw] > 0).astype(float))]
+        cuts = np.searchsorted(place, np.arange(len(x.cells) + 1, dtype=np.uint64) << np.uint64(16))
+        for k, ((bucket, block), size) in enumerate(zip(x.cells, x.docs.tolist())):
+            part = slice(cuts[k], cuts[k + 1])
+            some = np.zeros(size, dtype=bool)
+            some[place[part] & np.uint64(0xFFFF)] = True
+            score, base, known = (v[part] for v in sums)
             own = _bits(some), _planes(score, "<f8"), _planes(base, "<f8"), _planes(known, "<u4")
-            out.append((c["bucket"], c["block"], 0, *own, np.array([r.norm, r.tokens, size], dtype="<f8").tobytes()))
+            out.append((bucket, block, 0, *own, np.array([r.norm, r.tokens, size], dtype="<f8").tobytes()))
         return _table(out)
 
     return scores

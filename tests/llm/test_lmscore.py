@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from types import SimpleNamespace
 
@@ -248,3 +249,14 @@ def test_sums_of_a_task_come_together(monkeypatch):
             if r["block"] == 5:
                 x.add(r)
         assert x.values.tolist() == [[-4.5, 0, -4.5], [-4.5, 0, -4.5], [3, 0, 3]] and x.present.tolist() == [True, False, True]
+
+
+def test_blocks_are_held_narrowly(monkeypatch):
+    """The bytes that a map task holds for a block, its cells included."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 20_000}" for _ in range(300)) for _ in range(1000)]
+    tracemalloc.start()
+    cells_of(texts, [False] * len(texts), 2, monkeypatch)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 120 * 301 * len(texts)
