@@ -28,3 +28,13 @@ def test_pieces_of_a_batch(monkeypatch, name):
     monkeypatch.setattr(lexical, "_frequencies", lambda text, code, n: sizes.append(len(np.asarray(text))) or plain(text, code, n))
     assert rows(name) == whole
     assert max(sizes) == 9 and sorted(sizes)[-3] <= 4  # only the longer text, which comes twice, goes beyond
+
+
+def test_sums_by_counting_are_those_by_sorting():
+    rng = np.random.default_rng(2)
+    cell, weight = rng.integers(0, 40, 60) * 2, rng.random(60)
+    counted, sorted_ = lexical._sums(cell, weight, 60 + 20), lexical._sums(cell, weight, 10_000)
+    dense = lexical._sums(cell % 50, weight, 60)
+    assert all((a == b).all() for a, b in zip(counted, sorted_))
+    assert dense[0].tolist() == sorted({x % 50 for x in cell.tolist()})
+    assert np.allclose(dense[1], [weight[cell % 50 == c].sum() for c in dense[0]])
