@@ -212,3 +212,20 @@ def test_hits_strict_and_loose(spark):
     chunk_docs = spark.createDataFrame([(10, 1), (11, 1), (30, 3)], "id int, doc_id int")
     row = evaluate.retrieval_hits(ranked, gold_chunks, gold_docs, chunk_docs, 1).first()
     assert (row.n_questions, row.n_strict, row.n_loose) == (3, 1, 2)
+
+
+def test_gold_documents_are_found_once(spark):
+    """They may come from a pass over all texts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    gold = spark.createDataFrame([(1, 10), (2, 20)], "qid bigint, doc_id bigint")
+    gold = spark.createDataFrame(gold.rdd.mapPartitions(counted), gold.schema)
+    ranked = spark.createDataFrame([(1, 1, 7)], "qid bigint, rank int, id bigint")
+    chunk_docs = spark.createDataFrame([(7, 10)], "id bigint, doc_id bigint")
+    row = evaluate.retrieval_hits(ranked, ranked.select("qid", "id"), gold, chunk_docs, 8).first()
+    assert (row["n_questions"], row["n_strict"], row["n_loose"], seen.value) == (2, 1, 1, 2)
